@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import scratch, table
+from textloom.llm.decontamination import contaminated
+from textloom.llm.packing import pack_texts
+from textloom.llm.records import build_index, write_records
 from textloom.llm.sharding import shard
 from textloom.llm.token_counts import count_tokens, fresh_cache
 from textloom.llm.tokenization import vocabulary_path
@@ -19,6 +22,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "records")
+    write_records(table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), end_id=2)
+    return build_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "file_offset", "frame_length")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded in this run."""
     counted = count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), fresh_cache(spark))
@@ -27,6 +48,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op6_records": op6_records,
+    "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 
