@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import scratch, table
 from textloom.llm.decontamination import contaminated
 from textloom.llm.packing import pack_texts
+from textloom.llm.quality import fit, score
 from textloom.llm.records import build_index, write_records
 from textloom.llm.sharding import shard
 from textloom.llm.token_counts import count_tokens, fresh_cache
@@ -36,6 +37,21 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "file_offset", "frame_length")
 
 
+def held_out(k: int, column: str = "doc_id"):
+    """crc32 of the id as text, mod k, is 1. A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % k == 1, F.lit(False))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    return fit(docs, table(spark, sf_dir, "labels").filter(~held_out(3)))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(3).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
 
@@ -50,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_decontamination": op3_decontamination,
     "op6_records": op6_records,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
