@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import scratch, table
 from textloom.llm.decontamination import contaminated
+from textloom.llm.near_duplicates import link
 from textloom.llm.packing import pack_texts
 from textloom.llm.quality import fit, score
 from textloom.llm.records import build_index, write_records
@@ -31,6 +32,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "records")
     write_records(table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), end_id=2)
@@ -65,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_records": op6_records,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
