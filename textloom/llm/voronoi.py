@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     asked = cells.filter("q").select("id", "v", F.col("q_cell").alias("cell")).mapInArrow(_asker(shared), "unit long, id long, v array<long>")
 
     def solved(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = np.iinfo(np.int64).min
+        none = -(1 << 62)  # below any score, and its negative is a number too
         q_ids, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
         found: list[list[np.ndarray]] = [[], [], []]
         if len(q_ids) and len(ids):
