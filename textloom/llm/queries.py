@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import language_model
 from textloom.llm.common import scratch, table
 from textloom.llm.decontamination import contaminated
 from textloom.llm.html_text import extract
@@ -42,6 +43,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = language_model.train(docs.filter(~held_out(5)))
+    return language_model.score(docs, model).select(
+        "doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "records")
     write_records(table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), end_id=2)
@@ -83,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_top_k": op2_top_k,
     "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_language_model": op5_language_model,
     "op6_records": op6_records,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality": op8_quality,
