@@ -124,17 +124,18 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
     yield part
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id_col, n_words, hits, items, in the order and partitions of docs, without a shuffle.
 
     hits: disjoint ranges of words inside an occurrence of a window of the benchmark, with their characters in the
     original text. items: the ids, as strings, of items with an occurring window, sorted, each once. A null or empty
     text has no words and no hits. An item with a null id is searched for but not named; items with equal ids are one;
-    an empty benchmark hits nothing. Texts are scanned whole. Extra columns of either table are not read.
+    an empty benchmark hits nothing. Texts are scanned whole. Extra columns of either table are not read, but those
+    named in carry come along in a struct "carried", and the text with them in a column "text".
     """
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    schema = out.schema.simpleString()[len("struct<") : -1]
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
+    schema = out.schema
     hit_type = pa.list_(pa.struct([(k, pa.int32()) for k in ("start_word", "end_word", "start_char", "end_char")]))
 
     def scanner(items):
@@ -155,14 +156,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id
                     else:
                         hits.append([])
                     names.append(sorted(who.union(old_names or [])))
-                made = [batch.column("id"), texts, pa.array(n_words, pa.int64()), pa.array([[dict(zip(("start_word", "end_word", "start_char", "end_char"), x)) for x in h] for h in hits], hit_type), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(made, names=["id", "text", "n_words", "hits", "items"])
+                rest = [batch.column("carried")] if carry else []
+                made = [batch.column("id"), texts, pa.array(n_words, pa.int64()), pa.array([[dict(zip(("start_word", "end_word", "start_char", "end_char"), x)) for x in h] for h in hits], hit_type), pa.array(names, pa.list_(pa.string())), *rest]
+                yield pa.RecordBatch.from_arrays(made, names=batch.schema.names)
 
         return scan
 
     for part in _parts(benchmark, item_col, item_text_col):
         out = out.mapInArrow(scanner(spark.sparkContext.broadcast(part)), schema)
-    return out.select(F.col("id").alias(id_col), "n_words", "hits", "items")
+    return out.select(F.col("id").alias(id_col), "n_words", "hits", "items", *(["text", "carried"] if carry else []))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20, **names) -> DataFrame:
