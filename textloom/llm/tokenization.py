@@ -15,11 +15,26 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces, and words within them, that a table keeps; it is emptied when full (about 150 bytes each).
-PIECES, WORDS = 600_000, 900_000
+PIECES, WORDS = 1_000_000, 1_000_000
 #: Longer ones are encoded but not kept.
 KEPT_CHARS = 64
-#: Letters, then perhaps other visible signs but no digit or apostrophe, all ASCII: one word or two in both vocabularies.
-_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters, then perhaps other visible ASCII signs but no digit or apostrophe: one word or two in both vocabularies.
+#: These letters are their own NFC form, and lower() maps each of them alone.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte to letter, as byte-level vocabularies spell bytes: visible ones as themselves, others from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER_OF = _byte_letters()
+
+
+def _spelled(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER_OF)
 
 
 class _Irregular(Exception):
@@ -38,7 +53,7 @@ class _Words(dict):
         self.model = model
 
     def __missing__(self, word: str) -> bytes:
-        ids = pack([t.id for t in self.model.tokenize(word)])
+        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self) >= WORDS:
                 self.clear()
@@ -53,6 +68,7 @@ class _Pieces(dict):
         super().__init__()
         self.tokenizer, self.spaced, self.words = tokenizer, spaced, _Words(tokenizer.model)
         self.split, self.special = tokenizer.pre_tokenizer.pre_tokenize_str, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special)
 
     def __missing__(self, piece: str) -> bytes:
         if self.spaced and (not piece or piece[0].isspace() or piece[-1].isspace()):
@@ -65,13 +81,13 @@ class _Pieces(dict):
         return ids
 
     def encoded(self, piece: str) -> bytes:
-        if plain := _PLAIN.fullmatch(piece):
-            if not plain[2]:
-                return self.words["\u0120" + piece if self.spaced else piece.lower()]
-            if not any(x in piece for x in self.special):
-                return self.words["\u0120" + plain[1] if self.spaced else plain[1].lower()] + self.words[plain[2]]
+        special = self.mark in piece and any(x in piece for x in self.special)
+        if not special and (plain := _PLAIN.fullmatch(piece)):
+            word, signs = plain.groups()
+            ids = self.words["\u0120" + _spelled(word) if self.spaced else _spelled(word.lower())]
+            return ids + self.words[signs] if signs else ids
         text = " " + piece if self.spaced else piece
-        if any(x in piece for x in self.special):
+        if special:
             return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if not self.spaced:
             text = self.tokenizer.normalizer.normalize_str(text)
