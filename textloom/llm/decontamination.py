@@ -8,6 +8,7 @@ original text.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,12 +99,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_MATCHERS: dict[object, Matcher] = {}
+_MATCHERS: dict[str, Matcher] = {}
 
 
-def _matcher(items, size: int) -> Matcher:
-    """This process's automaton for a broadcast; one at a time is kept."""
-    key = (items.id if hasattr(items, "id") else id(items), size)
+def _matcher(key: str, items, size: int) -> Matcher:
+    """This process's automaton for a broadcast, which key names; one at a time is kept."""
     if key not in _MATCHERS:
         _MATCHERS.clear()
         _MATCHERS[key] = Matcher(items.value, size)
@@ -139,8 +139,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id
     hit_type = pa.list_(pa.struct([(k, pa.int32()) for k in ("start_word", "end_word", "start_char", "end_char")]))
 
     def scanner(items):
+        key = uuid.uuid4().hex
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = _matcher(items, size)
+            own = _matcher(key, items, size)
             for batch in arrow_chunks(batches, "text", CHUNK_BYTES):
                 n_words, hits, names = [], [], []
                 texts = batch.column("text")
