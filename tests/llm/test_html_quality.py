@@ -12,6 +12,7 @@ AROUND = (
     "<aside><p>You may also like this. And this one too.</p></aside>", "<div class='sidebar'><p>Some words about the author. They write.</p></div>", "<div id='cookie-banner'><p>We use cookies. Please accept them all.</p></div>",
     "<div class=\"ad\">Buy our product now! It is the best.</div>", "<form><p>Your mail address, please. We send letters.</p><button>Go</button></form>", "<script>var a = '<p>no</p>';</script>", "<style>p{}</style>",
     "<section class='comments'><h3>Comments</h3><p>I liked this article a lot. Thank you for it.</p></section>", "<!-- <p>hidden</p> -->", "<noscript><p>Enable scripts. Please.</p></noscript>", "<ul class=\"menu\"><li>One</li></ul>",
+    "<div class='siteFooter'><p>About this site. All of it.</p></div>", "<div id='cookieBar'><p>This site keeps cookies. Agree to them.</p></div>", "<div class='adbox'><p>The best car there is. Try it.</p></div>",
 )
 
 
@@ -26,6 +27,11 @@ def test_furniture_inside_the_article():
     assert "Buy" not in main_text(page) and "Second paragraph" in main_text(page)
 
 
+def test_names_that_only_sound_like_furniture():
+    page = "<body><div class='article-header'><h1>Title here</h1></div><div class='story-body'><p>First paragraph of the text, long enough. It goes on.</p><p class='adequate'>Second paragraph, with more words. And more.</p></div></body>"
+    assert main_text(page).startswith("Title here\n\nFirst") and "Second" in main_text(page)
+
+
 def test_odd_markup():
     assert main_text("") == ""
     for page in ("<p", "<p class='", "<!-- open", "<script>x", "</p></div>", "<b><i>" * 3000, "a < b", "\x00", "&#xZZ;"):

@@ -35,14 +35,14 @@ SCOPES = frozenset("article aside body div dl footer form header main nav ol sec
 # The classifier's weights; positive speaks for content. No page has labels, so they are set, not learned.
 ELEMENT = {"nav": -6.0, "menu": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "dialog": -6.0, "button": -5.0, "fieldset": -4.0, "label": -2.0, "search": -6.0, "header": -3.0, "address": -1.0, "article": 3.0, "main": 2.0, "p": 0.6, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.3, "h1": 1.0, "h2": 0.4, "h3": 0.4, "h4": 0.4, "li": -0.2, "td": 0.0}
 NAMES = (
-    (re.compile(r"(?:^|[-_ ])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|pagination|pager|toc|skip(?:-?link)?)(?=$|[-_ ])"), -6.0),
-    (re.compile(r"(?:^|[-_ ])(?:footer|foot|copyright|colophon|legal)(?=$|[-_ ])"), -6.0),
-    (re.compile(r"(?:^|[-_ ])(?:masthead|topbar|site-?header|page-?header|header|banner|logo)(?=$|[-_ ])"), -5.0),
-    (re.compile(r"(?:^|[-_ ])(?:side-?bar|aside|rail|widgets?|related|recommend(?:ed|ations)?|trending|popular|tags?)(?=$|[-_ ])"), -6.0),
-    (re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertise(?:ment)?s?|adsense|adslot|sponsor(?:ed|s)?|promo(?:tion)?s?|commercial|affiliate)(?=$|[-_ ])"), -7.0),
-    (re.compile(r"(?:^|[-_ ])(?:cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|pop-?over|modal|overlay|newsletter|subscri(?:be|ption)|paywall|sign-?up|log-?in|toast)(?=$|[-_ ])"), -6.0),
-    (re.compile(r"(?:^|[-_ ])(?:comments?|comment-?list|disqus|repl(?:y|ies)|respond|discussion|reader-?comments)(?=$|[-_ ])"), -7.0),
-    (re.compile(r"(?:^|[-_ ])(?:share|sharing|social|follow|buttons?|toolbar|search|forms?)(?=$|[-_ ])"), -5.0),
+    (re.compile(r"(?:^|[-_ ])(?:nav\w*|menu\w*|breadcrumb\w*|pagination|pager|toc|skip(?:-?link)?)(?=$|[-_ ])"), -6.0),
+    (re.compile(r"(?:^|[-_ ])(?:footer\w*|foot|copyright|colophon|legal|imprint)(?=$|[-_ ])"), -6.0),
+    (re.compile(r"(?<!article-)(?<!post-)(?<!entry-)(?<!story-)(?:^|\b|[_ ])(?:masthead|topbar|header|banner\w*|logo)(?=$|[-_ ])"), -5.0),
+    (re.compile(r"(?:^|[-_ ])(?:side-?bar\w*|aside|rail|widget\w*|related|recommend\w*|trending|popular|more-?(?:news|stories|posts)|tags?)(?=$|[-_ ])"), -6.0),
+    (re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|ad(?:box|slot|sense|banner|unit|wrap\w*)|sponsor\w*|promo\w*|commercial|affiliate|cta)(?=$|[-_ ])"), -7.0),
+    (re.compile(r"(?:^|[-_ ])(?:cookie\w*|consent|gdpr|privacy|notices?|notifications?|alerts?|pop-?(?:up|over)\w*|modal\w*|overlay|newsletter\w*|subscri\w*|paywall|sign-?up|log-?in|toast)(?=$|[-_ ])"), -6.0),
+    (re.compile(r"(?:^|[-_ ])(?:comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion)(?=$|[-_ ])"), -7.0),
+    (re.compile(r"(?:^|[-_ ])(?:shar(?:e|ing)\w*|social\w*|follow|buttons?|toolbar|search\w*|forms?)(?=$|[-_ ])"), -5.0),
     (re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|content|main|body|text)(?:-?(?:body|content|text))?(?=$|[-_ ])"), 1.5),
 )
 ROLES = {"navigation": -6.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -6.0, "alertdialog": -6.0, "alert": -5.0, "menu": -6.0, "menubar": -6.0, "main": 2.0, "article": 3.0}
@@ -51,6 +51,7 @@ NEXT, SIBLING, FAR = 0.7, 0.7, 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?…。？！](?:[\"'”’)]*)(?:\s|$)")
 
 
@@ -78,7 +79,7 @@ def _hint(tag: str, attributes: str, inside: bool) -> float:
         found = -0.5  # of an article: its title
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            value, name = (a or b or c).lower(), name.lower()
+            value, name = _CAMEL.sub("-", a or b or c).lower(), name.lower()
             if name in ("class", "id"):
                 worst = min((w for pattern, w in NAMES if pattern.search(value)), default=0.0)
                 best = max((w for pattern, w in NAMES if pattern.search(value)), default=0.0)
