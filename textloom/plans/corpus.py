@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import version as V
-from textloom.operators import checks, chunking, dedup, evaluation, leakage, lexical
+from textloom.operators import answers, checks, chunking, dedup, evaluation, leakage, lexical
 from textloom.plans.retrieval import _quoted, _tokens_sql, table
 
 SCOPE = ["lang", "source"]
@@ -287,11 +287,39 @@ def page_parse_blocks(spark, sf):
     return parse_pages(table(spark, sf, "pages"), "page_id", "html")
 
 
+def serialize_queries(spark, sf):
+    """Each conversation's first user turn as an online query."""
+    turns = table(spark, sf, "conversations").filter("role = 'user'")
+    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("t")).select(F.col("conv_id").alias("query_id"), F.col("t.text").alias("user_problem"), F.when(F.col("conv_id") % 2 == 0, "mysql").alias("dialect"))
+    text = answers.serialized({c: F.col(c) for c in ("user_problem", "dialect")})
+    return answers.online(first).select("query_id", F.length(text).cast("long").alias("n"), F.sha2(text, 256).alias("sha256"), answers.side(F.col("query_id")).alias("shown_first"))
+
+
+def answer_contract(spark, sf):
+    """Answers made of labels: quality is the confidence, the id a citation; toxic ones lack a key."""
+    rows = table(spark, sf, "labels")
+    keys = {k: F.lit("x") for k in answers.ANSWER_KEYS} | {"confidence": F.col("quality") * 2 - F.col("toxic"), "citations": F.array(F.col("doc_id").cast("string"))}
+    part = lambda names: F.to_json(F.struct(*[keys[k].alias(k) for k in names]))
+    text = F.when(F.col("toxic") == 1, part(answers.ANSWER_KEYS[:-1])).otherwise(part(answers.ANSWER_KEYS))
+    supplied = F.array((F.col("doc_id") - F.col("doc_id") % 3).cast("string"))
+    faults = answers.answer_faults(text, supplied, F.lit(True))
+    return rows.select("doc_id", F.array_join(faults, ",").alias("faults"))
+
+
+def boilerplate_sections(spark, sf):
+    """Short lines that a document has said before, exactly or as the line just above."""
+    lines = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    w = Window.partitionBy("doc_id").orderBy("n")
+    marked = lines.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("n")) > 1).withColumn("adjacent", F.coalesce(F.lag("line").over(w) == F.col("line"), F.lit(False)))
+    return marked.groupBy("doc_id").agg(F.count(F.when(F.col("again"), 1)).alias("again"), F.count(F.when(F.col("adjacent"), 1)).alias("adjacent"))
+
+
 QUERIES = {f.__name__: f for f in (
     exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, residual_dup_rate, simhash_bands, url_canonical, title_extract, prose_clean, boilerplate_filter,
     fixed_chunks, structure_chunks, version_parse, version_scope_counts, version_compat, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
     source_coverage, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
     leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, recompute_compare, page_parse_blocks,
+    serialize_queries, answer_contract, boilerplate_sections,
 )}
 
 
@@ -380,6 +408,13 @@ ORACLE = {
       SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY g)) AS digest FROM p""",
     "recompute_compare": "SELECT doc_id, CAST(n_chars AS DOUBLE) AS expected, CAST(length(text) AS DOUBLE) AS actual FROM documents WHERE n_chars <> length(text)",
     "machine_relevance": None,
+    "serialize_queries": """WITH f AS (SELECT conv_id AS query_id, arg_min(text, turn) AS p, CASE WHEN conv_id % 2 = 0 THEN 'mysql' END AS d FROM conversations WHERE role = 'user' GROUP BY conv_id),
+      t AS (SELECT query_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(p) <> '' THEN 'Question:' || chr(10) || trim(p) END, 'SQL dialect:' || chr(10) || d) AS s FROM f)
+      SELECT query_id, length(s) AS n, sha256(s) AS sha256, CASE WHEN query_id % 2 = 0 THEN 'A' ELSE 'B' END AS shown_first FROM t""",
+    "answer_contract": "SELECT doc_id, concat_ws(',', CASE WHEN toxic = 1 THEN 'keys' END, CASE WHEN quality * 2 - toxic NOT BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN doc_id % 3 <> 0 THEN 'unknown_citation' END) AS faults FROM labels",
+    "boilerplate_sections": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+      m AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) > 1 AS again, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY n) = line, false) AS adjacent FROM l)
+      SELECT doc_id, count(CASE WHEN again THEN 1 END) AS again, count(CASE WHEN adjacent THEN 1 END) AS adjacent FROM m GROUP BY doc_id""",
 }
 
 from textloom.plans.retrieval import _LEX  # noqa: E402
