@@ -1,10 +1,11 @@
 """MinHash near-duplicates: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
 Texts with equal shingle sets become one node first, however many copies there are. Nodes that share a band key meet in
-a bucket. No bucket is turned into all its pairs: in each round every bucket names one centre, and only members that
-are in another component than the centre are compared with it, on their full shingle sets. Verified links are joined
-into components, and buckets whose members are all in one component are done. Rounds name other centres; what is then
-still apart is compared member by member (see _apart).
+a bucket. No bucket is turned into all its pairs: every bucket names one centre, its member that meets most others over
+all its keys (in a group of edited copies, the text that they were made from), and the members are compared with it, on
+their full shingle sets. Verified links are joined into components, and buckets whose members are all in one component
+are done. Elsewhere, members outside of a bucket's largest component are compared with the rest of it, in blocks of
+bounded size that keep their pairs to themselves and give links only (see _apart).
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from textloom.llm.superminhash import band_keys, signatures
 CHUNK_BYTES = 2 << 20
 #: Two sets of similarity 0.85 share no key with a chance of (1 - 0.85^6)^32, about 3 in 10 million.
 BANDS, ROWS = 32, 6
-#: Rounds with a centre to a bucket, before what is apart is compared member by member.
-ROUNDS = 3
+#: Shingles to a block of members that are compared with another block.
+BLOCK_SHINGLES = 200_000
 
 SKETCH = "doc_id long, n_shingles long, digest binary, keys array<long>"
 
@@ -92,36 +93,27 @@ def link(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_
     # Rows of one id with several texts are one node: their links unite.
     aliases = named.join(nodes.select("digest", "node"), "digest").filter("doc_id != node").select("doc_id", "node")
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    busy = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
+    busy = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").select("key", "size")
     members = materialize(members.join(busy, "key"), "members")
     texts = _texts(docs, members, id_col, text_col)
-    links: DataFrame | None = None
-    known = None
-    for step in range(ROUNDS + 1):
-        placed = members.withColumn("class", F.col("node")) if known is None else members.join(known.withColumnRenamed("component", "found"), "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found")
-        if step:
-            apart = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
-            members = materialize(placed.drop("class").join(apart, "key"), "members")
-            placed = members.join(known.withColumnRenamed("component", "found"), "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found")
-            if members.isEmpty():
-                break
-        pairs = (_centres(placed, step) if step < ROUNDS else _apart(placed)).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-        found = materialize(_verified(pairs, texts, words, percent), "links")
-        links = found if links is None else links.unionAll(found)
-        known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    first = _centres(members).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+    links = materialize(_verified(first, texts, words, percent), "links")
+    known = components(links)
+    placed = members.join(known.withColumnRenamed("component", "found"), "node", "left").select("key", "node", "n", F.coalesce("found", "node").alias("class"))
+    apart = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
+    apart = materialize(placed.join(apart, "key"), "apart")
+    more = materialize(_apart(apart, texts, words, percent), "links")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        known = components(links)
     every = aliases.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     shared_ids = every.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low != high")
     # An id whose texts lie in several nodes, or that is itself a node, ties them together.
     owners = nodes.groupBy("node").count().select(F.col("node").alias("u"), F.col("node").alias("low"))
     ties = every.join(shared_ids.select("u"), "u").unionAll(every.join(owners.select("u"), "u"))
     if not ties.isEmpty():
-        edges = ties if links is None else links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(ties)
-        known = components(edges)
-    placed = sketch.join(nodes.select("digest", "node"), "digest", "left")
-    if known is not None:
-        placed = placed.join(known, "node", "left")
-    else:
-        placed = placed.withColumn("component", F.lit(None).cast("long"))
+        known = components(links.unionAll(ties))
+    placed = sketch.join(nodes.select("digest", "node"), "digest", "left").join(known, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return placed.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
@@ -144,20 +136,47 @@ def _texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> D
     return materialize(rows.mapInArrow(once, rows.schema).join(members.select("node").distinct(), "node"), "texts")
 
 
-def _centres(placed: DataFrame, step: int) -> DataFrame:
-    """Each member of a bucket with the bucket's centre, if their components differ. The first centre is the least
-    node, the next ones are those that hash least."""
-    order = F.col("node") if step == 0 else F.xxhash64(F.col("node"), F.lit(step))
-    centre = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))).alias("c")).select("key", "c.a", "c.n_a", "c.class_a")
-    met = placed.join(centre, "key").filter("class != class_a")
-    return met.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"))
-
-
-def _apart(placed: DataFrame) -> DataFrame:
-    """Members of a bucket outside of its largest component, with every member of another component there."""
-    sizes = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("l")).select("key", F.col("l.class").alias("largest"))
-    marked = placed.join(largest, "key")
-    left = marked.filter("class != largest").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"), "largest")
-    right = placed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), "class")
-    return left.join(right, "key").filter("class != class_a and (class = largest or a < b)").select("a", "b", "n_a", "n_b")
+def _centres(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's centre: who meets most others over all its keys, then the least node."""
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    ranked = members.join(met, "node").select("key", "node", "n", "met")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("a"), F.col("n").alias("n_a"))).alias("c")).select("key", (-F.col("c.a")).alias("a"), "c.n_a")
+    return members.join(centre, "key").filter("a != node").select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"))
+
+
+def _apart(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) from members of a bucket outside of its largest component to members of other components there: for
+    each such member and component one, if there is any. Both sides are dealt out in blocks of BLOCK_SHINGLES."""
+    weight = placed.groupBy("key", "class").agg(F.sum("n").alias("w"))
+    sides = weight.groupBy("key").agg(F.max(F.struct("w", "class")).alias("l"), F.sum("w").alias("all")).select("key", F.col("l.class").alias("largest"), "all", (F.col("all") - F.col("l.w")).alias("out"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
+    rows = placed.join(sides, "key").join(texts, "node").withColumn("lefts", blocks("out")).withColumn("rights", blocks("all"))
+    deal = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    unit = ["key", "i", "j"]
+    left = rows.filter("class != largest").select("key", deal("lefts").alias("i"), every("rights").alias("j"), "node", "class", "text")
+    right = rows.select("key", every("lefts").alias("i"), deal("rights").alias("j"), "node", "class", "text")
+
+    def compared(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if a.num_rows and b.num_rows:
+            own, others = (shingle_sets(t.column("text").to_pylist(), words) for t in (a, b))
+            nodes, classes = b.column("node").to_numpy(), b.column("class").to_numpy()
+            sizes = np.array([len(x) for x in others])
+            known, codes = np.unique(np.concatenate(others), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            here = np.zeros(len(known), dtype=np.int32)
+            for node, kind, items in zip(a.column("node").to_pylist(), a.column("class").to_pylist(), own):
+                at = np.searchsorted(known, items)
+                at[at == len(known)] = 0
+                at = at[known[at] == items]
+                here[at] = 1
+                shared = np.add.reduceat(here[codes], starts)
+                here[at] = 0
+                hit = np.flatnonzero((100 * shared >= percent * (len(items) + sizes - shared)) & (classes != kind))
+                _, one = np.unique(classes[hit], return_index=True)
+                found += [(node, int(nodes[i])) for i in hit[one]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own: both come of one table
+    return left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(compared, "a long, b long")
