@@ -21,18 +21,20 @@ from textloom.llm.common import materialize
 
 #: Pivots: one for so many candidates, within these bounds. Everything that is broadcast has a row or a pair per pivot.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 2000, 4, 256
+#: Queries to a group, on average: a candidate is sent once for each group that may need it, so groups are kept few.
+PER_GROUP = 2048
 #: Rows of a group that are solved against each other at a time.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 
 
 @dataclass(frozen=True)
 class Summary:
-    pivots: np.ndarray  # (m, d + 1), lifted
+    pivots: np.ndarray  # (g, d + 1), lifted: those that queries are grouped by
     top: int  # M
-    limits: np.ndarray  # (m,): no k-th neighbour of a query of the group is further than this; -1: no queries
-    reach: np.ndarray  # (m,): the greatest distance of a query of the group from its pivot
-    query_blocks: np.ndarray  # (m,)
-    candidate_blocks: np.ndarray  # (m,)
+    limits: np.ndarray  # (g,): no k-th neighbour of a query of the group is further than this; -1: no queries
+    reach: np.ndarray  # (g,): the greatest distance of a query of the group from its pivot
+    query_blocks: np.ndarray  # (g,)
+    candidate_blocks: np.ndarray  # (g,)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -82,7 +84,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     spark = vectors.sparkSession
     rows = quantized(vectors, id_col, vector_col, scale).dropDuplicates().withColumn("q", is_query(F.col("id")))
     stored = materialize(rows, "quantized")
-    facts = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e)).alias("top")).first()
+    facts = stored.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("asked"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e)).alias("top")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width, top = facts["width"], facts["top"]
@@ -90,19 +92,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     picked = stored.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(m)  # m rows at most
     pivots = _lifted(_matrix(pa.array([r["v"] for r in picked.collect()], pa.list_(pa.int64())), width), top)
     m = len(pivots)
+    groups = int(min(m, max(1, facts["asked"] // PER_GROUP)))
     held = spark.sparkContext.broadcast(pivots)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ints, p = _matrix(batch.column("v"), width), held.value
             cell, far = _nearest(_lifted(ints, top), p)
-            q_cell, q_far = _nearest(_lifted(ints, None), p)
+            q_cell, q_far = _nearest(_lifted(ints, None), p[:groups])
             made = [pa.array(cell, pa.int32()), pa.array(far), pa.array(q_cell, pa.int32()), pa.array(q_far)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "cell", "far", "q_cell", "q_far"])
 
     cells = materialize(stored.mapInArrow(placed, "id long, v array<long>, q boolean, cell int, far double, q_cell int, q_far double"), "cells")
     own = cells.groupBy("id").count().agg(F.max("count")).first()[0]
-    summary = _summary(cells, pivots, top, k, own)
+    summary = _summary(cells, pivots, groups, top, k, own)
     candidates = _distinct_vectors(cells.select("id", "v"), k)
     for r in candidates.mapInArrow(_counter(spark.sparkContext.broadcast(summary), width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # m rows at most
         summary.candidate_blocks[r["cell"]] = max(1, -(-r["n"] // CANDIDATE_BLOCK))
@@ -166,16 +169,15 @@ def _distinct_vectors(candidates: DataFrame, k: int) -> DataFrame:
 MOST_OWN = 64
 
 
-def _summary(cells: DataFrame, pivots: np.ndarray, top: int, k: int, own: int) -> Summary:
+def _summary(cells: DataFrame, pivots: np.ndarray, groups: int, top: int, k: int, own: int) -> Summary:
     """From one row per cell, with its k + own least distances; own: the most rows that one id has."""
     near = k + min(own, MOST_OWN)
-    m = len(pivots)
     ranked = cells.select("id", "cell", "far", F.row_number().over(Window.partitionBy("cell", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("far", "id")).alias("r")).filter(F.col("r") <= near)
     least = {r["cell"]: sorted(r["far"])[:near] for r in ranked.groupBy("cell").agg(F.collect_list("far").alias("far")).collect()}  # m rows of 64 (k + MOST_OWN) at most
     asked = {r["q_cell"]: r for r in cells.filter("q").groupBy("q_cell").agg(F.count(F.lit(1)).alias("n"), F.max("q_far").alias("far")).collect()}
     between = _distances(pivots, pivots)
-    limits, reach = np.full(m, -1.0), np.zeros(m)
-    queries, candidates = np.ones(m, np.int64), np.ones(m, np.int64)
+    limits, reach = np.full(groups, -1.0), np.zeros(groups)
+    queries, candidates = np.ones(groups, np.int64), np.ones(groups, np.int64)
     for i, r in asked.items():
         reach[i] = r["far"]
         # any candidate at distance x of pivot j is within reach + |p_i p_j| + x of every query of group i
@@ -183,7 +185,7 @@ def _summary(cells: DataFrame, pivots: np.ndarray, top: int, k: int, own: int) -
         # a query's own rows may be among them
         limits[i] = bounds[near - 1] if len(bounds) >= near and own <= MOST_OWN else np.inf
         queries[i] = -(-r["n"] // QUERY_BLOCK)
-    return Summary(pivots, top, limits, reach, queries, candidates)
+    return Summary(pivots[:groups], top, limits, reach, queries, candidates)
 
 
 def _unit(summary: Summary, group: np.ndarray, query_block: np.ndarray, candidate_block: np.ndarray) -> np.ndarray:
