@@ -48,6 +48,23 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand texts to Python in batches of so many rows at most: what a task holds follows its batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: Python workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def arrow_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the string or binary column of a piece has about limit bytes at most (one row at least)."""
     import pyarrow.compute as pc
@@ -62,6 +79,7 @@ def arrow_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) ->
             to = max(at + 1, int(ends.searchsorted(base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def map_arrow(df: DataFrame, schema: str, fn: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
