@@ -75,8 +75,8 @@ def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_
     least_words words, five-word shingles of so much similarity, normalized lengths within the ratio and no
     contradicting error identifiers. A null text is an empty one. ord must be unique.
     """
-    base = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    words = F.transform(T.word_tokens(F.col("text")), F.lower)
+    base = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_words", F.transform(T.word_tokens(F.col("text")), F.lower))
+    words = F.col("_words")  # a column of its own: higher-order functions would tokenize again for every shingle
     norm = T.normalize_for_hash(F.col("text"))
     facts = written(base.select(*scope, F.col("ord").alias("id"), F.sha2(norm, 256).alias("key"), F.length(norm).alias("chars"), F.size(words).alias("words"), T.error_tokens(F.col("text")).alias("errors"), T.shingles(words).alias("items")), "facts")
     first = facts.groupBy(*scope, "key").agg(F.min("id").alias("node"))

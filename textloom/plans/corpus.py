@@ -315,7 +315,7 @@ def boilerplate_sections(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, residual_dup_rate, simhash_bands, url_canonical, title_extract, prose_clean, boilerplate_filter,
+    exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, residual_dup_rate, url_canonical, title_extract, prose_clean, boilerplate_filter,
     fixed_chunks, structure_chunks, version_parse, version_scope_counts, version_compat, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
     source_coverage, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
     leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, recompute_compare, page_parse_blocks,
