@@ -44,6 +44,13 @@ def token_set_near_pairs(spark, sf):
     return pairs
 
 
+def token_set_members(spark, sf):
+    """Every document with its representative in token_set_near_pairs and the number of pairs that one is in."""
+    pairs, members = dedup.similar_pairs(_sets(spark, sf), 82)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, "node", "left").select(F.col("id").alias("doc_id"), "node", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def residual_dup_rate(spark, sf):
     pairs, members = dedup.similar_pairs(_sets(spark, sf), 94)
     touched = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -315,7 +322,7 @@ def boilerplate_sections(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, residual_dup_rate, url_canonical, title_extract, prose_clean, boilerplate_filter,
+    exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, token_set_members, residual_dup_rate, url_canonical, title_extract, prose_clean, boilerplate_filter,
     fixed_chunks, structure_chunks, version_parse, version_scope_counts, version_compat, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
     source_coverage, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
     leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, recompute_compare, page_parse_blocks,
@@ -355,6 +362,8 @@ _POOL = f"list_distinct(list_filter(list_transform(regexp_extract_all(text, {_qu
 ORACLE = {
     "exact_dedup": f"SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, {_NORM} ORDER BY doc_id) = 1 AS keeps FROM documents",
     "token_set_near_pairs": f"WITH {_SET}, {_PAIRS.format(82)} SELECT a, b, common, size_a, size_b FROM pairs",
+    "token_set_members": f"""WITH {_SET}, {_PAIRS.format(82)}, l AS (SELECT node, count(*) AS links FROM (SELECT a AS node FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY node),
+      m AS (SELECT doc_id, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS node FROM sets) SELECT doc_id, node, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (node)""",
     "residual_dup_rate": f"""WITH {_SET}, {_PAIRS.format(94)}, m AS (SELECT doc_id, s, count(*) OVER (PARTITION BY s) AS n, min(doc_id) OVER (PARTITION BY s) AS node FROM sets)
       SELECT count(*) AS documents, count(CASE WHEN len(s) > 0 AND n > 1 OR node IN (SELECT a FROM pairs UNION SELECT b FROM pairs) THEN 1 END) AS touched FROM m""",
     "title_extract": r"SELECT page_id, trim(regexp_replace(CASE WHEN t = '' THEN regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) ELSE t END, '\s+', ' ', 'g')) AS title FROM (SELECT *, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)",
