@@ -176,6 +176,16 @@ def source_coverage(spark, sf):
     return known.join(counts, "source", "left").join(bad, "source", "left").na.fill(0)
 
 
+def source_coverage_all(spark, sf):
+    """Every source of the list and every other that documents have, null as one of them."""
+    docs = documents(spark, sf)
+    none = F.lit(0).cast("long")
+    known = spark.range(0, 16).select(F.concat(F.lit("src"), F.col("id")).alias("source"), F.lit(True).alias("expected"), none.alias("documents"), none.alias("langs"), none.alias("rejected"))
+    counts = docs.groupBy("source").agg(F.lit(False).alias("expected"), F.count(F.lit(1)).alias("documents"), F.countDistinct("lang").alias("langs"), none.alias("rejected"))
+    bad = docs.join(table(spark, sf, "labels").filter("quality = 0"), "doc_id", "left_semi").groupBy("source").agg(F.lit(False).alias("expected"), none.alias("documents"), none.alias("langs"), F.count(F.lit(1)).alias("rejected"))
+    return known.unionAll(counts).unionAll(bad).groupBy("source").agg(F.bool_or("expected").alias("expected"), *[F.sum(c).alias(c) for c in ("documents", "langs", "rejected")])
+
+
 def vocab_size(spark, sf):
     return documents(spark, sf).select("lang", F.explode(T.word_tokens(F.col("text"))).alias("t")).groupBy("lang").agg(F.countDistinct(F.lower("t")).alias("vocabulary"))
 
@@ -324,7 +334,7 @@ def boilerplate_sections(spark, sf):
 QUERIES = {f.__name__: f for f in (
     exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, token_set_members, residual_dup_rate, url_canonical, title_extract, prose_clean, boilerplate_filter,
     fixed_chunks, structure_chunks, version_parse, version_scope_counts, version_compat, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
-    source_coverage, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
+    source_coverage, source_coverage_all, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
     leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, recompute_compare, page_parse_blocks,
     serialize_queries, answer_contract, boilerplate_sections,
 )}
@@ -390,6 +400,8 @@ ORACLE = {
     "corpus_stats": f"WITH {_WORDS} SELECT {_STATS} FROM w",
     "lang_stats": f"WITH {_WORDS} SELECT lang, {_STATS} FROM w GROUP BY lang",
     "source_coverage": "SELECT s AS source, count(d.doc_id) AS documents, count(DISTINCT lang) AS langs, count(CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 1 END) AS rejected FROM (SELECT 'src' || i AS s FROM range(16) t(i)) LEFT JOIN documents d ON d.source = s GROUP BY s",
+    "source_coverage_all": """WITH k AS (SELECT 'src' || i AS s FROM range(16) t(i)), d AS (SELECT source, count(*) AS documents, count(DISTINCT lang) AS langs, count(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 1 END) AS rejected FROM documents GROUP BY source)
+      SELECT coalesce(s, source) AS source, s IS NOT NULL AS expected, coalesce(documents, 0) AS documents, coalesce(langs, 0) AS langs, coalesce(rejected, 0) AS rejected FROM k FULL JOIN d ON s = source""",
     "vocab_size": f"SELECT lang, count(DISTINCT lower(t)) AS vocabulary FROM (SELECT lang, unnest(regexp_extract_all(text, {_quoted(T.WORD)})) AS t FROM documents) GROUP BY lang",
     "balanced_sample": """WITH a AS (SELECT doc_id, lang, source, CAST(doc_id % 7 AS VARCHAR) AS k, row_number() OVER (PARTITION BY lang, source, doc_id % 7 ORDER BY doc_id) AS n FROM documents),
       b AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n, k) AS p FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY p, source) AS position FROM b),
