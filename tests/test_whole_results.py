@@ -1,7 +1,12 @@
 """Queries on tables made here: every row and every part of it counts."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.operators import dedup
 from textloom.plans import corpus
 
 
@@ -32,3 +37,47 @@ def test_sources_outside_of_the_list_are_counted(spark, tables):
     got = {r["source"]: tuple(r)[1:] for r in corpus.source_coverage_all(spark, sf).select("source", "expected", "documents", "langs", "rejected").collect()}
     assert len(got) == 19 and sum(r[1] for r in got.values()) == len(docs)
     assert (got["src0"], got["src15"], got["src19"], got["elsewhere"], got[None]) == ((True, 2, 2, 1), (True, 0, 0, 0), (False, 1, 1, 1), (False, 1, 1, 0), (False, 2, 1, 1))
+
+
+def near_by_brute_force(spark, rows):
+    """The greedy pass of the reference over all earlier kept rows."""
+    text = F.col("text")
+    words = F.transform(T.word_tokens(text), F.lower)
+    facts = spark.createDataFrame(rows, "ord long, scope string, text string").select("ord", "scope", T.normalize_for_hash(text).alias("norm"), F.size(words).alias("words"), T.error_tokens(text).alias("errors"), T.shingles(words).alias("items"))
+    kept, seen, found = [], set(), {}
+    for r in facts.orderBy("ord").collect():
+        items, errors = set(r["items"]), set(r["errors"])
+        if (r["scope"], r["norm"]) in seen:
+            found[r["ord"]] = "exact"
+            continue
+        for scope, norm, others, marks in kept if r["words"] >= 20 else ():
+            a, b = sorted((len(norm), len(r["norm"])))
+            if scope == r["scope"] and a >= 0.8 * b and not (errors and marks and errors != marks) and 100 * len(items & others) >= 85 * len(items | others):
+                found[r["ord"]] = "near"
+                break
+        else:
+            found[r["ord"]] = None
+            kept.append((r["scope"], r["norm"], items, errors))
+            seen.add((r["scope"], r["norm"]))
+    return found
+
+
+def near(spark, rows):
+    return {r["ord"]: r["kind"] for r in dedup.near_keep_first(spark.createDataFrame(rows, "ord long, scope string, text string"), ["scope"]).collect()}
+
+
+def test_repeated_lines_meet_each_other(spark):
+    line = "the quick brown fox jumps over a lazy dog today\n"
+    rows = [(i, "x", line * n) for i, n in ((1, 2), (2, 8), (3, 9), (4, 3), (5, 7), (6, 40), (7, 33), (8, 9))]
+    got = near(spark, rows)
+    assert got[2] is None and got[3] == "near" and got == near_by_brute_force(spark, rows)
+
+
+def test_near_keep_first_against_brute_force(spark):
+    rng = random.Random(8)
+    lines = ["alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine ten"]
+    rows = []
+    for i in range(120):
+        text = (rng.choice(lines) + rng.choice(["\n", ".\n", " ;\n"])) * rng.randint(1, 14)
+        rows.append((i, rng.choice("xy"), text + rng.choice(["", "", " ERROR 1064", " ERROR 1146", "!", " " + " ".join(f"t{j}" for j in range(rng.randint(1, 3)))])))
+    assert near(spark, rows) == near_by_brute_force(spark, rows)

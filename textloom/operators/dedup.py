@@ -84,15 +84,21 @@ def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_
     # copies of a row have its edges, so only the first of each key is compared
     firsts = facts.join(first.select("node"), facts["id"] == F.col("node"), "left_semi")
     pairs, members = similar_pairs(firsts.select(*scope, "id", "items"), percent, scope)
-    one = members.withColumnRenamed("node", "a").withColumnRenamed("id", "x")
-    two = members.withColumnRenamed("node", "b").withColumnRenamed("id", "y")
-    across = pairs.select("a", "b").join(one, "a").join(two, "b").select("x", "y")
-    equal = members.filter("id != node").select(F.col("node").alias("x"), F.col("id").alias("y"))
-    info = lambda p: facts.select(F.col("id").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("chars", "words", "errors")])
-    edges = across.unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(info("a"), "a").join(info("b"), "b")
-    clash = (F.size("errors_a") > 0) & (F.size("errors_b") > 0) & (F.array_sort("errors_a") != F.array_sort("errors_b"))
-    near = edges.filter((F.col("words_b") >= least_words) & (F.least("chars_a", "chars_b") >= length_ratio * F.greatest("chars_a", "chars_b")) & ~clash).select("a", "b")
-    decided = keep_first(firsts.select(F.col("id").alias("node")), near)
+    # Rows of one shingle set, length, error identifiers and sufficiency of words have the same neighbours. The first of
+    # them speaks for all: what drops it drops the others, and if it is kept it drops them, unless they are too short to be dropped.
+    alike = ["node", "chars", "errors", "enough"]
+    who = members.join(facts.select("id", "chars", F.array_sort("errors").alias("errors"), (F.col("words") >= least_words).alias("enough")), "id")
+    speakers = written(who.groupBy(*alike).agg(F.min("id").alias("first")), "speakers")
+    side = lambda n, p: speakers.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{p}") for c in ("first", "chars", "errors", "enough")])
+    within = speakers.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    met = pairs.select("a", "b").unionAll(within).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    clash = (F.size("errors_x") > 0) & (F.size("errors_y") > 0) & (F.col("errors_x") != F.col("errors_y"))
+    close = F.least("chars_x", "chars_y") >= length_ratio * F.greatest("chars_x", "chars_y")
+    later = F.when(F.col("first_x") > F.col("first_y"), F.col("enough_x")).otherwise(F.col("enough_y"))
+    near = met.filter((F.col("first_x") != F.col("first_y")) & close & ~clash & later).select(F.least("first_x", "first_y").alias("a"), F.greatest("first_x", "first_y").alias("b"))
+    passed = keep_first(firsts.select(F.col("id").alias("node")), near)
+    spoken = who.filter("enough").select(F.col("id").alias("node")).join(speakers.select(F.col("first").alias("node")), "node", "left_anti").withColumn("_spoken", F.lit(True))
+    decided = passed.join(spoken, "node", "left").withColumn("kept", F.col("kept") & F.col("_spoken").isNull()).drop("_spoken")
     kind = F.when(~F.col("kept_node"), "near").when(F.col("ord") != F.col("node"), "exact")
     return rows.join(same.join(decided.withColumnRenamed("kept", "kept_node"), "node").withColumnRenamed("id", "ord"), "ord", "left").withColumn("kind", kind).withColumn("kept", F.col("kind").isNull()).drop("node", "kept_node")
 
