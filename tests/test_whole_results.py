@@ -81,3 +81,18 @@ def test_near_keep_first_against_brute_force(spark):
         text = (rng.choice(lines) + rng.choice(["\n", ".\n", " ;\n"])) * rng.randint(1, 14)
         rows.append((i, rng.choice("xy"), text + rng.choice(["", "", " ERROR 1064", " ERROR 1146", "!", " " + " ".join(f"t{j}" for j in range(rng.randint(1, 3)))])))
     assert near(spark, rows) == near_by_brute_force(spark, rows)
+
+
+def test_simhash_bands_against_brute_force(spark, tables):
+    rng = random.Random(4)
+    texts = [None, "", "one", "a b c d", *(" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (5, 6, 9, 40, 300)), "same words here five times " * 9]
+    sf = tables(documents=([(i, t, "en", "s") for i, t in enumerate(texts)], DOCUMENTS))
+    got = {(r["doc_id"], r["band"]): r["value"] for r in corpus.simhash_bands(spark, sf).collect()}
+    items = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.shingles(F.transform(T.word_tokens(F.col("text")), F.lower)).alias("items"))
+    hashes = items.select("doc_id", F.transform("items", lambda x: F.xxhash64(x)).alias("h")).collect()
+    want = {}
+    for r in hashes:
+        value = sum(1 << bit for bit in range(64) if r["h"] and sum(1 if h >> bit & 1 else -1 for h in r["h"]) >= 0)
+        want |= {(r["doc_id"], band): value >> 8 * band & 255 for band in range(8)}
+    assert got == want and len(got) == 8 * len(texts)
+    assert "simhash_bands" in corpus.QUERIES

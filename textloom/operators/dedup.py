@@ -6,8 +6,11 @@ token of their prefixes. Equal sets are one node first, so copies, however many,
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from textloom.functions import text as T
 from textloom.operators.storage import written
@@ -105,12 +108,19 @@ def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_
 
 def simhash(items: Column) -> Column:
     """64 bits; each is set where at least half of the items' hashes have it. 0 for no items."""
-    hashes = F.transform(items, lambda x: F.xxhash64(x))
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    bits = F.lit(0).cast("long")
-    for b in range(64):
-        bits = bits.bitwiseOR(F.when(ones(b) >= 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(items) == 0, F.lit(0).cast("long")).otherwise(bits)
+
+    def bits(hashes: pd.Series) -> pd.Series:
+        out = np.zeros(len(hashes), np.int64)
+        for i, h in enumerate(hashes):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(h), 1 << 16):
+                ones += np.unpackbits(np.asarray(h[at : at + (1 << 16)], "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if len(h):
+                out[i] = np.packbits(2 * ones >= len(h), bitorder="little").view("<i8")[0]
+        return pd.Series(out)
+
+    hashes = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.xxhash64(x))
+    return F.pandas_udf(bits, "long", PandasUDFType.SCALAR)(hashes)
 
 
 def report(rows: DataFrame, scope: list[str]) -> DataFrame:

@@ -58,8 +58,9 @@ def residual_dup_rate(spark, sf):
 
 
 def simhash_bands(spark, sf):
-    words = F.transform(T.word_tokens(F.col("text")), F.lower)
-    h = documents(spark, sf).select("doc_id", dedup.simhash(T.shingles(words)).alias("h"))
+    """Eight bytes of each document's SimHash, the lowest first."""
+    words = documents(spark, sf).select("doc_id", F.transform(T.word_tokens(F.col("text")), F.lower).alias("words"))
+    h = words.select("doc_id", dedup.simhash(T.shingles(F.col("words"))).alias("h"))
     return h.select("doc_id", F.posexplode(F.array(*[F.shiftrightunsigned("h", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)])).alias("band", "value"))
 
 
@@ -332,7 +333,7 @@ def boilerplate_sections(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, token_set_members, residual_dup_rate, url_canonical, title_extract, prose_clean, boilerplate_filter,
+    exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, token_set_members, residual_dup_rate, simhash_bands, url_canonical, title_extract, prose_clean, boilerplate_filter,
     fixed_chunks, structure_chunks, version_parse, version_scope_counts, version_compat, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
     source_coverage, source_coverage_all, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
     leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, recompute_compare, page_parse_blocks,
