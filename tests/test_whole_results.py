@@ -96,3 +96,10 @@ def test_simhash_bands_against_brute_force(spark, tables):
         want |= {(r["doc_id"], band): value >> 8 * band & 255 for band in range(8)}
     assert got == want and len(got) == 8 * len(texts)
     assert "simhash_bands" in corpus.QUERIES
+
+
+def test_citations_of_every_turn_count(spark, tables):
+    rows = [(1, 0, "user", "see 7"), (1, 1, "assistant", "as 0 and 0 say"), (1, 2, "user", "thanks"), (2, 0, "user", "no numbers"), (2, 1, "user", None), (3, 5, "user", "5, 5 and 6"), (None, 1, "user", "1")]
+    sf = tables(conversations=(rows, "conv_id long, turn int, role string, text string"))
+    got = {r["conv_id"]: (r["cited"], r["validity"]) for r in corpus.citation_validity(spark, sf).collect()}
+    assert got == {1: (3, 0.666667), 2: (0, 1.0), 3: (3, 0.666667), None: (1, 1.0)}

@@ -272,10 +272,13 @@ def conversation_contract(spark, sf):
 
 
 def citation_validity(spark, sf):
-    """A conversation's words that are numbers stand for citations of turns."""
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_set(F.col("turn").cast("string")).alias("known"), F.max(F.col("text")).alias("text"))
-    cited = F.array_distinct(T.all_of(F.col("text"), "[0-9]+"))
-    return rows.select("conv_id", F.size(cited).cast("long").alias("cited"), F.round(F.when(F.size(cited) == 0, 1.0).otherwise(F.size(F.array_intersect(cited, F.col("known"))) / F.size(cited)), 6).alias("validity"))
+    """A conversation's words that are numbers stand for citations of turns; all turns are searched, repeats count."""
+    rows = table(spark, sf, "conversations")
+    turns = rows.select("conv_id", F.col("turn").cast("string").alias("number"), F.lit(0).alias("n"), F.lit(True).alias("known"))
+    numbers = rows.select("conv_id", F.explode(T.all_of(F.col("text"), "[0-9]+")).alias("number"), F.lit(1).alias("n"), F.lit(False).alias("known"))
+    sums = turns.unionAll(numbers).groupBy("conv_id", "number").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known"))
+    counts = sums.groupBy("conv_id").agg(F.sum("n").alias("cited"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("valid"))
+    return counts.select("conv_id", "cited", F.round(F.when(F.col("cited") == 0, 1.0).otherwise(F.col("valid") / F.col("cited")), 6).alias("validity"))
 
 
 def task_success_paired(spark, sf):
