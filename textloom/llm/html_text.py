@@ -30,6 +30,8 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of the first closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: May stand in a head; the start of any other element ends it, as text does.
+HEAD = frozenset("head base basefont bgsound link meta title noscript noframes script style template html".split())
 SCOPES = frozenset("article aside body div dl footer form header main nav ol section table td th ul".split())
 
 # The classifier's weights; positive speaks for content. No page has labels, so they are set, not learned.
@@ -109,7 +111,9 @@ def blocks(page: str) -> list[Block]:
             parts, links = [], []
 
     def add(text: str) -> None:
-        nonlocal owner
+        nonlocal owner, in_head
+        if in_head and here.tag not in RAW and text.strip():
+            in_head = False
         if text and not in_head:
             if not parts:
                 owner = here
@@ -135,7 +139,6 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if tag == "head":
                 in_head = False
-                parts, links = [], []
                 continue
             if tag in BLOCKS:
                 end_block()
@@ -151,9 +154,9 @@ def blocks(page: str) -> list[Block]:
                 here = x.parent
             continue
         if tag == "head":
-            in_head = True
+            in_head = not out and not "".join(parts).strip()  # in the body it means nothing
             continue
-        if tag == "body":
+        if tag not in HEAD:
             in_head = False
         if tag in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
