@@ -20,3 +20,27 @@ def test_text_around_a_head():
     assert texts("Before <head>and</head> after") == ["Before and after"]
     assert texts("<p>Before</p><head><p>within</p></head>after") == ["Before", "within", "after"]
     assert texts("<html> <head> <title>T</title> </head> <body>x") == ["x"]
+
+
+NAMED = ("has-sidebar", "no-sidebar", "comments-open", "with-header", "legal-news", "single ad-free", "menu-open tag-news", "privacy-page", "search-results")
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_wrappers_named_like_furniture(name):
+    furniture = "<nav><a href=/>Home</a></nav>", "<div class=sidebar><p>Some words about the author. They write.</p></div><section class='comments'><p>I liked this a lot. Thank you.</p></section>"
+    for before, after in (("", ""), furniture):
+        for page in (
+            f"<html class='{name}'><body>{before}<article>{ARTICLE}</article>{after}</body></html>", f"<body class='{name}'>{before}<article>{ARTICLE}</article>{after}</body>", f"<body class='{name}'>{before}{ARTICLE}{after}</body>",
+            f"<body>{before}<div id='{name}'><article>{ARTICLE}</article></div>{after}</body>", f"<body><div class='{name}'><div class='{name}'>{before}<main>{ARTICLE}</main>{after}</div></div></body>",
+            f"<body>{before}<article class='{name}'>{ARTICLE}</article>{after}</body>", f"<body>{before}<div class='{name}'>{ARTICLE}</div>{after}</body>", f"<body>{before}<div class='{name}'><div role='main' class='{name}'>{ARTICLE}</div></div>{after}</body>",
+        ):
+            got = main_text(page)
+            assert WANT[7:] in got and got == main_text(page.replace(name, "x")), page
+
+
+def test_long_comments_and_teasers_stay_out():
+    comment = "<li class='comment'><article class='comment-body'><p>A comment on it, at some length. With a reason, too.</p></article></li>"
+    assert main_text(f"<body><article>{ARTICLE}</article><section class='comments'><ol class='comment-list'>{comment * 9}</ol></section></body>") == WANT
+    assert main_text(f"<body class='comments-open'><div>{ARTICLE}</div><div class='comments-area'>{comment}</div></body>") == WANT
+    assert main_text(f"<body class='has-sidebar'><div class='content'>{ARTICLE}</div><div class='sidebar'><article><p>Read more. Here.</p></article></div></body>") == WANT
+    assert main_text(f"<body><article>{ARTICLE}</article><aside class='related'><article><p>Another text of ours. Read it.</p></article></aside></body>") == WANT

@@ -47,6 +47,7 @@ NAMES = (
     (re.compile(r"(?:^|[-_ ])(?:shar(?:e|ing)\w*|social\w*|follow|buttons?|toolbar|search\w*|forms?)(?=$|[-_ ])"), -5.0),
     (re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|content|main|body|text)(?:-?(?:body|content|text))?(?=$|[-_ ])"), 1.5),
 )
+COMMENTS = NAMES[6][0]
 ROLES = {"navigation": -6.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -6.0, "alertdialog": -6.0, "alert": -5.0, "menu": -6.0, "menubar": -6.0, "main": 2.0, "article": 3.0}
 BASE, LENGTH, SENTENCES, LINKS, HIDDEN = -1.2, 0.9, 0.8, -4.0, -7.0
 NEXT, SIBLING, FAR = 0.7, 0.7, 0.6
@@ -62,9 +63,14 @@ class Element:
     tag: str
     parent: Element | None
     depth: int
-    weight: float  # of it and its ancestors
-    sharp: float  # the most negative hint among them
+    hint: float
+    mild: float  # the hint without names that speak against it
     in_article: bool
+    article: bool = False
+    comments: bool = False
+    chars: int = 0  # of text in it and its descendants
+    weight: float = 0.0  # of it and its ancestors
+    sharp: float = 0.0  # the most negative hint among them
 
 
 @dataclass(slots=True)
@@ -75,7 +81,8 @@ class Block:
     weight: float = 0.0
 
 
-def _hint(tag: str, attributes: str, inside: bool) -> float:
+def _hint(tag: str, attributes: str, inside: bool, names: bool = True) -> float:
+    """What tag and attributes say; without names, class and id may only speak for content."""
     found = ELEMENT.get(tag, 0.0) if tag in ("nav", "menu", "footer", "aside", "form", "dialog", "button", "fieldset", "label", "search", "header", "address", "article", "main") else 0.0
     if tag == "header" and inside:
         found = -0.5  # of an article: its title
@@ -83,7 +90,7 @@ def _hint(tag: str, attributes: str, inside: bool) -> float:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             value, name = _CAMEL.sub("-", a or b or c).lower(), name.lower()
             if name in ("class", "id"):
-                worst = min((w for pattern, w in NAMES if pattern.search(value)), default=0.0)
+                worst = min((w for pattern, w in NAMES if pattern.search(value)), default=0.0) if names else 0.0
                 best = max((w for pattern, w in NAMES if pattern.search(value)), default=0.0)
                 found = min(found, worst) if worst < 0 else max(found, best)
             elif name == "role":
@@ -98,6 +105,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     root = Element("", None, 0, 0.0, 0.0, False)
     here, owner = root, root
+    elements: list[Element] = []
     parts: list[str] = []
     links: list[str] = []
     anchors, at, in_head = 0, 0, False
@@ -188,11 +196,42 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCKS:
             anchors = 0 if tag not in ("li", "td", "div") else anchors
         hint = _hint(tag, attributes, here.in_article)
-        here = Element(tag, here, here.depth + 1, here.weight + hint, min(here.sharp, hint), here.in_article or tag == "article" or hint >= 3.0)
+        mild = _hint(tag, attributes, here.in_article, False) if hint < 0 and attributes else hint
+        chief = tag in ("article", "main") or mild >= 2.0
+        comments = hint < mild and any(name.lower() in ("class", "id") and COMMENTS.search(_CAMEL.sub("-", a or b or c).lower()) for name, a, b, c in _ATTRIBUTE.findall(attributes))
+        here = Element(tag, here, here.depth + 1, hint, mild, here.in_article or tag == "article" or hint >= 3.0, chief, comments)
+        elements.append(here)
     end_block()
+    _settle(elements, out)
     return out
 
 
+def _settle(elements: list[Element], found: list[Block]) -> None:
+    """Sums up hints from the root to each element, parents first. A name like "has-sidebar" on an element that holds
+    the page's main part speaks of the page, not of its text, so it isn't counted there."""
+    for b in found:
+        b.element.chars += len(b.text)
+    for e in reversed(elements):
+        e.parent.chars += e.chars
+    total = sum(len(b.text) for b in found)
+    best: Element | None = None
+    for e in elements:
+        # sharp: what tags, roles and hiding say
+        e.sharp = min(e.parent.sharp, e.mild)
+        if e.article and e.sharp > -4.0 and 4 * e.chars >= total and (best is None or e.chars > best.chars):
+            best = e
+    holders = set()
+    x = best
+    while x is not None:
+        holders.add(id(x))
+        x = x.parent
+    for e in elements:
+        wide = 2 * e.chars > total
+        spared = e.tag in ("html", "body", "main", "article") or (wide and (best is None or id(e) in holders) if e.comments else wide or id(e) in holders)
+        hint = e.mild if spared else e.hint
+        e.weight, e.sharp = e.parent.weight + hint, min(e.parent.sharp, hint)
+
+
 def _weigh(block: Block) -> float:
     n, element = len(block.text), block.element
     z = BASE + LENGTH * min(3.0, math.log1p(n / 40)) + SENTENCES * min(2, len(_SENTENCE.findall(block.text))) + LINKS * (block.link_chars / n)
