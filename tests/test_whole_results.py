@@ -43,7 +43,7 @@ def near_by_brute_force(spark, rows):
     """The greedy pass of the reference over all earlier kept rows."""
     text = F.col("text")
     words = F.transform(T.word_tokens(text), F.lower)
-    facts = spark.createDataFrame(rows, "ord long, scope string, text string").select("ord", "scope", T.normalize_for_hash(text).alias("norm"), F.size(words).alias("words"), T.error_tokens(text).alias("errors"), T.shingles(words).alias("items"))
+    facts = spark.createDataFrame(rows, "ord long, scope string, text string").select("ord", "scope", T.normalize_for_hash(F.coalesce(text, F.lit(""))).alias("norm"), F.size(words).alias("words"), T.error_tokens(F.coalesce(text, F.lit(""))).alias("errors"), T.shingles(words).alias("items"))
     kept, seen, found = [], set(), {}
     for r in facts.orderBy("ord").collect():
         items, errors = set(r["items"]), set(r["errors"])
@@ -103,3 +103,12 @@ def test_citations_of_every_turn_count(spark, tables):
     sf = tables(conversations=(rows, "conv_id long, turn int, role string, text string"))
     got = {r["conv_id"]: (r["cited"], r["validity"]) for r in corpus.citation_validity(spark, sf).collect()}
     assert got == {1: (3, 0.666667), 2: (0, 1.0), 3: (3, 0.666667), None: (1, 1.0)}
+
+
+def test_copies_without_scope_or_text(spark, tables):
+    docs = [(1, "a b", None, "s"), (2, "A  b", None, "s"), (3, None, "en", "s"), (4, None, "en", "s"), (5, None, None, "s"), (6, None, None, "s"), (7, "a b", "en", "s")]
+    sf = tables(documents=(docs, DOCUMENTS))
+    assert {r["doc_id"]: r["keeps"] for r in corpus.exact_dedup(spark, sf).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True}
+    words = [f"token{i}" for i in range(100)]
+    rows = [(1, None, "same"), (2, None, "Same"), (3, None, " ".join(words)), (4, None, " ".join([*words[:99], "else"])), (5, "x", " ".join(words)), (6, None, None), (7, None, "")]
+    assert near(spark, rows) == near_by_brute_force(spark, rows) | {6: None, 7: "exact"} == {1: None, 2: "exact", 3: None, 4: "near", 5: None, 6: None, 7: "exact"}

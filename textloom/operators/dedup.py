@@ -6,6 +6,9 @@ token of their prefixes. Equal sets are one node first, so copies, however many,
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +21,17 @@ from textloom.operators.storage import written
 
 def exact(rows: DataFrame, scope: list[str], key: Column, order: str) -> DataFrame:
     """rows with a column keeps: the first of each (scope, key) in order. The first is found by an aggregate, so a key
-    with many copies is summed up before it is shuffled."""
+    with many copies is summed up before it is shuffled. Nulls are equal."""
     keyed = rows.withColumn("_key", F.sha2(key, 256))
-    first = keyed.groupBy(*scope, "_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first, [*scope, "_key"], "left").withColumn("keeps", F.col(order).eqNullSafe(F.col("_first"))).drop("_key", "_first")
+    names = [*scope, "_key"]
+    first = keyed.groupBy(*names).agg(F.min(order).alias("_first")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_first")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)])  # nulls are one scope, and one key
+    return keyed.join(first, same, "left").drop(*[f"_k{i}" for i in range(len(names))]).withColumn("keeps", F.col(order).eqNullSafe(F.col("_first"))).drop("_key", "_first")
+
+
+def _scoped(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """The scope's columns as structs, which are equal if their nulls are."""
+    return rows.withColumns({c: F.struct(c) for c in scope}) if scope else rows
 
 
 def similar_pairs(sets: DataFrame, percent: int, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -29,6 +39,7 @@ def similar_pairs(sets: DataFrame, percent: int, scope: list[str] | None = None)
     representatives, a < b, with 100 * common >= percent * union, and members (id, node). Empty sets pair with nothing
     and are their own node."""
     scope = scope or []
+    sets = _scoped(sets, scope)
     keyed = sets.withColumn("_d", F.sha2(F.array_join(F.array_sort("items"), "\x01"), 256))
     nodes = written(keyed.groupBy(*scope, "_d").agg(F.min("id").alias("node"), F.any_value("items").alias("items")), "nodes")
     members = keyed.filter(F.size("items") > 0).join(nodes.select(*scope, "_d", "node"), [*scope, "_d"]).select("id", "node")
@@ -78,7 +89,7 @@ def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_
     least_words words, five-word shingles of so much similarity, normalized lengths within the ratio and no
     contradicting error identifiers. A null text is an empty one. ord must be unique.
     """
-    base = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_words", F.transform(T.word_tokens(F.col("text")), F.lower))
+    base = _scoped(rows, scope).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_words", F.transform(T.word_tokens(F.col("text")), F.lower))
     words = F.col("_words")  # a column of its own: higher-order functions would tokenize again for every shingle
     norm = T.normalize_for_hash(F.col("text"))
     facts = written(base.select(*scope, F.col("ord").alias("id"), F.sha2(norm, 256).alias("key"), F.length(norm).alias("chars"), F.size(words).alias("words"), T.error_tokens(F.col("text")).alias("errors"), T.shingles(words).alias("items")), "facts")
