@@ -2,11 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm.records import build_index, frame, frame_at, from_payload, scan_records, to_payload, write_records
 from textloom.llm.token_counts import count_tokens, stored_counts
-from textloom.llm.tokenization import Encoder, pack, vocabulary_path
+from textloom.llm.tokenization import Encoder, vocabulary_path
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
@@ -17,7 +18,33 @@ def test_encoder_is_the_library(name):
     signs = ["a", "B", " ", " ", "  ", "\n", "\t", "'s", "É", "<|endoftext|>", "<|startoftext|>", "́", "9", ".", "Σ", "\x1c", "　", "漢", "🙂", "<|", "İ", "ß", "hello", " world"]
     for _ in range(4000):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
-        assert e.encode(text) == e.whole(text), repr(text)
+        ids, ends = e.encode(pa.array([text]))
+        assert ids.tolist() == e.whole(text) and ends.tolist() == [0, len(ids)], repr(text)
+
+
+def test_many_texts_at_once():
+    """Tables that grow, texts that can't be cut, columns that are slices, lone pieces."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) + rng.choice(["", "", ",", "é", "9", "\n"]) for _ in range(3000)]
+    texts = [rng.choice([" ", " ", " ", "  "]).join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for name in NAMES:
+        e = Encoder(vocabulary_path(name))
+        e.table.clear(4)
+        want = [e.whole(t) for t in texts]
+        for a, b in ((0, 1500), (700, 710), (3, 1400), (5, 5)):
+            column = pa.array(texts).slice(a, b - a)
+            ids, ends = e.encode(column)
+            assert [ids[x:y].tolist() for x, y in zip(ends[:-1], ends[1:])] == want[a:b]
+            assert e.counts(column).tolist() == [len(x) for x in want[a:b]]
+
+
+def test_another_vocabulary_is_encoded_whole(tmp_path):
+    """A file that is not one of the known ones byte for byte is not cut at spaces."""
+    path = tmp_path / "other.json"
+    with open(vocabulary_path(NAMES[0])) as f:
+        path.write_text(f.read() + "\n")
+    e = Encoder(str(path))
+    assert not e.cuts and e.encode(pa.array(["a b", "", "c"]))[1].tolist() == [0, 2, 2, 3] and e.counts(pa.array(["a b"])).tolist() == [2]
 
 
 def test_frames():
@@ -48,7 +75,7 @@ def test_records_round_trip(spark, tmp_path):
     write_records(docs, path, vocabulary_path("word_bpe_49k.json"), end_id=2, file_bytes=300)
     index = sorted(build_index(spark, path).collect(), key=lambda r: (r["file"], r["n"]))
     e = Encoder(vocabulary_path("word_bpe_49k.json"))
-    want = [(i, e.whole(t or "") + pack([2])) for i, t in rows]
+    want = [(i, np.array([*e.whole(t or ""), 2], "<u4").tobytes()) for i, t in rows]
     assert len({r["file"] for r in index}) > 3 and len(index) == len(rows)
     assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in index) == sorted((str(i), zlib.crc32(x)) for i, x in want)
     ids = [r["doc_id"] for r in index]
@@ -78,7 +105,7 @@ def test_counts_and_cache(spark, tmp_path):
     rows = [(1, "hello world"), (2, "hello world"), (3, None), (4, ""), (None, "ß <|endoftext|> x"), (4, "  two  "), (1, "hello world")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_tokens int")
     e = Encoder(path)
-    want = sorted((str(i), len((t or "").encode()), len(e.whole(t or "")) // 4) for i, t in rows)
+    want = sorted((str(i), len((t or "").encode()), len(e.whole(t or ""))) for i, t in rows)
     for _ in range(2):
         got = count_tokens(docs, path, cache).collect()
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want

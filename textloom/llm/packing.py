@@ -170,7 +170,8 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits
 
         for batch in arrow_chunks(batches, "text", CHUNK_BYTES):
             id_type = batch.column("id").type
-            new = [own.encode(t) + tail for t in batch.column("text").to_pylist()]
+            found, ends = own.encode(batch.column("text"))
+            new = [found[a:b].tobytes() + tail for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             ids.append(batch.column("id").cast(id_type))
             encoded += new
             prompts += batch.column("prompt").to_pylist()

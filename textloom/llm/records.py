@@ -93,10 +93,11 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         width = 2 if own.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        tail = end_id.to_bytes(4, "little")
+        tail = np.uint32(end_id)
         for batch in arrow_chunks(batches, "text", CHUNK_BYTES):
+            ids, ends = own.encode(batch.column("text"))
             # without the row end, which the writer adds
-            made = [frame(to_payload(d, np.frombuffer(own.encode(t) + tail, "<u4"), width))[:-1] for d, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())]
+            made = [frame(to_payload(d, np.append(ids[a:b], tail), width))[:-1] for d, a, b in zip(batch.column("id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["frame"])
 
     ordered.select("id", "text").mapInArrow(framed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)

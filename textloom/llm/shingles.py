@@ -7,7 +7,9 @@ import hashlib
 
 import numpy as np
 
-SEGMENT = 1 << 20
+#: Bytes that are hashed at a time.
+SEGMENT_BITS = 18
+SEGMENT = 1 << SEGMENT_BITS
 _WHITE = (9, 10, 11, 12, 13, 32)
 #: A-Z to a-z, white space to a space, all else to itself.
 FOLD = bytes(32 if b in _WHITE else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -43,27 +45,31 @@ _BYTE = stream(0x51, 256)
 _PLACE = stream(0x52, 64)
 
 
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, which depends on its bytes alone. Spans are in order and don't overlap."""
+    out = np.empty(len(first), np.uint64)
+    done = 0
+    with np.errstate(over="ignore"):
+        while done < len(first):
+            base = int(first[done])
+            to = max(done + 1, int(np.searchsorted(last, base + SEGMENT, side="right")))
+            a, b = first[done:to] - base, last[done:to] - base
+            part = data[base : base + int(b[-1])]
+            power, inverse = _powers(1 << max(SEGMENT_BITS, len(part).bit_length()))
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
+            out[done:to] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+            done = to
+    return out
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and first byte of each word of folded bytes. A word's hash depends on its bytes alone."""
-    hashes, starts, at = [], [], 0
-    while at < len(data):
-        to = len(data) if at + SEGMENT >= len(data) else data.find(b" ", at + SEGMENT)
-        to = len(data) if to < 0 else to
-        part = np.frombuffer(data, np.uint8, to - at, at)
-        inside = np.zeros(len(part) + 2, dtype=bool)
-        np.not_equal(part, 32, out=inside[1:-1])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edges[0::2], edges[1::2]
-        size = 1 << max(20, (len(part)).bit_length())
-        power, inverse = _powers(size)
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
-        hashes.append(mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
-        starts.append(first + at)
-        at = to
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+    """64-bit hash and first byte of each word of folded bytes."""
+    part = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(part) + 2, dtype=bool)
+    np.not_equal(part, 32, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return span_hashes(part, edges[0::2], edges[1::2]), edges[0::2]
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:

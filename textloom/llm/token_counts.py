@@ -59,13 +59,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoder(tokenizer_path), set()
         for batch in arrow_chunks(batches, "text", CHUNK_BYTES):
-            digests, counts = [], []
-            for d, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
-                if d not in seen:
-                    seen.add(d)
-                    digests.append(d)
-                    counts.append(len(own.encode(t)) // 4)
-            yield pa.RecordBatch.from_arrays([pa.array([version] * len(digests), pa.string()), pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["tokenizer_version", "digest", "n_tokens"])
+            digests = batch.column("digest").to_pylist()
+            new = pa.array([i for i, d in enumerate(digests) if d not in seen and not seen.add(d)], pa.int32())
+            counts = own.counts(batch.column("text").take(new))
+            yield pa.RecordBatch.from_arrays([pa.array([version] * len(new), pa.string()), batch.column("digest").take(new), pa.array(counts, pa.int64())], names=["tokenizer_version", "digest", "n_tokens"])
 
     known = stored_counts(spark, cache_path).filter(F.col("tokenizer_version") == version)
     misses = (
