@@ -4,8 +4,9 @@ Texts with equal shingle sets become one node first, however many copies there a
 a bucket. No bucket is turned into all its pairs: every bucket names one centre, its member that meets most others over
 all its keys (in a group of edited copies, the text that they were made from), and the members are compared with it, on
 their full shingle sets. Verified links are joined into components, and buckets whose members are all in one component
-are done. Elsewhere, members outside of a bucket's largest component are compared with the rest of it, in blocks of
-bounded size that keep their pairs to themselves and give links only (see _apart).
+are done, as are those of two members. Elsewhere, once for each distinct set of members, those outside of the bucket's
+largest component are compared with the rest of it, in blocks of bounded size that keep their pairs to themselves and
+give links only (see _apart).
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from textloom.llm.superminhash import band_keys, signatures
 CHUNK_BYTES = 2 << 20
 #: Two sets of similarity 0.85 share no key with a chance of (1 - 0.85^6)^32, about 3 in 10 million.
 BANDS, ROWS = 32, 6
-#: Shingles to a block of members that are compared with another block.
-BLOCK_SHINGLES = 200_000
+#: Shingles, and members, to a block that is compared with another block.
+BLOCK_SHINGLES, BLOCK_ROWS = 64_000, 256
+#: Bits of the map of nodes whose texts are needed (4 MB as it is broadcast).
+BITS = 1 << 24
 
 SKETCH = "doc_id long, n_shingles long, digest binary, keys array<long>"
 
@@ -96,12 +99,12 @@ def link(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_
     busy = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").select("key", "size")
     members = materialize(members.join(busy, "key"), "members")
     texts = _texts(docs, members, id_col, text_col)
-    first = _centres(members).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-    links = materialize(_verified(first, texts, words, percent), "links")
+    centres = _centres(members)
+    pairs = members.join(centres, "key").filter("a != node").filter(100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")).select("a", F.col("node").alias("b")).distinct()
+    links = materialize(_verified(pairs, texts, words, percent), "links")
     known = components(links)
-    placed = members.join(known.withColumnRenamed("component", "found"), "node", "left").select("key", "node", "n", F.coalesce("found", "node").alias("class"))
-    apart = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
-    apart = materialize(placed.join(apart, "key"), "apart")
+    placed = members.filter("size > 2").join(known.withColumnRenamed("component", "found"), "node", "left").select("key", "node", "n", F.coalesce("found", "node").alias("class"))
+    apart = materialize(_undecided(placed, centres), "apart")
     more = materialize(_apart(apart, texts, words, percent), "links")
     if not more.isEmpty():
         links = links.unionAll(more)
@@ -119,10 +122,15 @@ def link(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_
 
 
 def _texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the nodes that share a bucket with another; repeats within a task are dropped first."""
+    """(node, text) of the nodes that share a bucket with another. Most texts share none: a bitmap of the nodes' hashes,
+    of BITS bits whatever their number, spares them the shuffle; the join decides."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bitmap = members.select(spot("node").alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("node is not null and text is not null")
+    likely = rows.withColumn("h", spot("node")).withColumn("word", F.shiftright("h", 6)).join(F.broadcast(bitmap), "word").filter("shiftrightunsigned(bits, cast(h & 63 as int)) & 1 = 1").select("node", "text")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Drops repeats within a task before they are shuffled."""
         seen: set[int] = set()
         for batch in batches:
             keep = []
@@ -133,24 +141,34 @@ def _texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> D
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int32()))
 
-    return materialize(rows.mapInArrow(once, rows.schema).join(members.select("node").distinct(), "node"), "texts")
+    return materialize(likely.mapInArrow(once, rows.schema).join(members.select("node").distinct(), "node"), "texts")
 
 
 def _centres(members: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's centre: who meets most others over all its keys, then the least node."""
+    """(key, a, n_a): each bucket's centre, who meets most others over all its keys, then the least node."""
     met = members.groupBy("node").agg(F.sum("size").alias("met"))
     ranked = members.join(met, "node").select("key", "node", "n", "met")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("a"), F.col("n").alias("n_a"))).alias("c")).select("key", (-F.col("c.a")).alias("a"), "c.n_a")
-    return members.join(centre, "key").filter("a != node").select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"))
+    return ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("a"), F.col("n").alias("n_a"))).alias("c")).select("key", (-F.col("c.a")).alias("a"), "c.n_a")
+
+
+def _undecided(placed: DataFrame, centres: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes, of buckets with the same members those of one only, and without the
+    centre, which all have been compared with. Buckets count as having the same members if their number and two sums of
+    hashes of them agree."""
+    sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    sets = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size"), *sums).filter("low != high")
+    one = sets.groupBy("size", "s0", "s1").agg(F.min("key").alias("key")).select("key")
+    return placed.join(one, "key").join(centres.select("key", "a"), "key").filter("node != a").drop("a")
 
 
 def _apart(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) from members of a bucket outside of its largest component to members of other components there: for
-    each such member and component one, if there is any. Both sides are dealt out in blocks of BLOCK_SHINGLES."""
-    weight = placed.groupBy("key", "class").agg(F.sum("n").alias("w"))
-    sides = weight.groupBy("key").agg(F.max(F.struct("w", "class")).alias("l"), F.sum("w").alias("all")).select("key", F.col("l.class").alias("largest"), "all", (F.col("all") - F.col("l.w")).alias("out"))
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
-    rows = placed.join(sides, "key").join(texts, "node").withColumn("lefts", blocks("out")).withColumn("rights", blocks("all"))
+    each such member and component one, if there is any. Both sides are dealt out in blocks of bounded size."""
+    weight = placed.groupBy("key", "class").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
+    sides = weight.groupBy("key").agg(F.max(F.struct("w", "class", "c")).alias("l"), F.sum("w").alias("all"), F.sum("c").alias("rows"))
+    sides = sides.select("key", F.col("l.class").alias("largest"), "all", (F.col("all") - F.col("l.w")).alias("out"), "rows", (F.col("rows") - F.col("l.c")).alias("out_rows")).filter("out_rows > 0")
+    blocks = lambda w, c: F.greatest(F.lit(1), F.ceil(F.col(w) / BLOCK_SHINGLES), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int")
+    rows = placed.join(sides, "key").join(texts, "node").withColumn("lefts", blocks("out", "out_rows")).withColumn("rights", blocks("all", "rows"))
     deal = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     unit = ["key", "i", "j"]
@@ -167,13 +185,16 @@ def _apart(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
             starts = np.cumsum(sizes) - sizes
             here = np.zeros(len(known), dtype=np.int32)
             for node, kind, items in zip(a.column("node").to_pylist(), a.column("class").to_pylist(), own):
+                near = (100 * np.minimum(sizes, len(items)) >= percent * np.maximum(sizes, len(items))) & (classes != kind)
+                if not near.any():
+                    continue
                 at = np.searchsorted(known, items)
                 at[at == len(known)] = 0
                 at = at[known[at] == items]
                 here[at] = 1
                 shared = np.add.reduceat(here[codes], starts)
                 here[at] = 0
-                hit = np.flatnonzero((100 * shared >= percent * (len(items) + sizes - shared)) & (classes != kind))
+                hit = np.flatnonzero((100 * shared >= percent * (len(items) + sizes - shared)) & near)
                 _, one = np.unique(classes[hit], return_index=True)
                 found += [(node, int(nodes[i])) for i in hit[one]]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
