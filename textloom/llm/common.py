@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), one made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run on this
+    machine (tests), one made here. Unset on a cluster is an error: a folder of the driver's would not be seen elsewhere."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,15 +46,9 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that none has more than so many rows."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Spark hand texts to Python in batches of so many rows at most: what a task holds follows its batches."""
+    """Has Spark hand texts to Python in batches of so many rows at most: what a task holds follows its batches. The
+    session keeps the setting, as a stage's tasks run after it has returned."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
@@ -82,20 +81,8 @@ def arrow_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) ->
     give_back()
 
 
-def map_arrow(df: DataFrame, schema: str, fn: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def local_path(uri: str) -> str | None:
     """The path behind a file URI, None for any other store."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if uri.startswith("/") and os.sep == "/" else None
-
-
-def fresh_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores before it until no column of df has it (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name

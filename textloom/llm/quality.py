@@ -27,7 +27,7 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the labelled rows that the model is fitted on: so many of either label, of so many bytes each."""
+    """Bounds of the labelled rows that the model is fitted on: so many of either label, so many bytes of each."""
 
     per_label: int = 1000
     max_bytes: int = 16384
@@ -85,7 +85,7 @@ def probability(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def train(texts: list[bytes], labels: list[int], sample: Sample = Sample(), counts: tuple[int, int] | None = None) -> Model:
+def train(texts: list[bytes], labels: list[int], sample: Sample = Sample(), counts: tuple[float, float] | None = None) -> Model:
     """counts: rows of label 0 and 1 that the sample stands for. With rows of one label only, the prior decides."""
     n1 = sum(labels)
     n0 = len(labels) - n1
@@ -149,33 +149,45 @@ def _add_gradient(m: Model, rows: np.ndarray, label: int, grads: dict) -> None:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on a bounded sample of labels (already without held-out rows): the per_label ids of either label that hash
-    lowest, as far as their texts have max_bytes at most. Rows with a null id or a label other than 0 or 1 take no part."""
+    lowest. Of a text over max_bytes a window is taken, at a place that its id's hash decides. Rows with a null id or a
+    label other than 0 or 1 take no part; the prior follows the labels whose documents exist, as the sample shows them."""
+    spark = docs.sparkSession
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     found = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     # 2 * per_label ids at most: broadcast, so that no text is shuffled
-    one = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample.per_label) for k in (0, 1)]
-    ids = one[0].unionByName(one[1])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= sample.max_bytes)
-    rows = texts.join(F.broadcast(ids), "id").select("id", F.col("text").cast("binary").alias("text"), "label").collect()
+    picked = [r for k in (0, 1) for r in usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample.per_label).collect()]
+    ids = spark.createDataFrame(picked, usable.schema)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    width = sample.max_bytes // 4  # characters, of four bytes at most
+    start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - width + 1)).cast("int") + 1
+    window = F.when(F.octet_length("text") <= sample.max_bytes, F.col("text")).otherwise(F.col("text").substr(start, F.lit(width)))
+    rows = texts.join(F.broadcast(ids), "id").select("id", window.cast("binary").alias("text"), "label").collect()
     rows.sort(key=lambda r: (str(r["id"]), bytes(r["text"]), r["label"]))
-    return train([bytes(r["text"]) for r in rows], [r["label"] for r in rows], sample, (found.get(0, 0), found.get(1, 0)))
+    there = {r["id"] for r in rows}
+    share = {k: sum(r["id"] in there for r in picked if r["label"] == k) / max(1, sum(r["label"] == k for r in picked)) for k in (0, 1)}
+    return train([bytes(r["text"]) for r in rows], [r["label"] for r in rows], sample, (found.get(0, 0) * share[0], found.get(1, 0) * share[1]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
     """docs with a column more: the probability of label 1 for the whole text. A null text scores as an empty one. No
     shuffle; other columns pass through untouched, but one with that name is replaced."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    docs = docs.drop(name)
-    rows = docs.withColumn(name, text_or_empty(text_col).cast("binary"))
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    own = docs.schema[text_col].dataType == StringType() and text_col != name
+    kept = docs.drop(name)
+    # a text that is a string goes to Python once, and is scored from there
+    rows = kept if own else docs.withColumn(name, text_or_empty(text_col))
+    source, names = text_col if own else name, kept.columns
+    schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_chunks(batches, name, CHUNK_BYTES):
-            own = [halves(t) for t in batch.column(name).to_pylist()]
+        for batch in arrow_chunks(batches, source, CHUNK_BYTES):
+            texts = batch.column(source)
+            large = pa.types.is_large_string(texts.type)
+            own = [halves(t or b"") for t in texts.cast(pa.large_binary() if large else pa.binary()).to_pylist()]
             ends = np.cumsum([len(x) for x in own])
             best = pooled(model, np.concatenate(own))
             out = [probability(logit(model, b)) for b in np.split(best, ends[:-1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(out, pa.float64())], names=[*names, name])
 
     return rows.mapInArrow(scored, schema)
