@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from textloom.llm.common import text_or_empty
 
 ROUNDS = 6
-#: Rows are numbered bucket by bucket; the table of bucket starts is broadcast, so this bounds it (16 bytes a bucket).
-BUCKETS = 4096
+#: Rows are numbered bucket by bucket: so many buckets at least, and one for so many rows. The table of their starts is
+#: broadcast (16 bytes a bucket: 2 MB for 10^11 rows).
+BUCKETS, BUCKET_ROWS = 4096, 1_000_000
 #: Repeated rows are expanded in steps of so many.
 STEP = 4096
 
@@ -65,6 +66,7 @@ def shard(docs: DataFrame, shards: int, seed: int = 42, id_col: str = "doc_id",
     cluster change them. Null ids are a value like any other; repeated rows are counted first, then each gets a number
     of its own; no rows give no rows; other columns of docs are not read.
     """
+    buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     narrow = docs.select(
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
@@ -72,10 +74,10 @@ def shard(docs: DataFrame, shards: int, seed: int = 42, id_col: str = "doc_id",
     )
     counted = (
         narrow.groupBy("id", "size", "crc").agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(BUCKETS)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(buckets)).cast("int"))
     )
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # BUCKETS rows at most, whatever the input: one task sums them, and they are broadcast.
+    # One row a bucket: one task sums them, and they are broadcast.
     starts = (
         counted.groupBy("bucket").agg(F.sum("copies").alias("rows"))
         .select("bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.sum("rows").over(Window.partitionBy()).alias("total"))
