@@ -14,21 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from textloom.llm.common import arrow_chunks, scratch, text_or_empty
+from textloom.llm.common import arrow_chunks, materialize, scratch, text_or_empty
 from textloom.llm.tokenization import encoder, version_digest
 
 CACHE_SCHEMA = "tokenizer_version string, digest binary, n_tokens long"
 #: Text bytes that are taken apart at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def stored_counts(spark: SparkSession, cache_path: str) -> DataFrame:
-    """The cache's rows; a cache that is not there yet has none. A content that two runs appended counts once."""
+    """The cache's rows; a cache that is not there yet has none, and any other fault in reading it is an error. A content
+    that two runs appended may be there twice."""
     try:
-        rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-    except AnalysisException:
-        rows = spark.createDataFrame([], CACHE_SCHEMA)
-    return rows
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,7 +43,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     """
     spark, version = docs.sparkSession, version_digest(tokenizer_path)
     text = text_or_empty(text_col)
-    keyed = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    keyed = materialize(docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
 
     def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Drops what this task has seen, before the shuffle: a content with many copies becomes one row a task."""
@@ -72,7 +74,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     )
     misses.mapInArrow(encoded, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = stored_counts(spark, cache_path).filter(F.col("tokenizer_version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    return _with_counts(keyed, counts).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+
+
+def _with_counts(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+    """keyed with each digest's count; a digest without one is an error. Digests that would fill a good part of a task are
+    joined by broadcast, where their rows stay where they are: there are 4 at most for each shuffle partition."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = max(64, keyed.count() // (4 * parts))
+    often = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > hot).select("digest")
+    often = F.broadcast(materialize(often.join(counts, "digest"), "hot-counts"))
+    rest = keyed.join(often.select("digest"), "digest", "left_anti").join(counts, "digest", "left")
+    found = keyed.join(often, "digest").select("id", "n_bytes", "n_tokens").unionAll(rest.select("id", "n_bytes", "n_tokens"))
+    return found.withColumn("n_tokens", F.coalesce("n_tokens", F.raise_error(F.lit("a text was not counted")).cast("long")))
 
 
 def fresh_cache(spark: SparkSession) -> str:
