@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from textloom.llm.decontamination import contaminated, word_bounds, words_of
+from textloom.llm.decontamination import Matcher, contaminated, word_bounds, words_of
 from textloom.llm.voronoi import top_k
 
 
@@ -83,3 +83,14 @@ def test_offsets_point_into_the_original(spark):
     r = contaminated(docs, spark.createDataFrame([(5, "world one")], "item_id long, text string"), carry=()).first()
     (hit,) = r["hits"]
     assert text[hit["start_char"] : hit["end_char"]] == "WORLD! one" and r["items"] == ["5"]
+
+
+def test_more_words_than_letters():
+    rng = random.Random(6)
+    make = lambda n: " ".join(f"w{rng.randint(0, 30)}" for _ in range(n))
+    items = [(str(i), make(rng.randint(1, 20))) for i in range(12)]
+    one, two = Matcher(items, 4), Matcher(items, 4, letters=5)
+    assert (one.width, two.width) == (1, 2)
+    for _ in range(200):
+        words = words_of(make(60) + " other")
+        assert one.scan(words) == two.scan(words)

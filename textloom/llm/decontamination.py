@@ -25,6 +25,8 @@ CHUNK_BYTES = 8 << 20
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 HITS = "array<struct<start_word:int,end_word:int,start_char:int,end_char:int>>"
 _LETTERS = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+#: First and second letters, for more words than there are letters.
+_HIGH, _LOW = _LETTERS[:1 << 19], _LETTERS[1 << 19 : 1 << 20]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -42,22 +44,25 @@ def windows_of(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
 class Matcher:
     """The automaton over items: (name or None, text). Items without words have no window."""
 
-    def __init__(self, items: list[tuple[str | None, str]], size: int):
+    def __init__(self, items: list[tuple[str | None, str]], size: int, letters: int = len(_LETTERS)):
         import ahocorasick
 
-        self.letters: dict[bytes, str] = {}
+        numbers: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
         owners: dict[str, list[int]] = {}
+        for _, text in items:
+            for w in words_of(text):
+                numbers.setdefault(w, len(numbers))
+        # a word is one letter, or two of alphabets that share none, so that no match starts within a word
+        self.width = 1 if len(numbers) <= letters else 2
+        self.letters = {w: chr(_LETTERS[n]) if self.width == 1 else chr(_HIGH[n // len(_LOW)]) + chr(_LOW[n % len(_LOW)]) for w, n in numbers.items()}
         for i, (_, text) in enumerate(items):
             words = words_of(text)
-            for w in words:
-                if w not in self.letters:
-                    self.letters[w] = chr(_LETTERS[len(self.letters)])
             for window in windows_of(words, size):
                 owners.setdefault("".join(map(self.letters.__getitem__, window)), []).append(i)
         self.automaton = ahocorasick.Automaton()
         for pattern, who in owners.items():
-            self.automaton.add_word(pattern, (len(pattern), who))
+            self.automaton.add_word(pattern, (len(pattern) // self.width, who))
         self.any = bool(owners)
         if self.any:
             self.automaton.make_automaton()
@@ -68,8 +73,9 @@ class Matcher:
             return [], set()
         spans: list[list[int]] = []
         who: set[int] = set()
-        for end, (n, owners) in self.automaton.iter("".join(map(self.letters.get, words, itertools.repeat("\0")))):
-            start, end = end - n + 1, end + 1
+        for end, (n, owners) in self.automaton.iter("".join(map(self.letters.get, words, itertools.repeat("\0" * self.width)))):
+            end = end // self.width + 1
+            start = end - n
             who.update(owners)
             while spans and spans[-1][0] >= start:
                 spans.pop()
