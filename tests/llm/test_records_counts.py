@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textloom.llm.records import build_index, frame, frame_at, from_payload, scan_records, to_payload, write_records
+from textloom.llm.records import build_index, fetch, frame, frame_at, from_payload, read_index, read_records, scan_records, to_payload, write_records
 from textloom.llm.token_counts import count_tokens, stored_counts
 from textloom.llm.tokenization import Encoder, vocabulary_path
 
@@ -68,12 +68,12 @@ def test_frames():
 def test_records_round_trip(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["line\nfeed", "\r\n", "x", "日本", "\x00y"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
-    rows += [(None, "n"), (None, None), (61, None), (62, ""), (7, "again"), (7, "again")]
+    rows += [(None, "n"), (None, None), (61, None), (62, "")] + [(7, "again")] * 50
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int")
-    path = f"file://{tmp_path}/records"
-    write_records(docs, path, vocabulary_path("word_bpe_49k.json"), end_id=2, file_bytes=300)
-    index = sorted(build_index(spark, path).collect(), key=lambda r: (r["file"], r["n"]))
+    path = f"file://{tmp_path}/out"
+    write_records(docs, path, vocabulary_path("word_bpe_49k.json"), end_id=2, file_bytes=300, slab_bytes=100)
+    index = sorted(build_index(spark, path).collect(), key=lambda r: (r["part"], r["roll"], r["n"]))
     e = Encoder(vocabulary_path("word_bpe_49k.json"))
     want = [(i, np.array([*e.whole(t or ""), 2], "<u4").tobytes()) for i, t in rows]
     assert len({r["file"] for r in index}) > 3 and len(index) == len(rows)
@@ -84,18 +84,30 @@ def test_records_round_trip(spark, tmp_path):
     for r in index:
         assert r["start"] == before
         before += r["n_tokens"]
-    import glob
-
-    r = index[len(index) // 2]  # a shuffled reader needs the index alone
-    (name,) = glob.glob(f"{tmp_path}/records/part-{r['file']:05d}*")
-    with open(name, "rb") as f:
-        f.seek(r["file_offset"])
-        record = from_payload(frame_at(f.read(r["frame_length"]), 0)[0])
-    assert record.doc_id == r["doc_id"] and zlib.crc32(record.ids.astype("<u4")) == r["ids_crc32"]
+    # files follow bytes, and equal rows are no exception
+    largest = max(r["frame_length"] for r in index)
+    for name in {r["file"] for r in index}:
+        assert (tmp_path / "out" / "records" / name).stat().st_size <= 300 + 100 + largest
+
+
+def test_a_shuffled_reader_needs_the_index_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(80)], "doc_id long, text string")
+    path = f"file://{tmp_path}/out"
+    write_records(docs, path, vocabulary_path("byte_bpe_50k.json"), end_id=0, file_bytes=400, slab_bytes=50)
+    build_index(spark, path)
+    rows = read_index(spark, path).collect()
+    random.Random(5).shuffle(rows)
+    got = list(fetch(path, [(r["file"], r["file_offset"], r["frame_length"]) for r in rows]))
+    assert [r.doc_id for r in got] == [r["doc_id"] for r in rows] and len({r["file"] for r in rows}) > 2
+    assert all(zlib.crc32(g.ids.astype("<u4")) == r["ids_crc32"] for g, r in zip(got, rows))
+    e = Encoder(vocabulary_path("byte_bpe_50k.json"))
+    some = read_records(read_index(spark, path).filter("doc_id % 3 = 1"), path).collect()
+    assert {r["doc_id"]: r["ids"] for r in some} == {i: [*e.whole(f"text {i} " * (i % 7)), 0] for i in range(1, 80, 3)}
 
 
 def test_damaged_file_fails(spark, tmp_path):
-    (tmp_path / "part-00000").write_bytes(frame(to_payload(1, np.arange(3), 2))[:-6] + b"123456")
+    (tmp_path / "records").mkdir()
+    (tmp_path / "records" / "part-00000").write_bytes(frame(to_payload(1, np.arange(3), 2))[:-6] + b"123456")
     with pytest.raises(Exception, match="bad payload"):
         scan_records(spark, f"file://{tmp_path}").collect()
 
@@ -113,3 +125,14 @@ def test_counts_and_cache(spark, tmp_path):
     count_tokens(spark.createDataFrame([(9, "new")], "doc_id long, text string"), path, cache).collect()
     assert stored_counts(spark, cache).count() == 5
     assert count_tokens(docs.limit(0), path, cache).count() == 0
+
+
+def test_hot_contents_and_broken_caches(spark, tmp_path):
+    path, cache = vocabulary_path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    rows = [(i, "the same words") for i in range(900)] + [(1000 + i, f"number {i}") for i in range(60)]
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, cache).collect()}
+    e = Encoder(path)
+    assert got == {i: len(e.whole(t)) for i, t in rows}
+    (tmp_path / "cache" / "part-broken.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, cache).collect()

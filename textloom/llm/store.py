@@ -50,6 +50,17 @@ def save_arrays(uri: str, arrays: dict[str, np.ndarray], meta: dict) -> None:
             write(f)
 
 
+def open_input(uri: str):
+    """A seekable file in whatever store it is."""
+    path = local_path(uri)
+    if path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(inside)
+
+
 def open_arrays(uri: str) -> tuple[dict[str, np.ndarray], dict]:
     path, fetched = local_path(uri), None
     if not path:
