@@ -93,20 +93,20 @@ class _Table:
         start = self.filled + np.cumsum(length) - length
         total = int(length.sum())
         if self.filled + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.empty(max(total, self.filled), np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.filled], np.empty(max(total, self.filled // 2), np.uint32)])
         self.pool[self.filled : self.filled + total] = np.fromiter((x for r in runs if r for x in r), np.uint32, total)
         self.filled += total
         self.used += len(keys)
         if 2 * self.used > len(self.keys):
             old = np.flatnonzero(self.keys)
             held = self.keys[old], self.start[old], self.size[old]
-            slots = 1 << max(14, (2 * self.used).bit_length() + 1)
+            slots = 1 << max(14, (2 * self.used).bit_length())
             self.keys, self.start, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
             self._place(*held)
         self._place(keys, start.astype(np.int32), size)
 
     def trim(self) -> None:
-        if 2 * self.used > SLOTS or self.filled > 4 * SLOTS:
+        if 2 * self.used > SLOTS or self.filled > 2 * SLOTS:
             self.clear()
 
 
