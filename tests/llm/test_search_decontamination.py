@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from textloom.llm.decontamination import Matcher, contaminated, word_bounds, words_of
+from textloom.llm import voronoi
 from textloom.llm.voronoi import top_k
 
 
@@ -11,7 +12,7 @@ def brute(rows, k, every):
     v = {}
     for i, x in rows:
         if i is not None and x and all(e is not None and np.isfinite(e) for e in x):
-            v.setdefault((i, tuple(int(np.floor(64 * float(e))) for e in x)), None)
+            v.setdefault((i, tuple(max(-(2**63), min(2**63 - 1, int(np.floor(64 * float(e))))) for e in x)), None)
     out = {}
     for q, a in v:
         if q % every == 0:
@@ -20,13 +21,13 @@ def brute(rows, k, every):
     return out
 
 
-def check(spark, rows, k=5, every=4):
-    df = spark.createDataFrame([(i, x, "own") for i, x in rows], "vec_id long, embedding array<float>, score string")
+def check(spark, rows, k=5, every=4, big=False):
+    df = spark.createDataFrame([(i, x, "own") for i, x in rows], f"vec_id long, embedding array<{'double' if big else 'float'}>, score string")
     got = {}
     for r in sorted(top_k(df, lambda c: c % every == 0, k=k).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    want = brute([(i, [None if e is None else float(np.float32(e)) for e in x] if x is not None else None) for i, x in rows], k, every)
-    assert got == {q: x for q, x in want.items() if x}
+    want = brute([(i, [None if e is None else float(e) if big else float(np.float32(e)) for e in x] if x is not None else None) for i, x in rows], k, every)
+    assert got == {q: [(i, max(-(2**63), min(2**63 - 1, s))) for i, s in x] for q, x in want.items() if x}
 
 
 def test_top_k_against_brute_force(spark):
@@ -43,6 +44,28 @@ def test_top_k_small(spark):
     check(spark, [(1, [1.0, 0.0])])
 
 
+def test_groups_prune_clustered_vectors(spark, monkeypatch):
+    """Several groups, several blocks to each, and candidates that are left out of some: the result stays exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 6)) * 30
+    rows = [(i, (centres[i % 8] + rng.normal(size=6) * 0.2).tolist()) for i in range(640)]
+    for name, value in (("PER_PIVOT", 20), ("SENT", 1.0), ("QUERY_BLOCK", 16), ("CANDIDATE_BLOCK", 50), ("REMEMBERED", 10)):
+        monkeypatch.setattr(voronoi, name, value)
+    seen = []
+    plain = voronoi.group_costs
+    monkeypatch.setattr(voronoi, "group_costs", lambda *a, **b: seen.append(plain(*a, **b)) or seen[-1])
+    check(spark, rows)
+    groups = voronoi._choose(seen[0])
+    share = dict((g, s) for g, s, _ in seen[0])
+    assert groups > 1 and share[groups] < 0.8 and share[1] == 1.0
+
+
+def test_large_components(spark):
+    """Sums that float64 can't hold, and such as 64 bits can't."""
+    for top in (2.0**24, 2.0**30, 2.0**40, 2.0**55):
+        check(spark, [(i, [top + 64 * i, -top, float(i % 3)]) for i in range(12)] + [(20, [1e30, -1e30, 3.0]), (24, [-top, top, 1.0])][: 2 * (top > 2.0**50)], big=True)
+
+
 def naive(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, names = words(text), set(), set()

@@ -5,12 +5,16 @@ Component vectors are lifted so that a greater inner product is a smaller distan
 candidates are grouped by their nearest pivot. Per group, the summary (how far queries lie from their pivot, and the
 least distances of candidates from theirs) bounds how far the k-th neighbour of any query of the group can be; a
 candidate is sent to a group only if it can be nearer than that. Groups are solved on exact integers.
+
+More groups are smaller, and may need fewer candidates each, but a candidate is sent to each that needs it. A bounded
+sample shows what share of the candidates the groups would need, for several numbers of groups, and the cheapest is taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,14 @@ from textloom.llm.common import materialize
 
 #: Pivots: one for so many candidates, within these bounds. Everything that is broadcast has a row or a pair per pivot.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 2000, 4, 256
-#: Queries to a group, on average: a candidate is sent once for each group that may need it, so groups are kept few.
-PER_GROUP = 2048
+#: Rows of the sample that the number of groups is chosen by: queries, and candidates.
+SAMPLE = 2000, 20_000
+#: What it takes to send a candidate to a group, in comparisons of a candidate with a query.
+SENT = 250.0
+#: Distinct vectors that a task remembers.
+REMEMBERED = 100_000
+#: Scores are exact as float64 up to here, and as 64-bit integers up to there.
+FLOAT_EXACT, INT_EXACT = 2.0**53, 2.0**62
 #: Rows of a group that are solved against each other at a time.
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 
@@ -30,7 +40,7 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 @dataclass(frozen=True)
 class Summary:
     pivots: np.ndarray  # (g, d + 1), lifted: those that queries are grouped by
-    top: int  # M
+    top: float  # M
     limits: np.ndarray  # (g,): no k-th neighbour of a query of the group is further than this; -1: no queries
     reach: np.ndarray  # (g,): the greatest distance of a query of the group from its pivot
     query_blocks: np.ndarray  # (g,)
@@ -47,9 +57,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _lifted(rows: np.ndarray, top: int | None) -> np.ndarray:
-    last = np.zeros(len(rows)) if top is None else np.sqrt(np.maximum(0, top - (rows * rows).sum(axis=1)).astype(np.float64))
-    return np.column_stack([rows.astype(np.float64), last])
+def _lifted(rows: np.ndarray, top: float | None) -> np.ndarray:
+    rows = rows.astype(np.float64)
+    last = np.zeros(len(rows)) if top is None else np.sqrt(np.maximum(0, top - (rows * rows).sum(axis=1)))
+    return np.column_stack([rows, last])
 
 
 def _nearest(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +75,7 @@ def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): floor(scale * x) of each component. Vectors that are null, or have a null or non-finite component, and
-    rows with a null id, are left out; so are empty vectors."""
+    rows with a null id, are left out; so are empty vectors. What is beyond 64 bits counts as the end of their range."""
     parts = F.col("x")
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).filter(
         F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)
@@ -80,19 +91,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     A shorter vector counts as padded with zeros. A row is not a candidate of queries with its own id; equal rows count
     once. Rows of one id with different vectors are candidates each, and queries whose k best are taken together.
     Vectors with a null or non-finite component, and null ones, take no part. No vectors, or no queries, give no rows.
+    Scores beyond 64 bits are given as the end of their range, but ranked by what they are.
     """
     spark = vectors.sparkSession
     rows = quantized(vectors, id_col, vector_col, scale).dropDuplicates().withColumn("q", is_query(F.col("id")))
     stored = materialize(rows, "quantized")
-    facts = stored.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("asked"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e)).alias("top")).first()
+    facts = stored.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("asked"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))).alias("top")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width, top = facts["width"], facts["top"]
+    width, top = facts["width"], facts["top"] * (1 + 1e-12)
     m = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, facts["n"] // PER_PIVOT)))
     picked = stored.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(m)  # m rows at most
     pivots = _lifted(_matrix(pa.array([r["v"] for r in picked.collect()], pa.list_(pa.int64())), width), top)
     m = len(pivots)
-    groups = int(min(m, max(1, facts["asked"] // PER_GROUP)))
+    groups = _choose(group_costs(stored, pivots, width, top, k, facts["n"], facts["asked"]))
     held = spark.sparkContext.broadcast(pivots)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,29 +130,79 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
         q_ids, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
         found: list[list[np.ndarray]] = [[], [], []]
         if len(q_ids) and len(ids):
-            q, v = (_matrix(t.column("v").combine_chunks(), width).astype(np.float64) for t in (left, right))
+            # a sum of products is bounded, at every step, by the product of the two vectors' lengths: by top
+            q, v = (_matrix(t.column("v").combine_chunks(), width) for t in (left, right))
+            kind = np.float64 if top < FLOAT_EXACT else np.int64 if top < INT_EXACT else object
+            q, v = q.astype(kind), v.astype(kind)
             by_id = np.argsort(ids, kind="stable")
             ids, v = ids[by_id], v[by_id]
             for at in range(0, len(q), 128):
-                scores = np.rint(q[at : at + 128] @ v.T).astype(np.int64)  # exact: integers far below 2^53
-                scores[ids[None] == q_ids[at : at + 128, None]] = none
+                scores = q[at : at + 128] @ v.T
+                own = ids[None] == q_ids[at : at + 128, None]
+                if kind is object:
+                    rows = [(y, *x) for y, line in enumerate(scores) for x in sorted((-s, i) for i, (s, mine) in enumerate(zip(line, own[y])) if not mine)[:k]]
+                    for out, x in zip(found, ([q_ids[at + y] for y, _, _ in rows], [ids[i] for _, _, i in rows], [-s for _, s, _ in rows])):
+                        out.append(x)
+                    continue
+                scores = np.rint(scores).astype(np.int64) if kind is np.float64 else scores
+                scores[own] = none
                 # stable: among equal scores the smaller id comes first
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(scores, order, axis=1)
                 row, _ = np.nonzero(best != none)
                 for out, x in zip(found, (q_ids[at : at + 128][row], ids[order[best != none]], best[best != none])):
                     out.append(x)
-        made = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in found]
-        return pa.Table.from_arrays(made, names=["query_id", "vec_id", "score"])
+        q_id, v_id, score = ([y for x in xs for y in np.asarray(x, dtype=object).tolist()] for xs in found) if top >= INT_EXACT else (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+        if top >= INT_EXACT:
+            score = [max(-Decimal(10) ** 38 + 1, min(Decimal(10) ** 38 - 1, Decimal(int(s)))) for s in score]
+        return pa.Table.from_arrays([pa.array(q_id, pa.int64()), pa.array(v_id, pa.int64()), pa.array(score, pa.int64() if top < INT_EXACT else pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
 
-    local = asked.groupBy("unit").cogroup(sent.groupBy("unit")).applyInArrow(solved, "query_id long, vec_id long, score long")
+    local = asked.groupBy("unit").cogroup(sent.groupBy("unit")).applyInArrow(solved, f"query_id long, vec_id long, score {'long' if top < INT_EXACT else 'decimal(38,0)'}")
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.col("score") if top < INT_EXACT else F.greatest(F.lit(-(2**63)), F.least(F.lit(2**63 - 1), F.col("score"))).cast("long")
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+
+
+def group_costs(stored: DataFrame, pivots: np.ndarray, width: int, top: float, k: int, n: int, asked: int, sample: tuple[int, int] = SAMPLE) -> list[tuple[int, float, float]]:
+    """(groups, share, cost) for 1, 2, 4, ... groups: the share of all pairs of a candidate and a group that would be sent,
+    and the work it means, in comparisons; estimated on the rows that hash lowest, so many queries and candidates."""
+    low = lambda rows, limit: [(r["id"], r["v"]) for r in rows.select("id", "v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(limit).collect()]
+    q, c = (_matrix(pa.array([v for _, v in low(rows, limit)], pa.list_(pa.int64())), width) for rows, limit in ((stored.filter("q"), sample[0]), (stored, sample[1])))
+    if not len(q) or not len(c):
+        return [(1, 1.0, 0.0)]
+    queries, candidates = _lifted(q, None), _lifted(c, top)
+    far, between = _distances(candidates, pivots).min(axis=1), _distances(pivots, pivots)
+    cell = _distances(candidates, pivots).argmin(axis=1)
+    nth = min(len(c), max(1, -(-(k + 1) * len(c) // n)))  # of the sample, for the k + 1 nearest of all
+    out, g = [], 1
+    while g <= len(pivots):
+        own, reach_of = _nearest(queries, pivots[:g])
+        needed = sent = compared = 0.0
+        for i in np.unique(own):
+            reach, size = reach_of[own == i].max(), (own == i).sum() * asked / len(q)
+            limit = np.partition(reach + between[i, cell] + far, nth - 1)[nth - 1]
+            share = float((_distances(candidates, pivots[i : i + 1])[:, 0] - reach <= limit + _slack(top, limit)).mean())
+            needed += share
+            sent += share * max(1.0, size / QUERY_BLOCK)
+            compared += share * size
+        out.append((g, needed / g, n * (compared + SENT * sent)))
+        g *= 2
+    return out
+
+
+def _choose(costs: list[tuple[int, float, float]]) -> int:
+    """The cheapest number of groups; of equal ones, the least."""
+    return min(costs, key=lambda x: (x[2], x[0]))[0]
+
+
+def _slack(top: float, limit) -> float:
+    """More than what rounding may do to a distance."""
+    return 1e-9 * limit + 1e-7 * np.sqrt(top) + 1e-6
 
 
 def _distinct_vectors(candidates: DataFrame, k: int) -> DataFrame:
     """Of equal vectors only the k + 1 least ids can be among the k nearest of anything; a task drops the others of its
-    rows before they are sent anywhere."""
+    rows before they are sent anywhere, as far as it remembers them."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import heapq
@@ -151,6 +213,8 @@ def _distinct_vectors(candidates: DataFrame, k: int) -> DataFrame:
             ids = batch.column("id").to_pylist()
             column = batch.column("v")
             flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
+            if len(ids_of) > REMEMBERED:
+                ids_of.clear()
             for i, x in enumerate(ids):
                 heap = ids_of.setdefault(flat[at[i] : at[i + 1]].tobytes(), [])
                 if len(heap) <= k:
@@ -201,7 +265,7 @@ def _salt(ids: np.ndarray, blocks: np.ndarray, seed: int) -> np.ndarray:
 
 def _needed(s: Summary, lifted: np.ndarray) -> np.ndarray:
     """Which groups each candidate may be a neighbour in: its distance from their pivot, less their reach, is a lower bound."""
-    return (_distances(lifted, s.pivots) - s.reach[None] <= s.limits[None] * (1 + 1e-9) + 1e-6) & (s.limits >= 0)[None]
+    return (_distances(lifted, s.pivots) - s.reach[None] <= s.limits[None] + _slack(s.top, s.limits)[None]) & (s.limits >= 0)[None]
 
 
 def _counter(shared, width: int):
