@@ -1,6 +1,7 @@
 import pytest
 
-from textloom.llm.html_text import blocks, main_text
+from textloom.llm.html_blocks import parse
+from textloom.llm.html_text import main_text
 
 ARTICLE = "<h1>Title</h1><p>First paragraph of the text, long enough to count. It has two sentences.</p><p>Second paragraph, which goes on for some more words. And on.</p>"
 WANT = "Title\n\nFirst paragraph of the text, long enough to count. It has two sentences.\n\nSecond paragraph, which goes on for some more words. And on."
@@ -15,7 +16,7 @@ def test_head_without_an_end(page):
 
 
 def test_text_around_a_head():
-    texts = lambda page: [b.text for b in blocks(page)]
+    texts = lambda page: [b.text for b in parse(page).blocks]
     assert texts("<head><title>T</title>Text <b>here</b>.") == ["Text here."]
     assert texts("Before <head>and</head> after") == ["Before and after"]
     assert texts("<p>Before</p><head><p>within</p></head>after") == ["Before", "within", "after"]
