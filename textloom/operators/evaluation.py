@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.numbering import numbered
 from textloom.operators.ranking import KEYS
 
 
@@ -40,6 +41,18 @@ def per_query(run: DataFrame, qrels: DataFrame, universe: DataFrame) -> DataFram
     )
 
 
+def any_relevance(run: DataFrame, qrels: DataFrame, universe: DataFrame) -> DataFrame:
+    """One row per query of universe, relevance 1 or 2 counting alike: mrr_10_any, recall_5/10/20_any, p_5_any, hit_5_any."""
+    good = qrels.filter("relevance >= 1")
+    hits = run.select(*KEYS, "rank").join(good, KEYS)
+    count = lambda k: F.count(F.when(F.col("rank") <= k, 1))
+    got = hits.groupBy("query_id").agg(F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"), *[count(k).alias(f"r{k}") for k in (5, 10, 20)])
+    joined = universe.select("query_id").distinct().join(got, "query_id", "left").join(good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    recall = lambda k: F.round(F.when(n("n") > 0, n(f"r{k}") / n("n")).otherwise(0.0), 6).alias(f"recall_{k}_any")
+    return joined.select("query_id", F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr_10_any"), *map(recall, (5, 10, 20)), F.round(n("r5") / 5, 6).alias("p_5_any"), (n("r5") > 0).cast("double").alias("hit_5_any"))
+
+
 def macro(metrics: DataFrame, names: list[str]) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in names])
 
@@ -73,16 +86,22 @@ def complementarity(a: DataFrame, b: DataFrame, qrels: DataFrame, k: int) -> Dat
     return marked.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("j"), 6).alias("mean_jaccard"), n(1, 1).alias("both"), n(1, 0).alias("only_a"), n(0, 1).alias("only_b"), n(0, 0).alias("neither"), F.round(F.avg(F.greatest("ha", "hb")), 6).alias("union_hit_rate"))
 
 
-def bootstrap(values: DataFrame, column: str, rounds: int = 1000, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean. Draw i of round b takes value (b * 7919 + i * 104729 + 42) mod n, in the order
-    of query_id: every engine and cluster draws alike. values: one row a query, few enough to be numbered by one task;
-    the draws, rounds * n of them, are spread over all."""
+def drawn(seed: int, draw: Column, n: Column) -> Column:
+    """A number from 0 to n - 1 for a draw, named by a string: the first 15 hexadecimal digits of an MD5, mod n. Every
+    engine and cluster draws alike."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), draw)), 1, 15), 16, 10).cast("long"), n)
+
+
+def bootstrap(values: DataFrame, column: str, rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """One row: mean, low and high of the percentile interval of the mean. Each round draws as many values as there are,
+    with replacement; draw d of round b takes the value at place drawn(seed, "b:d", n) in the order of query_id. values has
+    one row a query; the rounds * n draws are spread over all tasks. No values give nulls."""
     spark = values.sparkSession
-    numbered = values.select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy("query_id")) - 1).alias("i"))
-    n = numbered.count()
-    draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("b"), (F.col("id") % n).alias("d"))
-    draws = draws.select("b", ((F.col("b") * 7919 + F.col("d") * 104729 + 42) % n).cast("int").alias("i"))
-    means = draws.join(numbered, "i").groupBy("b").agg(F.avg("x").alias("m"))
+    places = numbered(values.select("query_id", F.col(column).alias("x")), ["query_id"], "i").select("i", "x")
+    n = places.count()
+    draws = spark.range(rounds * n).select(F.floor(F.col("id") / max(1, n)).alias("b"), (F.col("id") % max(1, n)).alias("d"))
+    draws = draws.select("b", drawn(seed, F.concat_ws(":", "b", "d"), F.lit(max(1, n)).cast("long")).alias("i"))
+    means = draws.join(places, "i").groupBy("b").agg(F.avg("x").alias("m"))
     low, high = (1 - level) / 2, 1 - (1 - level) / 2
     return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(low)), 6).alias("low"), F.round(F.percentile("m", F.lit(high)), 6).alias("high"))
 

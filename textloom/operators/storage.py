@@ -1,17 +1,24 @@
-"""Where intermediate tables go: the folder that driver and executors share."""
+"""Where intermediate and kept tables go: the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where that is unset (tests), a folder made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or, where that is unset and all run on this machine (tests), a folder made here. Unset on a
+    cluster is an error: a folder of the driver's would not be seen elsewhere."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-work-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,3 +29,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def state(spark: SparkSession, paths: list[str]) -> str:
+    """Names the files behind the paths as they are now: where they lie, how many, their bytes, the last change of the path."""
+    said = []
+    for path in paths:
+        store, p = _path(spark, path)
+        sizes = store.getContentSummary(p)
+        said.append(f"{store.makeQualified(p).toString()} {sizes.getFileCount()} {sizes.getLength()} {store.getFileStatus(p).getModificationTime()}")
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:32]
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build makes of the files at sources, from the shared folder if it has been made of them as they are
+    now; a table of other files, or of the same before a change, is not taken for it. One that was left unfinished is
+    made anew."""
+    path = f"{shared_dir(spark)}/kept/{name}-{state(spark, sources)}"
+    store, done = _path(spark, f"{path}/_SUCCESS")
+    if not store.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
