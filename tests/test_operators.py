@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -5,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import chunking, dedup, dense, evaluation, leakage, lexical, ranking
+from textloom.operators.numbering import numbered
+from textloom.operators.storage import kept
 
 
 def run(spark, rows):
@@ -23,11 +26,72 @@ def test_rrf_ties(spark):
 def test_bm25_padding(spark):
     docs = spark.createDataFrame([(2, ["x"]), (1, ["x"]), (3, ["y"]), (4, [])], "id long, tokens array<string>")
     asked = spark.createDataFrame([(9, ["x"])], "id long, tokens array<string>")
-    scored = lexical.scores(docs, asked, lexical.Bm25(idf="lucene"))
-    got = lexical.padded_top_k(scored, docs, asked, 4).orderBy("rank").collect()
+    held = index_of(docs)
+    got = lexical.padded_top_k(lexical.scores(held, asked, lexical.Bm25(idf="lucene")), held, asked, 4).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == [1, 2, 3, 4] and got[2]["score"] == 0
 
 
+def index_of(docs):
+    return lexical.Index(lexical.postings(docs), numbered(lexical.doc_lengths(docs), ["id"], "place"))
+
+
+def test_padding_is_what_all_texts_give(spark):
+    """Negative scores, queries without a match and such as match the smallest ids, against the ranking of every pair."""
+    rng = random.Random(4)
+    docs = [(i * 3, [w for w in "abcd" for _ in range(rng.randint(1, 3)) if rng.random() < 0.8]) for i in range(30)]
+    asked = [(q, [rng.choice("abcdz") for _ in range(rng.randint(1, 3))]) for q in range(12)] + [(50, ["z"]), (51, ["a"])]
+    held = index_of(spark.createDataFrame(docs, "id long, tokens array<string>"))
+    queries = spark.createDataFrame(asked, "id long, tokens array<string>")
+    scored = lexical.scores(held, queries, lexical.Bm25(idf="okapi"))
+    known = {(r["query_id"], r["chunk_id"]): r["score"] for r in scored.collect()}
+    got = {}
+    for r in lexical.padded_top_k(scored, held, queries, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert min(known.values()) < 0
+    for q, _ in asked:
+        assert got[q] == [i for _, i in sorted((-known.get((q, i), 0.0), i) for i, _ in docs)][:7], q
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(x % 17, x) for x in range(200)] + [(None, 500)], "k int, v int").repartition(7)
+    got = numbered(rows, ["k", "v"], "place").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(201)) and [(r["k"], r["v"]) for r in got] == [(None, 500), *sorted((x % 17, x) for x in range(200))]
+    assert numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    values = [(q, float((q * 37) % 11)) for q in range(40)]
+    got = evaluation.bootstrap(spark.createDataFrame(values, "query_id long, x double"), "x", rounds=400).first()
+    plain = [[int(hashlib.md5(f"42:{b}:{d}".encode()).hexdigest()[:15], 16) % 40 for d in range(40)] for b in range(400)]
+    means = sorted(sum(values[i][1] for i in r) / 40 for r in plain)
+    assert all(len(set(r)) < 40 for r in plain)
+    mean = sum(x for _, x in values) / 40
+    assert got["low"] < mean < got["high"] and got["high"] - got["low"] > 0.5
+    assert got["mean"] == pytest.approx(sum(means) / 400, abs=1e-5)
+    assert evaluation.bootstrap(spark.createDataFrame([], "query_id long, x double"), "x").first()["mean"] is None
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    made = []
+    path = f"file://{tmp_path}/in"
+
+    def build():
+        made.append(1)
+        return spark.read.parquet(path)
+
+    spark.range(3).write.parquet(path)
+    assert kept(spark, "three", [path], build).count() == kept(spark, "three", [path], build).count() == 3 and len(made) == 1
+    spark.range(5).write.mode("append").parquet(path)
+    assert kept(spark, "three", [path], build).count() == 8 and len(made) == 2
+
+
+def test_binding_tells_another_corpus(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "id long, tokens array<string>")
+    assert lexical.binding(index_of(docs), docs, "id").first().asDict() == {"documents": 2, "postings": 2, "tokens": 3, "terms": 2, "bound": True}
+    assert not lexical.binding(index_of(docs), docs.filter("id = 1"), "id").first()["bound"]
+    assert not lexical.binding(lexical.Index(lexical.postings(docs).filter("term = 'a'"), index_of(docs).lengths), docs, "id").first()["bound"]
+
+
 def test_dense_ties(spark):
     rows = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, vector array<double>")
     asked = spark.createDataFrame([(7, [1.0, 0.0])], "id long, vector array<double>")
@@ -35,6 +99,20 @@ def test_dense_ties(spark):
     assert dense.top_k(asked.limit(0), rows, 3).count() == 0
 
 
+def test_dense_odd_vectors(spark, monkeypatch):
+    """Null, empty, ragged and non-finite vectors, and blocks smaller than the table."""
+    monkeypatch.setattr(dense, "ROW_BLOCK", 4)
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5]) for _ in range(4)]) for i in range(30)] + [(40, None), (41, []), (42, [1.0, None, 0.0, 0.0]), (43, [float("nan")] * 4), (44, [float("inf")] * 4), (45, [2.0]), (46, [0.5] * 6)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = {}
+    for r in dense.top_k(df.filter("id % 10 = 0 or id > 40"), df, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    fine = {i: v for i, v in rows if v and all(x is not None and abs(x) < 10 for x in v)}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert got == {q: [i for _, i in sorted((-dot(fine[q], v), i) for i, v in fine.items())][:5] for q in (0, 10, 20, 45, 46)}
+
+
 def test_metrics(spark):
     r = run(spark, [(1, i + 1, i + 1, 9.0 - i) for i in range(5)])
     q = spark.createDataFrame([(1, 5, 2), (1, 77, 2), (1, 3, 1)], "query_id long, chunk_id long, relevance int")

@@ -50,9 +50,10 @@ def min_max(column: str, by: str = "query_id") -> Column:
 
 
 def field_rerank(candidates: DataFrame, depth: int = 30) -> DataFrame:
-    """candidates: metadata_rerank's rows with problem, sql, error (field scores) and exact (error identifiers found)."""
-    lexical = PROBLEM * F.col("problem") + SQL * F.col("sql") + ERROR * F.col("error") + EXACT * F.col("exact")
-    scored = candidates.withColumn("lexical", F.round(lexical, 9)).withColumn("final", F.round(F.col("adjusted") + GAMMA * min_max("lexical"), 12))
+    """candidates: metadata_rerank's rows with problem, sql, error (field scores) and exact (error identifiers found). Each
+    field score is scaled within the query's candidates; their weighted sum is added to the adjusted score."""
+    fields = PROBLEM * min_max("problem") + SQL * min_max("sql") + ERROR * min_max("error") + EXACT * F.col("exact")
+    scored = candidates.withColumn("lexical", F.round(fields, 9)).withColumn("final", F.round(F.col("adjusted") + GAMMA * F.col("lexical"), 12))
     order = Window.partitionBy("query_id").orderBy(F.desc("final"), "metadata_rank", "rank", "chunk_id")
     return scored.withColumn("field_rank", F.row_number().over(order)).filter(F.col("field_rank") <= depth)
 

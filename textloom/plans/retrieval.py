@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions import version as V
 from textloom.operators import dense, evaluation, lexical, ranking
+from textloom.operators.storage import kept, written
 
 METRICS = ["ndcg_10", "mrr_10", "recall_5", "recall_10", "recall_20", "p_5", "hit_5", "hit_10", "recall_any_10", "judged_5", "judged_10", "judged_20", "judged_30"]
 
@@ -33,23 +34,41 @@ def items(spark, sf, tokens=words) -> DataFrame:
     return lexical.tokenized(table(spark, sf, "benchmark"), "item_id", tokens(F.col("text")))
 
 
-def lexical_run(spark, sf, k: int = 30, model: lexical.Bm25 = lexical.Bm25(), tokens=words) -> DataFrame:
-    return lexical.top_k(lexical.scores(corpus(spark, sf, tokens), items(spark, sf, tokens), model), k)
+TOKENS = {"words": words, "sql": T.sql_tokens, "pool": T.pool_tokens, "field": T.field_tokens}
+
+
+def index(spark, sf, kind: str = "words") -> lexical.Index:
+    """The lexical index of all documents under a tokenizer, made once for the files that are there."""
+    return lexical.kept_index(spark, kind, [f"{sf}/documents.parquet"], corpus(spark, sf, TOKENS[kind]))
+
+
+def lexical_run(spark, sf, k: int = 30) -> DataFrame:
+    """The k best of 30, from the run that is kept."""
+    made = lambda: lexical.top_k(lexical.scores(index(spark, sf), items(spark, sf), lexical.Bm25()), 30)
+    return kept(spark, "lexical-run", [f"{sf}/documents.parquet", f"{sf}/benchmark.parquet"], made).filter(F.col("rank") <= k)
 
 
 def dense_run(spark, sf, k: int = 30) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    found = dense.top_k(rows.filter("id % 100 = 0"), rows, k)
-    return found.withColumn("query_id", (F.col("query_id") / 100).cast("long"))
+    """The k best of 30, from the run that is kept."""
+
+    def made() -> DataFrame:
+        rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+        return dense.top_k(rows.filter("id % 100 = 0"), rows, 30).withColumn("query_id", (F.col("query_id") / 100).cast("long"))
+
+    return kept(spark, "dense-run", [f"{sf}/embeddings.parquet"], made).filter(F.col("rank") <= k)
+
+
+#: Into so many parts the judgments of a label are dealt: ten labels would be ten tasks.
+LABEL_PARTS = 32
 
 
 def qrels(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    # the query set, one row in a hundred, is small beside the corpus; Spark picks the join
+    """Judgments of every query (one row in a hundred) and row, in parts of a label."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", F.pmod(F.xxhash64("vec_id"), F.lit(LABEL_PARTS)).alias("part"))
     asked = rows.filter("chunk_id % 100 = 0").select((F.col("chunk_id") / 100).cast("long").alias("query_id"), F.col("label").alias("ql"))
     gap = F.abs(F.col("ql") - F.col("label"))
     grade = F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0)
-    near = asked.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(9)))).join(rows, "label")
+    near = asked.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LABEL_PARTS - 1).cast("long")))).join(rows, ["label", "part"])
     return near.filter((F.col("query_id") * 31 + F.col("chunk_id")) % 5 != 0).select("query_id", "chunk_id", grade.alias("relevance"))
 
 
@@ -68,11 +87,15 @@ def _rank(df: DataFrame, *names: str) -> DataFrame:
 
 
 def term_stats(spark, sf):
-    return lexical.term_stats(corpus(spark, sf))
+    return lexical.term_stats(index(spark, sf))
 
 
 def doc_lengths(spark, sf):
-    return lexical.doc_lengths(corpus(spark, sf)).select(F.col("id").alias("doc_id"), "dl")
+    return index(spark, sf).lengths.select(F.col("id").alias("doc_id"), "dl")
+
+
+def index_binding(spark, sf):
+    return lexical.binding(index(spark, sf), table(spark, sf, "documents"), "doc_id")
 
 
 def bm25_topk(spark, sf):
@@ -82,13 +105,14 @@ def bm25_topk(spark, sf):
 
 
 def bm25_okapi_topk(spark, sf):
-    docs, asked = corpus(spark, sf, T.sql_tokens), items(spark, sf, T.sql_tokens)
-    found = lexical.padded_top_k(lexical.scores(docs, asked, lexical.Bm25(idf="okapi")), docs, asked, 10)
+    held, asked = index(spark, sf, "sql"), items(spark, sf, T.sql_tokens)
+    scored = written(lexical.scores(held, asked, lexical.Bm25(idf="okapi")), "okapi")  # matched, counted and ranked
+    found = lexical.padded_top_k(scored, held, asked, 10)
     return _rank(found, "rank").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_weighted_topk(spark, sf):
-    found = lexical_run(spark, sf, 10, lexical.Bm25(k1=1.2, weight="log"), T.pool_tokens)
+    found = lexical.top_k(lexical.scores(index(spark, sf, "pool"), items(spark, sf, T.pool_tokens), lexical.Bm25(k1=1.2, weight="log")), 10)
     return _rank(found, "rank").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -108,24 +132,77 @@ def rrf_union_candidates(spark, sf):
     return _rank(fused(spark, sf, None), "rank").groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.count(F.when(F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull(), 1)).alias("in_both"))
 
 
-def _reranked(spark, sf) -> DataFrame:
-    """The query's language plays the dialect: of the document whose id is the item's."""
-    lang = table(spark, sf, "documents").select("doc_id", "lang")
-    name = F.when(F.col("lang") == "en", "mysql").when(F.col("lang") == "fr", "mariadb").when(F.col("lang") == "de", "sqlite").otherwise("duckdb")
-    docs = lang.select(F.col("doc_id").alias("chunk_id"), name.alias("dialect"))
-    asked = lang.select(F.col("doc_id").alias("query_id"), name.alias("query_dialect"))
-    rows = fused(spark, sf, None).join(docs, "chunk_id").join(asked, "query_id").withColumn("category", V.dialect_compatibility(F.col("query_dialect"), F.col("dialect")))
-    return ranking.metadata_rerank(rows, ranking.bonus(F.col("category"), ranking.DIALECT_BONUS))
+def _dialect(lang: F.Column) -> F.Column:
+    return F.when(lang == "en", "mysql").when(lang == "fr", "mariadb").when(lang == "de", "sqlite").otherwise("duckdb")
+
+
+def _candidates(spark, sf) -> DataFrame:
+    """All fused candidates with what the rules look at. A language plays the dialect, a query's being that of the document
+    with its id; versions, their status and the kind of source follow from ids."""
+    lang = table(spark, sf, "documents").select("doc_id", _dialect(F.col("lang")).alias("dialect"))
+    c, q, label = F.col("chunk_id"), F.col("query_id"), lambda x, end: F.concat((x % 10).cast("string"), F.lit(end))
+    none = F.lit(None).cast("string")
+    low = F.when(c % 4 == 2, label(c, ".0")).when(c % 4 == 3, label(c, ".4"))
+    high = F.when(c % 4 == 2, label(c, ".x")).when(c % 4 == 3, label(c, ".4"))
+    status = F.when(c % 4 == 0, "unknown").when(c % 4 == 1, "current").when(c % 4 == 2, "range").otherwise("exact")
+    rows = fused(spark, sf, None).join(lang.select(F.col("doc_id").alias("chunk_id"), "dialect"), "chunk_id").join(lang.select(F.col("doc_id").alias("query_id"), F.col("dialect").alias("query_dialect")), "query_id")
+    rows = rows.withColumns({"version_min": low, "version_max": high, "version_status": status, "query_version": F.when(q % 3 == 0, label(q, ".4")).when(q % 3 == 1, label(q, "")).otherwise("current")})
+    asked = {"dialect": F.col("query_dialect"), "version": F.col("query_version"), "sql": none, "error_code": none, "sqlstate": none, "error_symbol": none}
+    kind = F.when(c % 5 == 0, "release_notes").otherwise("docs")
+    passage = {"dialect": F.col("dialect"), "version_min": F.col("version_min"), "version_max": F.col("version_max"), "version_status": F.col("version_status"), "source_type": kind, "title": F.lit("New features"), "section": none, "text": none}
+    return rows.withColumn("category", V.dialect_compatibility(F.col("query_dialect"), F.col("dialect"))).withColumn("version_category", V.version_compatibility(asked, passage))
+
+
+def _reranked(spark, sf, dialect: bool = True, version: dict[str, float] | None = None) -> DataFrame:
+    bonuses = [ranking.bonus(F.col("category"), ranking.DIALECT_BONUS)] if dialect else []
+    return ranking.metadata_rerank(_candidates(spark, sf), *bonuses, *([ranking.bonus(F.col("version_category"), version)] if version else []))
 
 
 def dialect_rerank(spark, sf):
     return _rank(_reranked(spark, sf), "rank", "metadata_rank").select("query_id", "chunk_id", "rank", "category", "metadata_rank", F.round("adjusted", 9).alias("adjusted"))
 
 
+def version_rerank(spark, sf):
+    rows = _reranked(spark, sf, False, ranking.VERSION_BONUS)
+    return _rank(rows, "rank", "metadata_rank").select("query_id", "chunk_id", "rank", "version_category", "metadata_rank", F.round("adjusted", 9).alias("adjusted"))
+
+
+def combined_rerank(spark, sf):
+    rows = _reranked(spark, sf, True, ranking.COMBINED_VERSION_BONUS)
+    return _rank(rows, "rank", "metadata_rank").select("query_id", "chunk_id", "category", "version_category", "metadata_rank", F.round("adjusted", 9).alias("adjusted"))
+
+
+def version_metrics(spark, sf):
+    """Of each query's first five under both bonuses: the share of wrong dialects, of wrong versions, of versions unknown in
+    the same dialect, and of current documentation that no rule could place."""
+    rows = _reranked(spark, sf, True, ranking.COMBINED_VERSION_BONUS).filter("metadata_rank <= 5")
+    same = V.known_dialect(F.col("query_dialect")) == V.known_dialect(F.col("dialect"))
+    rate = lambda c, name: F.round(F.sum(F.when(c, 1).otherwise(0)) / 5, 6).alias(name)
+    current = same & (F.col("version_status") == "current") & (F.col("version_category") == "unknown")
+    return rows.groupBy("query_id").agg(
+        rate(V.is_wrong_dialect(F.col("query_dialect"), F.col("dialect")), "wrong_dialect_5"), rate(F.col("version_category") == "incompatible", "wrong_version_5"),
+        rate(same & (F.col("version_status") == "unknown"), "unknown_version_5"), rate(current, "unresolved_current_5"),
+    )
+
+
+#: What plays the fields of a query: all of an item's text, its first 60 characters, its last 40.
+FIELDS = {"problem": lambda t: t, "sql": lambda t: F.left(t, F.lit(60)), "error": lambda t: F.right(t, F.lit(40))}
+
+
 def field_minmax_rerank(spark, sf):
-    scores = lexical.scores(corpus(spark, sf, T.field_tokens), items(spark, sf, lambda t: T.without(T.field_tokens(t), T.FIELD_STOPWORDS)), lexical.Bm25()).select("query_id", "chunk_id", F.col("score").alias("problem"))
-    rows = _reranked(spark, sf).join(scores, ["query_id", "chunk_id"], "left").na.fill(0.0, ["problem"]).withColumns({"sql": F.lit(0.0), "error": F.lit(0.0), "exact": F.lit(0)})
-    return _rank(ranking.field_rerank(rows), "metadata_rank", "field_rank").select("query_id", "chunk_id", "metadata_rank", "field_rank", F.round("final", 9).alias("final"))
+    """The first word plays the error code and, in every second item, the SQLSTATE too; the last word plays the symbol."""
+    rows, held = _reranked(spark, sf, True, ranking.COMBINED_VERSION_BONUS), index(spark, sf, "field")
+    drop = {"problem": T.FIELD_STOPWORDS, "sql": T.FIELD_STOPWORDS + T.FIELD_SQL_KEYWORDS, "error": T.FIELD_STOPWORDS}
+    for name, part in FIELDS.items():
+        scored = lexical.scores(held, items(spark, sf, lambda t, n=name, f=part: T.without(T.field_tokens(f(t)), drop[n])), lexical.Bm25())
+        rows = rows.join(scored.select("query_id", "chunk_id", F.col("score").alias(name)), ["query_id", "chunk_id"], "left").na.fill(0.0, [name])
+    word = lambda pattern: F.regexp_extract("text", pattern, 1)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), word("([A-Za-z]+)").alias("code"), word("([A-Za-z]+)[^A-Za-z]*$").alias("symbol"))
+    asked = asked.withColumn("sqlstate", F.when(F.col("query_id") % 2 == 0, F.col("code")))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("passage"))
+    found = rows.select("query_id", "chunk_id").join(asked, "query_id").join(texts, "chunk_id").select("query_id", "chunk_id", ranking.exact_errors(F.col("passage"), F.col("code"), F.col("sqlstate"), F.col("symbol")).alias("exact"))
+    ranked = ranking.field_rerank(rows.join(found, ["query_id", "chunk_id"], "left").na.fill(0, ["exact"]))
+    return _rank(ranked, "metadata_rank", "field_rank").select("query_id", "chunk_id", "exact", "metadata_rank", "field_rank", F.round("final", 9).alias("final"))
 
 
 def _metrics(spark, sf, run=None):
@@ -236,7 +313,7 @@ def context_precision(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     term_stats, doc_lengths, bm25_topk, bm25_okapi_topk, bm25_weighted_topk, l2_norms, dense_topk, rrf_fusion, rrf_union_candidates, dialect_rerank,
-    field_minmax_rerank, per_query_metrics, macro_metrics, slice_metrics, judged_at_k, unjudged_pool, wrong_dialect_at5, complementarity, ranking_jaccard,
+    version_rerank, combined_rerank, version_metrics, index_binding, field_minmax_rerank, per_query_metrics, macro_metrics, slice_metrics, judged_at_k, unjudged_pool, wrong_dialect_at5, complementarity, ranking_jaccard,
     rbo, kendall_tau, acceptance_gates, run_invariants, bootstrap_ci, paired_bootstrap, wins_ties, candidate_pool_union, evidence_top5, trec_render, context_precision,
 )}
 
@@ -248,19 +325,19 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _tokens_sql(name: str, table_name: str, id_col: str, pattern: str, drop: list[str] | None = None) -> str:
-    found = f"list_transform(regexp_extract_all(coalesce(text, ''), {_quoted(pattern)}), lambda x: lower(x))"
+def _tokens_sql(name: str, table_name: str, id_col: str, pattern: str, drop: list[str] | None = None, text: str = "text") -> str:
+    found = f"list_transform(regexp_extract_all(coalesce({text}, ''), {_quoted(pattern)}), lambda x: lower(x))"
     if drop:
         found = f"list_filter({found}, lambda x: x NOT IN ({', '.join(map(_quoted, drop))}))"
     return f"{name} AS (SELECT {id_col} AS id, {found} AS tokens FROM {table_name})"
 
 
-def _bm25_sql(name: str, pattern: str, k1=1.5, idf="lucene", weight="q.qtf", drop: list[str] | None = None) -> str:
+def _bm25_sql(name: str, pattern: str, k1=1.5, idf="lucene", weight="q.qtf", drop: list[str] | None = None, asked: str = "text") -> str:
     """CTEs ending in name(query_id, chunk_id, score): every text with a common term."""
     raw = "ln(n - df + 0.5) - ln(df + 0.5)"
     value = "ln(1 + (n - df + 0.5) / (df + 0.5))" if idf == "lucene" else f"CASE WHEN {raw} < 0 THEN (SELECT 0.25 * avg({raw}) FROM {name}_df, {name}_f) ELSE {raw} END"
     return f"""
-{_tokens_sql(name + '_d', 'documents', 'doc_id', pattern)}, {_tokens_sql(name + '_i', 'benchmark', 'item_id', pattern, drop)},
+{_tokens_sql(name + '_d', 'documents', 'doc_id', pattern)}, {_tokens_sql(name + '_i', 'benchmark', 'item_id', pattern, drop, asked)},
 {name}_f AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM {name}_d),
 {name}_tf AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM {name}_d) GROUP BY ALL),
 {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
@@ -288,13 +365,29 @@ allfused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score D
     round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 12) AS score
   FROM lexical a FULL OUTER JOIN dense b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)),
 fused AS (SELECT * FROM allfused WHERE rank <= 30)"""
+
+
+def _bonus_sql(column: str, values: dict[str, float]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {_quoted(k)} THEN {v}::DOUBLE' for k, v in values.items())} ELSE 0 END"
+
+
+def _reranked_sql(name: str, dialect: bool, version: str | None) -> str:
+    parts = ["score", *([_bonus_sql("category", ranking.DIALECT_BONUS)] if dialect else []), *([_bonus_sql("version_category", getattr(ranking, version))] if version else [])]
+    return f"""{name}_adj AS (SELECT *, round({' + '.join(parts)}, 12) AS adjusted FROM cat),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, rank, chunk_id) AS metadata_rank FROM {name}_adj)"""
+
+
 _RERANK = """
 dia AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'mysql' WHEN 'fr' THEN 'mariadb' WHEN 'de' THEN 'sqlite' ELSE 'duckdb' END AS dialect FROM documents),
-cat AS (SELECT f.*, q.dialect AS query_dialect, d.dialect, CASE WHEN q.dialect = d.dialect THEN 'compatible'
-    WHEN q.dialect IN ('mysql', 'mariadb') AND d.dialect IN ('mysql', 'mariadb') THEN 'related' ELSE 'incompatible' END AS category
+dc AS (SELECT f.*, q.dialect AS query_dialect, d.dialect, CASE WHEN q.dialect = d.dialect THEN 'compatible'
+    WHEN q.dialect IN ('mysql', 'mariadb') AND d.dialect IN ('mysql', 'mariadb') THEN 'related' ELSE 'incompatible' END AS category,
+    CASE chunk_id % 4 WHEN 2 THEN (chunk_id % 10) * 1000 WHEN 3 THEN (chunk_id % 10) * 1000 + 4 END AS dlo, CASE chunk_id % 4 WHEN 2 THEN (chunk_id % 10 + 1) * 1000 WHEN 3 THEN (chunk_id % 10) * 1000 + 5 END AS dhi,
+    CASE query_id % 3 WHEN 0 THEN (query_id % 10) * 1000 + 4 WHEN 1 THEN (query_id % 10) * 1000 END AS ql, CASE chunk_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'current' WHEN 2 THEN 'range' ELSE 'exact' END AS version_status
   FROM allfused f JOIN dia d ON d.doc_id = f.chunk_id JOIN dia q ON q.doc_id = f.query_id),
-adj AS (SELECT *, round(score + CASE category WHEN 'compatible' THEN 0.004::DOUBLE WHEN 'related' THEN 0.003::DOUBLE ELSE 0 END, 12) AS adjusted FROM cat),
-reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, rank, chunk_id) AS metadata_rank FROM adj)"""
+cat AS (SELECT *, CASE WHEN query_dialect <> dialect THEN 'not_applicable' WHEN ql IS NULL THEN 'unknown'
+    WHEN chunk_id % 5 = 0 AND ql < dlo THEN 'incompatible' WHEN chunk_id % 5 = 0 AND ql >= dlo THEN 'compatible' WHEN ql >= dlo AND ql < dhi THEN 'compatible'
+    WHEN chunk_id % 4 IN (0, 1) THEN 'unknown' ELSE 'general' END AS version_category FROM dc),
+""" + _reranked_sql("reranked", True, None) + ", " + _reranked_sql("by_version", False, "VERSION_BONUS") + ", " + _reranked_sql("by_both", True, "COMBINED_VERSION_BONUS")
 
 
 def _metrics_sql(name: str, run: str) -> str:
@@ -325,7 +418,7 @@ paired AS (SELECT coalesce(la.query_id, lb.query_id) AS query_id, coalesce(a, []
 
 def _boot(value: str) -> str:
     return f"""num AS (SELECT {value} AS x, row_number() OVER (ORDER BY query_id) - 1 AS i FROM vals), cnt AS (SELECT count(*) AS n FROM num),
-draws AS (SELECT b, (b * 7919 + d * 104729 + 42) % n AS i FROM cnt, range(1000) t(b), range(100000) u(d) WHERE d < n),
+draws AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || d), 1, 15) AS BIGINT) % n AS i FROM cnt, range(1000) t(b), range(100000) u(d) WHERE d < n),
 means AS (SELECT b, avg(x) AS m FROM draws JOIN num USING (i) GROUP BY b)
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means"""
 
@@ -346,12 +439,22 @@ ORACLE = {
     "rrf_fusion": f"WITH {_ALL} SELECT query_id, chunk_id, rank, lexical_rank, dense_rank, round(score, 9) AS score FROM fused",
     "rrf_union_candidates": f"WITH {_ALL} SELECT query_id, count(*) AS candidates, count(CASE WHEN lexical_rank IS NOT NULL AND dense_rank IS NOT NULL THEN 1 END) AS in_both FROM allfused GROUP BY query_id",
     "dialect_rerank": f"WITH {_ALL}, {_RERANK} SELECT query_id, chunk_id, rank, category, metadata_rank, round(adjusted, 9) AS adjusted FROM reranked",
-    "field_minmax_rerank": f"""WITH {_ALL}, {_RERANK}, {_bm25_sql('fx', T.FIELD_TOKEN, drop=T.FIELD_STOPWORDS)},
-      lex AS (SELECT r.*, round(0.8::DOUBLE * coalesce(x.score, 0), 9) AS lexical FROM reranked r LEFT JOIN fx x ON x.query_id = r.query_id AND x.chunk_id = r.chunk_id),
-      mm AS (SELECT *, min(lexical) OVER w AS lo, max(lexical) OVER w AS hi FROM lex WINDOW w AS (PARTITION BY query_id)),
-      fin AS (SELECT *, round(adjusted + 0.001::DOUBLE * CASE WHEN hi = lo THEN 0 ELSE (lexical - lo) / (hi - lo) END, 12) AS final FROM mm),
+    "version_rerank": f"WITH {_ALL}, {_RERANK} SELECT query_id, chunk_id, rank, version_category, metadata_rank, round(adjusted, 9) AS adjusted FROM by_version",
+    "combined_rerank": f"WITH {_ALL}, {_RERANK} SELECT query_id, chunk_id, category, version_category, metadata_rank, round(adjusted, 9) AS adjusted FROM by_both",
+    "version_metrics": f"""WITH {_ALL}, {_RERANK} SELECT query_id, round(count(CASE WHEN query_dialect <> dialect THEN 1 END) / 5, 6) AS wrong_dialect_5, round(count(CASE WHEN version_category = 'incompatible' THEN 1 END) / 5, 6) AS wrong_version_5,
+      round(count(CASE WHEN query_dialect = dialect AND version_status = 'unknown' THEN 1 END) / 5, 6) AS unknown_version_5, round(count(CASE WHEN query_dialect = dialect AND version_status = 'current' AND version_category = 'unknown' THEN 1 END) / 5, 6) AS unresolved_current_5
+      FROM by_both WHERE metadata_rank <= 5 GROUP BY query_id""",
+    "index_binding": f"WITH {_bm25_sql('lx', T.WORD)} SELECT (SELECT n FROM lx_f) AS documents, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms, true AS bound FROM lx_tf",
+    "field_minmax_rerank": f"""WITH {_ALL}, {_RERANK}, {_bm25_sql('fp', T.FIELD_TOKEN, drop=T.FIELD_STOPWORDS)}, {_bm25_sql('fs', T.FIELD_TOKEN, drop=T.FIELD_STOPWORDS + T.FIELD_SQL_KEYWORDS, asked='left(text, 60)')}, {_bm25_sql('fe', T.FIELD_TOKEN, drop=T.FIELD_STOPWORDS, asked='right(text, 40)')},
+      idn AS (SELECT item_id, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS code, lower(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1)) AS symbol FROM benchmark),
+      lex AS (SELECT r.*, coalesce(p.score, 0) AS p, coalesce(s.score, 0) AS s, coalesce(e.score, 0) AS e,
+        CAST(code <> '' AND contains(lower(text), code) AS INT) * CASE WHEN r.query_id % 2 = 0 THEN 2 ELSE 1 END + CAST(symbol <> '' AND contains(lower(text), symbol) AS INT) AS exact
+        FROM by_both r JOIN documents d ON d.doc_id = r.chunk_id JOIN idn ON item_id = r.query_id LEFT JOIN fp p ON p.query_id = r.query_id AND p.chunk_id = r.chunk_id
+        LEFT JOIN fs s ON s.query_id = r.query_id AND s.chunk_id = r.chunk_id LEFT JOIN fe e ON e.query_id = r.query_id AND e.chunk_id = r.chunk_id),
+      mm AS (SELECT *, {', '.join(f'CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END AS n{c}' for c in 'pse')} FROM lex WINDOW w AS (PARTITION BY query_id)),
+      fin AS (SELECT *, round(adjusted + 0.001::DOUBLE * round(0.8::DOUBLE * np + 0.8::DOUBLE * ns + 1.5::DOUBLE * ne + 2.0::DOUBLE * exact, 9), 12) AS final FROM mm),
       o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, metadata_rank, rank, chunk_id) AS field_rank FROM fin)
-      SELECT query_id, chunk_id, metadata_rank, field_rank, round(final, 9) AS final FROM o WHERE field_rank <= 30""",
+      SELECT query_id, chunk_id, CAST(exact AS BIGINT) AS exact, metadata_rank, field_rank, round(final, 9) AS final FROM o WHERE field_rank <= 30""",
     "per_query_metrics": f"WITH {_DENSE}, {_QRELS}, {_M} SELECT * FROM m",
     "macro_metrics": f"WITH {_DENSE}, {_QRELS}, {_M} SELECT count(*) AS queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)} FROM m",
     "slice_metrics": f"""WITH {_DENSE}, {_QRELS}, {_M} SELECT 'label' AS slice_name, CAST(label AS VARCHAR) AS slice_value, count(ndcg_10) AS queries,
