@@ -14,10 +14,9 @@ from textloom.functions import text as T
 
 def gram_hits(queries: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(query_id, chunk_id, shared, grams): distinct runs of so many tokens that a text shares with a query, of so many
-    that the query has. Both inputs: id, tokens. Only texts that share one come out; a text's runs are filtered by the
-    queries' before they are shuffled."""
-    asked = queries.select(F.col("id").alias("query_id"), T.ngrams(F.col("tokens"), size).alias("g")).select("query_id", F.size("g").cast("long").alias("grams"), F.explode("g").alias("gram"))
-    seen = texts.select(F.col("id").alias("chunk_id"), F.explode(T.ngrams(F.col("tokens"), size)).alias("gram"))
+    that the query has. Both inputs: id, tokens. Only texts that share one come out. Runs are compared as 64-bit hashes."""
+    asked = queries.select(F.col("id").alias("query_id"), T.ngram_hashes(F.col("tokens"), size).alias("g")).select("query_id", F.size("g").cast("long").alias("grams"), F.explode("g").alias("gram"))
+    seen = texts.select(F.col("id").alias("chunk_id"), F.explode(T.ngram_hashes(F.col("tokens"), size)).alias("gram"))
     return seen.join(asked, "gram").groupBy("query_id", "chunk_id", "grams").agg(F.count(F.lit(1)).alias("shared"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,7 +25,9 @@ def append_journal(rows: DataFrame, path: str, checkpoint: str, keys: list[str])
         spark = batch.sparkSession
         try:
             done = spark.read.schema(batch.schema).parquet(path).select(*keys)
-        except Exception:  # noqa: BLE001  no journal yet
+        except AnalysisException as fault:  # any other fault would have rows written twice
+            if fault.getCondition() != "PATH_NOT_FOUND":
+                raise
             done = spark.createDataFrame([], batch.select(*keys).schema)
         batch.dropDuplicates(keys).join(done, keys, "left_anti").write.mode("append").parquet(path)
 
