@@ -9,10 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans import corpus, retrieval
+from textloom.plans import analysis, building, corpus, retrieval
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-NAMES = sorted(corpus.ORACLE | retrieval.ORACLE)
+PLANS = (analysis, building, corpus, retrieval)
+NAMES = sorted(name for plan in PLANS for name in plan.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def test_same_as_sql(spark, db, sf, name):
     assert rows(entry.queries()[name](spark, sf).toPandas()) == rows(db.execute(entry.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(corpus.QUERIES) - set(corpus.ORACLE)))
+@pytest.mark.parametrize("name", sorted(name for plan in PLANS for name in set(plan.QUERIES) - set(plan.ORACLE)))
 def test_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 
@@ -48,3 +49,5 @@ def test_without_the_optional_part(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); print(len(q), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=home, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(home)})
     assert done.returncode == 0, done.stderr
+    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_functions.py", "tests/test_answers.py"], cwd=home, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(home)})
+    assert done.returncode == 0, done.stdout

@@ -34,7 +34,7 @@ def test_token_set_copies_are_listed(spark, tables):
 def test_sources_outside_of_the_list_are_counted(spark, tables):
     docs = [(1, "a", "en", "src0"), (2, "a", "de", "src0"), (3, "a", "en", "src19"), (4, "a", "en", "elsewhere"), (5, "a", "fr", None), (6, "a", None, None)]
     sf = tables(documents=(docs, DOCUMENTS), labels=([(2, 0), (3, 0), (4, 1), (6, 0)], "doc_id long, quality int"))
-    got = {r["source"]: tuple(r)[1:] for r in corpus.source_coverage_all(spark, sf).select("source", "expected", "documents", "langs", "rejected").collect()}
+    got = {r["source"]: tuple(r)[1:] for r in corpus.source_coverage(spark, sf).select("source", "expected", "documents", "langs", "rejected").collect()}
     assert len(got) == 19 and sum(r[1] for r in got.values()) == len(docs)
     assert (got["src0"], got["src15"], got["src19"], got["elsewhere"], got[None]) == ((True, 2, 2, 1), (True, 0, 0, 0), (False, 1, 1, 1), (False, 1, 1, 0), (False, 2, 1, 1))
 

@@ -80,6 +80,24 @@ SECRETS = (
 )
 MOJIBAKE = "(?:Ã[ -¿ƒ]|Â[\u0080-¿]|â€™|â€œ|â€\u009d|鈥.|聽|搂|锟斤拷)"
 TRACKING_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "mc_cid", "mc_eid")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"), ("\u00a0", " "), ("\u200b", ""))
+#: In this order; "$1" stands for the group.
+PROSE_RULES = (
+    (r"(?s)<!--.*?-->", " "), (r"(?is)\{%\s*@marketo/form\b.*?%\}", " "), (r"\{%\s*(?:link|post_url)\s+([^%]+?)\s*%\}", "$1"),
+    (r"(?i)\{%\s*hint\s+style=[\"']?(?:warning|danger)[\"']?\s*%\}", "Warning: "), (r"(?i)\{%\s*hint\s+style=[\"']?info[\"']?\s*%\}", "Note: "),
+    (r"(?i)\{%\s*tab\s+title=[\"']([^\"']+)[\"']\s*%\}", "$1: "), (r"(?is)\{%\s*(?:end\w+|tabs|code|include)\b.*?%\}", " "),
+    (r"\{\{\s*site\.[^}]+\}\}", " "), (r"(?i)_?\{This page is (?:licensed|Copyright):.*?\}\s*", " "), (r"</?[A-Za-z][^>]{0,200}>", " "),
+    (r"[ \t\f\x0B]+", " "), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+)
+ATOMIC_SECTION = r"(?i)\b(?:syntax|synopsis|signature|parameters?|returns?|return value|description)\b"
+FENCE_OPEN = r"(?im)```\s*(?:sql|postgresql|mysql|sqlite|mariadb|duckdb)\b"
+SQL_LINE = r"(?im)^\s*(?:mysql>|sqlite>|postgres(?:ql)?[=#>]|(?:SELECT|INSERT|UPDATE|DELETE|MERGE|CREATE|ALTER|DROP|WITH|PRAGMA|EXPLAIN|VACUUM)\b)\s*\S+"
+SYNTAX_BLOCK = r"(?im)^\s*(?:Syntax|Synopsis)\s*:\s*\n\s*\S+"
+ERROR_EVIDENCE = (
+    r"(?im)\b(?:SQLSTATE\s*[=:]?\s*[0-9A-Z]{5}|(?:OBSOLETE_)?ER_[A-Z0-9_]+|SQLITE_[A-Z0-9_]+|ERROR\s+[0-9]{3,5}|"
+    r"(?:Binder|Catalog|Conversion|Invalid Input|Parser|Transaction) Error)\b|\berror message\b|^\s*(?:Error symbol|Error number|Message)\s*:"
+)
+TABLE_BLOCK = r"(?m)^\s*Table:\s*$\n\s*-\s*\S+"
 SENTENCE_END = r"(?<=[.!?。！？])\s+(?=[A-Z0-9`\[])|\n{2,}"
 
 
@@ -148,6 +166,16 @@ def ngrams(tokens: Column, size: int) -> Column:
     return F.array_distinct(F.when(F.size(tokens) < size, F.array().cast("array<string>")).otherwise(runs))
 
 
+def ngram_hashes(tokens: Column, size: int) -> Column:
+    """ngrams as 64-bit hashes of the tokens' hashes: no run is spelled out."""
+
+    def runs(hashes: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(hashes) - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))
+        return F.array_distinct(F.when(F.size(hashes) < size, F.array().cast("array<bigint>")).otherwise(made))
+
+    return F.element_at(F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), runs), 1)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets: 1 if both are empty, 0 if one is."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
@@ -232,15 +260,9 @@ def slug(value: Column, length: int = 70) -> Column:
 
 def clean_prose(text: Column) -> Column:
     """Entities of markup, comments, template tags and markup fragments out; blanks run together; trimmed."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"), (" ", " "), ("​", "")):
+    for entity, sign in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    for pattern, sign in (
-        (r"(?s)<!--.*?-->", " "), (r"(?is)\{%\s*@marketo/form\b.*?%\}", " "), (r"\{%\s*(?:link|post_url)\s+([^%]+?)\s*%\}", "$1"),
-        (r"(?i)\{%\s*hint\s+style=[\"']?(?:warning|danger)[\"']?\s*%\}", "Warning: "), (r"(?i)\{%\s*hint\s+style=[\"']?info[\"']?\s*%\}", "Note: "),
-        (r"(?i)\{%\s*tab\s+title=[\"']([^\"']+)[\"']\s*%\}", "$1: "), (r"(?is)\{%\s*(?:end\w+|tabs|code|include)\b.*?%\}", " "),
-        (r"\{\{\s*site\.[^}]+\}\}", " "), (r"(?i)_?\{This page is (?:licensed|Copyright):.*?\}\s*", " "), (r"</?[A-Za-z][^>]{0,200}>", " "),
-        (r"[ \t\f\x0B]+", " "), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
-    ):
+    for pattern, sign in PROSE_RULES:
         text = F.regexp_replace(text, pattern, sign)
     return text
 
@@ -267,3 +289,22 @@ def alnum_share(text: Column) -> Column:
 
 def fences_balanced(text: Column) -> Column:
     return (F.size(F.split(text, "```", -1)) - 1) % 2 == 0
+
+
+def is_usable_fragment(text: Column, section: Column, has_error: Column) -> Column:
+    """Whether a short passage stands by itself: an error record, SQL, code, a table or a signature, with fences closed."""
+    marked = has_error & text.rlike(ERROR_EVIDENCE) | text.rlike(SQL_LINE) | text.rlike(SYNTAX_BLOCK) | text.contains("```") | text.rlike(TABLE_BLOCK)
+    return fences_balanced(text) & (marked | section.rlike(ATOMIC_SECTION) & (word_count(text) >= 8))
+
+
+def material_kept(text: Column, has_error: Column) -> Column:
+    """(applicable, kept): whether a passage holds SQL or an error record, and whether that is whole."""
+    sql = text.rlike(FENCE_OPEN) | text.rlike(SQL_LINE) | text.rlike(SYNTAX_BLOCK)
+    whole = fences_balanced(text) & (~has_error | text.rlike(ERROR_EVIDENCE))
+    return F.struct((sql | has_error).alias("applicable"), (~(sql | has_error) | whole).alias("kept"))
+
+
+def rendered(title: Column, section: Column, body: Column) -> Column:
+    """A passage under its title, and its section where that is another."""
+    head = F.concat(F.lit("Title: "), title, F.when(F.coalesce((section != "") & (section != title), F.lit(False)), F.concat(F.lit("\nSection: "), section)).otherwise(""))
+    return F.concat(head, F.lit("\n\n"), F.regexp_replace(body, r"^\s+|\s+$", ""))

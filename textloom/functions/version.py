@@ -97,7 +97,8 @@ def release_version(text: Column) -> Column:
     """The number next to an explicit release label, as parse_label reads it; null where there is none."""
     text = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", ".")
     found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in RELEASE])
-    return F.when(found.isNotNull(), parse_label(found))
+    # as an array of one, so that the search is not repeated in every branch
+    return F.when(found.isNotNull(), F.element_at(F.transform(F.array(found), parse_label), 1))
 
 
 _NUMBERS = r"(?i)^v?([0-9]{1,3})(?:\.([0-9]{1,3}))?(?:\.([0-9]{1,3}))?$"

@@ -75,7 +75,8 @@ def title_extract(spark, sf):
 
 def prose_clean(spark, sf):
     cleaned = T.clean_prose(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.length(cleaned).cast("long").alias("n"), F.sha2(cleaned, 256).alias("sha"))
+    rows = table(spark, sf, "pages").select("page_id", cleaned.alias("cleaned"))
+    return rows.select("page_id", F.length("cleaned").cast("long").alias("n"), F.sha2("cleaned", 256).alias("sha"))
 
 
 def boilerplate_filter(spark, sf):
@@ -84,7 +85,7 @@ def boilerplate_filter(spark, sf):
 
 
 def fixed_chunks(spark, sf):
-    rows = documents(spark, sf).select("doc_id", F.posexplode(chunking.fixed_windows(F.col("text"), 150, 20)).alias("n", "chunk"))
+    rows = chunking.fixed_chunks(documents(spark, sf), "doc_id", "text", 150, 20)
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("chunk", 256).alias("sha"))
 
 
@@ -93,14 +94,6 @@ def structure_chunks(spark, sf):
     return rows.select("doc_id", "n", "chunk", T.word_count(F.col("chunk")).alias("words"))
 
 
-_LABELS = [None, "latest", "v16.4", "3.45.2", "11.4.x", "18", "8.0-8.4", "8.0 to 8.4", "8.0–8.4", "rolling snapshot", " 5.7 ", "", "V9", "1.2.3.4"]
-
-
-def version_parse(spark, sf):
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(_LABELS)], "i int, label string")
-    return rows.select("i", "label", V.parse_label(F.col("label")).alias("v")).select("i", "label", "v.*").withColumn("scope", V.scope(F.col("version"), F.col("version_min"), F.col("version_max"), F.col("version_status")))
-
-
 def version_scope_counts(spark, sf):
     """The source's number plays the version."""
     label = F.when(F.col("lang") == "en", F.concat(F.regexp_extract("source", "([0-9]+)$", 1), F.lit(".4.x"))).when(F.col("lang") == "de", F.regexp_extract("source", "([0-9]+)$", 1)).otherwise(F.lit("latest"))
@@ -108,31 +101,6 @@ def version_scope_counts(spark, sf):
     return rows.withColumn("scope", V.scope(F.col("version"), F.col("version_min"), F.col("version_max"), F.col("version_status"))).groupBy("lang", "scope", "version_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-# query dialect, version, sql; passage dialect, min, max, status, type, text; what holds
-_CASES = [
-    ("mysql", "8.0.30", None, "mysql", "8.0.0", "8.0.46", "range", "docs", "text", "compatible"),
-    ("sqlite", "pre-3.37.0", None, "sqlite", None, None, "current", "docs", "STRICT tables were introduced in version 3.37.0 of it", "incompatible"),
-    ("mariadb", "current", None, "mariadb", None, None, "current", "docs", "text", "unknown"),
-    ("postgresql", "14.24", None, "postgresql", "18.6", "18.6", "exact", "docs", "generic text", "general"),
-    ("postgresql", "14.24", None, "postgresql", "15.0", "15.0", "exact", "docs", "It was introduced in version 15.0.", "incompatible"),
-    ("postgresql", "15.0", None, "postgresql", "15.0", "15.0", "exact", "docs", "It was introduced in version 15.0.", "compatible"),
-    ("postgresql", "14.24", None, "postgresql", None, None, "exact", "docs", "It was removed in version 15.0.", "compatible"),
-    ("postgresql", "15.0", None, "postgresql", None, None, "exact", "docs", "It was removed in version 15.0.", "incompatible"),
-    ("mariadb", "10.7", "SELECT JSON_OVERLAPS(a, b)", "mariadb", None, None, "current", "docs", "JSON_OVERLAPS(x, y) was introduced in version 10.8", "compatible"),
-    ("mysql", "8.0", None, "mysql", None, None, "range", "docs", "500% more rows from 9.0 sample files", "general"),
-    ("postgresql", "14", None, "mysql", "8.0", "8.0", "range", "docs", "text", "not_applicable"),
-]
-
-
-def version_compat(spark, sf):
-    names = "qd string, qv string, sql string, pd string, lo string, hi string, st string, ty string, text string, expected string"
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(_CASES)], "i int, " + names)
-    none = F.lit(None).cast("string")
-    q = {"dialect": F.col("qd"), "version": F.col("qv"), "sql": F.col("sql"), "error_code": none, "sqlstate": none, "error_symbol": none}
-    p = {"dialect": F.col("pd"), "version_min": F.col("lo"), "version_max": F.col("hi"), "version_status": F.col("st"), "source_type": F.col("ty"), "title": none, "section": none, "text": F.col("text")}
-    return rows.select("i", V.version_compatibility(q, p).alias("category"))
-
-
 def topic_classify(spark, sf):
     kind = F.when(F.col("source") == "src1", "release_notes").otherwise("docs")
     rows = documents(spark, sf).select("lang", T.topic(F.lit("Usage"), F.col("text"), kind).alias("topic")).unionByName(table(spark, sf, "part").select(F.lit("part").alias("lang"), T.topic(F.lit(""), F.col("p_name"), F.lit("docs")).alias("topic")))
@@ -169,15 +137,6 @@ def lang_stats(spark, sf):
 
 
 def source_coverage(spark, sf):
-    """Every source of the list, with zeros where nothing came of it."""
-    known = spark.range(0, 16).select(F.concat(F.lit("src"), F.col("id")).alias("source"))
-    docs = documents(spark, sf)
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("lang").alias("langs"))
-    bad = docs.join(table(spark, sf, "labels").filter("quality = 0"), "doc_id", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("rejected"))
-    return known.join(counts, "source", "left").join(bad, "source", "left").na.fill(0)
-
-
-def source_coverage_all(spark, sf):
     """Every source of the list and every other that documents have, null as one of them."""
     docs = documents(spark, sf)
     none = F.lit(0).cast("long")
@@ -337,8 +296,8 @@ def boilerplate_sections(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, token_set_members, residual_dup_rate, simhash_bands, url_canonical, title_extract, prose_clean, boilerplate_filter,
-    fixed_chunks, structure_chunks, version_parse, version_scope_counts, version_compat, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
-    source_coverage, source_coverage_all, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
+    fixed_chunks, structure_chunks, version_scope_counts, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
+    source_coverage, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
     leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, recompute_compare, page_parse_blocks,
     serialize_queries, answer_contract, boilerplate_sections,
 )}
@@ -386,15 +345,7 @@ ORACLE = {
     "fixed_chunks": r"""WITH f AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS flat FROM documents), w AS (SELECT doc_id, flat, list_filter(regexp_split_to_array(flat, '\s+'), lambda x: x <> '') AS w FROM f),
       c AS (SELECT doc_id, k // 130 AS n, array_to_string(w[k + 1:k + 150], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, len(w), 130)) AS k FROM w WHERE len(w) > 150) UNION ALL SELECT doc_id, 0, flat FROM w WHERE len(w) <= 150)
       SELECT doc_id, n, sha256(chunk) AS sha FROM c""",
-    "version_parse": "SELECT * FROM (VALUES " + ", ".join(
-        f"({i}, {('NULL' if x is None else _quoted(x))}, {v}, {lo}, {hi}, '{st}', {sc})" for i, (x, (v, lo, hi, st, sc)) in enumerate(zip(_LABELS, (
-            ("NULL", "NULL", "NULL", "unknown", "'unknown'"), ("'current'", "NULL", "NULL", "current", "'current'"), ("'16.4'", "'16.4'", "'16.4'", "exact", "'16.4'"), ("'3.45.2'", "'3.45.2'", "'3.45.2'", "exact", "'3.45.2'"),
-            ("'11.4.x'", "'11.4.0'", "'11.4.x'", "range", "'11.4.0..11.4.x'"), ("'18'", "'18.0'", "'18.x'", "range", "'18.0..18.x'"), ("'8.0-8.4'", "'8.0'", "'8.4'", "range", "'8.0..8.4'"), ("'8.0 to 8.4'", "'8.0'", "'8.4'", "range", "'8.0..8.4'"),
-            ("'8.0–8.4'", "'8.0'", "'8.4'", "range", "'8.0..8.4'"), ("'rolling snapshot'", "NULL", "NULL", "unknown", "'rolling snapshot'"), ("'5.7'", "'5.7'", "'5.7'", "exact", "'5.7'"), ("NULL", "NULL", "NULL", "unknown", "'unknown'"),
-            ("'9'", "'9.0'", "'9.x'", "range", "'9.0..9.x'"), ("'1.2.3.4'", "NULL", "NULL", "unknown", "'1.2.3.4'"),
-        )))) + ") t(i, label, version, version_min, version_max, version_status, scope)",
     "version_scope_counts": "SELECT lang, CASE lang WHEN 'en' THEN s || '.4.0..' || s || '.4.x' WHEN 'de' THEN s || '.0..' || s || '.x' ELSE 'current' END AS scope, CASE WHEN lang IN ('en', 'de') THEN 'range' ELSE 'current' END AS version_status, count(*) AS n FROM (SELECT lang, regexp_extract(source, '([0-9]+)$', 1) AS s FROM documents) GROUP BY ALL".replace("s || '.4.0..' || s || '.4.x'", "s || '.4.0..' || s || '.4.x'"),
-    "version_compat": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c[-1]}')" for i, c in enumerate(_CASES)) + ") t(i, category)",
     "topic_classify": f"""SELECT lang, CASE WHEN rn THEN 'release_notes' {_RULES} ELSE 'general' END AS topic, count(*) AS n FROM (
       SELECT lang, source = 'src1' AS rn, 'Usage' || chr(10) || substr(text, 1, 1000) AS sample FROM documents UNION ALL SELECT 'part', false, chr(10) || substr(p_name, 1, 1000) FROM part) GROUP BY ALL""",
     "flag_detect": rf"""SELECT lang, count(CASE WHEN regexp_matches(text, {_quoted(T.SQL_START)}) THEN 1 END) AS sql, count(CASE WHEN regexp_matches(text, {_quoted(T.GENERIC_ERROR)}) OR regexp_matches(text, {_quoted(T.ERROR_OF['mysql'])}) THEN 1 END) AS error,
@@ -403,8 +354,7 @@ ORACLE = {
     "encoding_damage": f"SELECT source, count(*) AS documents, count(CASE WHEN contains(text, '�') OR regexp_matches(text, {_quoted(T.MOJIBAKE)}) THEN 1 END) AS damaged FROM documents GROUP BY source",
     "corpus_stats": f"WITH {_WORDS} SELECT {_STATS} FROM w",
     "lang_stats": f"WITH {_WORDS} SELECT lang, {_STATS} FROM w GROUP BY lang",
-    "source_coverage": "SELECT s AS source, count(d.doc_id) AS documents, count(DISTINCT lang) AS langs, count(CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 1 END) AS rejected FROM (SELECT 'src' || i AS s FROM range(16) t(i)) LEFT JOIN documents d ON d.source = s GROUP BY s",
-    "source_coverage_all": """WITH k AS (SELECT 'src' || i AS s FROM range(16) t(i)), d AS (SELECT source, count(*) AS documents, count(DISTINCT lang) AS langs, count(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 1 END) AS rejected FROM documents GROUP BY source)
+    "source_coverage": """WITH k AS (SELECT 'src' || i AS s FROM range(16) t(i)), d AS (SELECT source, count(*) AS documents, count(DISTINCT lang) AS langs, count(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 1 END) AS rejected FROM documents GROUP BY source)
       SELECT coalesce(s, source) AS source, s IS NOT NULL AS expected, coalesce(documents, 0) AS documents, coalesce(langs, 0) AS langs, coalesce(rejected, 0) AS rejected FROM k FULL JOIN d ON s = source""",
     "vocab_size": f"SELECT lang, count(DISTINCT lower(t)) AS vocabulary FROM (SELECT lang, unnest(regexp_extract_all(text, {_quoted(T.WORD)})) AS t FROM documents) GROUP BY lang",
     "balanced_sample": """WITH a AS (SELECT doc_id, lang, source, CAST(doc_id % 7 AS VARCHAR) AS k, row_number() OVER (PARTITION BY lang, source, doc_id % 7 ORDER BY doc_id) AS n FROM documents),
@@ -426,7 +376,9 @@ ORACLE = {
     "leakage_13gram_run": _gram_sql(13) + " SELECT query_id, chunk_id, shared FROM hits",
     "conversation_contract": """WITH r AS (SELECT *, lag(role) OVER w AS before, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
       SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 = count(*) AS gapless, bool_and(coalesce(role IN ('system', 'user', 'assistant'), true)) AS roles_known, bool_and(coalesce(role <> 'system' OR turn = first, true)) AS system_first, bool_and(coalesce(role <> before, true)) AS alternates FROM r GROUP BY conv_id""",
-    "citation_validity": "WITH r AS (SELECT conv_id, list(DISTINCT CAST(turn AS VARCHAR)) AS known, list_distinct(regexp_extract_all(max(text), '[0-9]+')) AS cited FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(len(cited) AS BIGINT) AS cited, round(CASE WHEN len(cited) = 0 THEN 1.0 ELSE len(list_intersect(cited, known)) / len(cited) END, 6) AS validity FROM r",
+    "citation_validity": """WITH n AS (SELECT conv_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS number FROM conversations), k AS (SELECT DISTINCT conv_id, CAST(turn AS VARCHAR) AS number FROM conversations),
+      c AS (SELECT conv_id, count(*) AS cited, count(k.number) AS valid FROM n LEFT JOIN k USING (conv_id, number) GROUP BY conv_id)
+      SELECT conv_id, coalesce(cited, 0) AS cited, round(coalesce(valid / cited, 1.0), 6) AS validity FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN c USING (conv_id)""",
     "task_success_paired": "SELECT count(CASE WHEN quality <> 1 AND toxic = 0 THEN 1 END) AS improved, count(CASE WHEN quality = 1 AND toxic <> 0 THEN 1 END) AS regressed, count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS both, count(CASE WHEN quality <> 1 AND toxic <> 0 THEN 1 END) AS neither, round(avg(CAST(toxic = 0 AS INT)) - avg(CAST(quality = 1 AS INT)), 6) AS delta FROM labels",
     "symmetric_difference": "SELECT doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id UNION ALL SELECT doc_id, 'b' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY doc_id",
     "order_digest": """WITH w AS (SELECT greatest(1, (max(doc_id) + 1 + 1023) // 1024) AS w FROM documents), p AS (SELECT doc_id // w AS g, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS d, count(*) AS n FROM documents, w GROUP BY 1)
@@ -447,3 +399,6 @@ from textloom.plans.retrieval import _LEX  # noqa: E402
 ORACLE["machine_relevance"] = f"""WITH {_LEX}, q AS (SELECT item_id, {_POOL} AS qt FROM benchmark), d AS (SELECT doc_id, {_POOL} AS dt FROM documents),
   o AS (SELECT query_id, chunk_id, len(list_intersect(qt, dt)) AS overlap, len(qt) AS n FROM lexical JOIN q ON item_id = query_id JOIN d ON doc_id = chunk_id WHERE rank <= 10)
   SELECT query_id, chunk_id, CAST(overlap AS BIGINT) AS overlap, CAST(CASE WHEN overlap >= 3 AND overlap / greatest(1, least(n, 30)) >= 0.12 THEN 1 ELSE 0 END AS BIGINT) AS relevance FROM o"""
+from textloom.plans.building import _prose_sql  # noqa: E402
+
+ORACLE["prose_clean"] = f"SELECT page_id, length(c) AS n, sha256(c) AS sha FROM (SELECT page_id, {_prose_sql('html')} AS c FROM pages)"
