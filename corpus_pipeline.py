@@ -30,7 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the
-    least id. Documents without words, and those with a null id, are in no group."""
+    least id. Documents without words, and those with a null id, are in no group. Rows with equal ids are one document, and
+    stay or go together."""
     small_batches(spark)
     found = link(docs, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
