@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ class _Table:
         total = int(length.sum())
         if self.filled + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.filled], np.empty(max(total, self.filled // 2), np.uint32)])
-        self.pool[self.filled : self.filled + total] = np.fromiter((x for r in runs if r for x in r), np.uint32, total)
+        self.pool[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(filter(None, runs)), np.uint32, total)
         self.filled += total
         self.used += len(keys)
         if 2 * self.used > len(self.keys):
