@@ -99,7 +99,7 @@ def link(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_
     busy = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").select("key", "size")
     members = materialize(members.join(busy, "key"), "members")
     texts = _texts(docs, members, id_col, text_col)
-    centres = _centres(members)
+    centres = materialize(_centres(members), "centres")  # written, so that joins with it can be split where a key is hot
     pairs = members.join(centres, "key").filter("a != node").filter(100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")).select("a", F.col("node").alias("b")).distinct()
     links = materialize(_verified(pairs, texts, words, percent), "links")
     known = components(links)
@@ -157,8 +157,8 @@ def _undecided(placed: DataFrame, centres: DataFrame) -> DataFrame:
     hashes of them agree."""
     sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
     sets = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size"), *sums).filter("low != high")
-    one = sets.groupBy("size", "s0", "s1").agg(F.min("key").alias("key")).select("key")
-    return placed.join(one, "key").join(centres.select("key", "a"), "key").filter("node != a").drop("a")
+    one = materialize(sets.groupBy("size", "s0", "s1").agg(F.min("key").alias("key")).select("key").join(centres.select("key", "a"), "key"), "open")
+    return placed.join(one, "key").filter("node != a").drop("a")
 
 
 def _apart(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -167,6 +167,7 @@ def _apart(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     weight = placed.groupBy("key", "class").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
     sides = weight.groupBy("key").agg(F.max(F.struct("w", "class", "c")).alias("l"), F.sum("w").alias("all"), F.sum("c").alias("rows"))
     sides = sides.select("key", F.col("l.class").alias("largest"), "all", (F.col("all") - F.col("l.w")).alias("out"), "rows", (F.col("rows") - F.col("l.c")).alias("out_rows")).filter("out_rows > 0")
+    sides = materialize(sides, "sides")
     blocks = lambda w, c: F.greatest(F.lit(1), F.ceil(F.col(w) / BLOCK_SHINGLES), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int")
     rows = placed.join(sides, "key").join(texts, "node").withColumn("lefts", blocks("out", "out_rows")).withColumn("rights", blocks("all", "rows"))
     deal = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
