@@ -39,13 +39,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least of its neighbours and itself."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
+    # written, so that the join can be split at a node with very many edges
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w"), "least")
     return both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each node's smaller neighbours, and itself, to the least of them. edges: u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "least")
     moved = edges.join(least, F.col("u") == F.col("w")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
 

@@ -26,7 +26,7 @@ from textloom.llm.common import materialize
 #: Pivots: one for so many candidates, within these bounds. Everything that is broadcast has a row or a pair per pivot.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 2000, 4, 256
 #: Rows of the sample that the number of groups is chosen by: queries, and candidates.
-SAMPLE = 2000, 20_000
+SAMPLE = 1000, 5000
 #: What it takes to send a candidate to a group, in comparisons of a candidate with a query.
 SENT = 250.0
 #: Distinct vectors that a task remembers.
@@ -166,8 +166,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
 def group_costs(stored: DataFrame, pivots: np.ndarray, width: int, top: float, k: int, n: int, asked: int, sample: tuple[int, int] = SAMPLE) -> list[tuple[int, float, float]]:
     """(groups, share, cost) for 1, 2, 4, ... groups: the share of all pairs of a candidate and a group that would be sent,
     and the work it means, in comparisons; estimated on the rows that hash lowest, so many queries and candidates."""
-    low = lambda rows, limit: [(r["id"], r["v"]) for r in rows.select("id", "v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(limit).collect()]
-    q, c = (_matrix(pa.array([v for _, v in low(rows, limit)], pa.list_(pa.int64())), width) for rows, limit in ((stored.filter("q"), sample[0]), (stored, sample[1])))
+    low = lambda rows, limit: rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(limit).select("v").toArrow().column("v").combine_chunks()
+    q, c = (_matrix(low(rows, limit), width) for rows, limit in ((stored.filter("q"), sample[0]), (stored, sample[1])))
     if not len(q) or not len(c):
         return [(1, 1.0, 0.0)]
     queries, candidates = _lifted(q, None), _lifted(c, top)
