@@ -146,11 +146,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
                     continue
                 scores = np.rint(scores).astype(np.int64) if kind is np.float64 else scores
                 scores[own] = none
-                # stable: among equal scores the smaller id comes first
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                row, _ = np.nonzero(best != none)
-                for out, x in zip(found, (q_ids[at : at + 128][row], ids[order[best != none]], best[best != none])):
+                row, column, score = _greatest(scores, k)
+                real = score != none
+                for out, x in zip(found, (q_ids[at : at + 128][row[real]], ids[column[real]], score[real])):
                     out.append(x)
         q_id, v_id, score = ([y for x in xs for y in np.asarray(x, dtype=object).tolist()] for xs in found) if top >= INT_EXACT else (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
         if top >= INT_EXACT:
@@ -163,6 +161,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
+def _greatest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the k greatest of each row; of equal ones the first columns."""
+    n = scores.shape[1]
+    least = np.partition(scores, max(0, n - k), axis=1)[:, max(0, n - k)]
+    row, column = np.nonzero(scores >= least[:, None])
+    score = scores[row, column]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first], score[first]
+
+
 def group_costs(stored: DataFrame, pivots: np.ndarray, width: int, top: float, k: int, n: int, asked: int, sample: tuple[int, int] = SAMPLE) -> list[tuple[int, float, float]]:
     """(groups, share, cost) for 1, 2, 4, ... groups: the share of all pairs of a candidate and a group that would be sent,
     and the work it means, in comparisons; estimated on the rows that hash lowest, so many queries and candidates."""
