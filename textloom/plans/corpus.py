@@ -114,7 +114,10 @@ def flag_detect(spark, sf):
 
 
 def secret_scan(spark, sf):
-    return documents(spark, sf).select("doc_id", F.explode(T.secrets(F.col("text"))).alias("s")).select("doc_id", "s.type", F.col("s.line").cast("long").alias("line"))
+    """All texts; the tables hold no secrets, so every seventeenth document gets one on a line of its own."""
+    planted = F.concat(F.col("text"), F.lit("\nkey AKIA"), F.lpad(F.col("doc_id").cast("string"), 16, "0"))
+    texts = documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 17 == 0, planted).otherwise(F.col("text")).alias("text"))
+    return texts.select("doc_id", F.explode(T.secrets(F.col("text"))).alias("s")).select("doc_id", "s.type", F.col("s.line").cast("long").alias("line"))
 
 
 def encoding_damage(spark, sf):
@@ -256,9 +259,9 @@ def order_digest(spark, sf):
 
 
 def recompute_compare(spark, sf):
-    """Documents whose recorded length is not the length of their text."""
+    """Documents whose recorded length is not the length of their text; every fiftieth record is moved by one."""
     docs = documents(spark, sf)
-    return checks.close(docs.select("doc_id", F.col("n_chars").cast("double").alias("n")), docs.select("doc_id", F.length("text").cast("double").alias("n")), ["doc_id"], "n")
+    return checks.close(docs.select("doc_id", (F.col("n_chars") + F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0)).cast("double").alias("n")), docs.select("doc_id", F.length("text").cast("double").alias("n")), ["doc_id"], "n")
 
 
 def page_parse_blocks(spark, sf):
@@ -350,7 +353,7 @@ ORACLE = {
       SELECT lang, source = 'src1' AS rn, 'Usage' || chr(10) || substr(text, 1, 1000) AS sample FROM documents UNION ALL SELECT 'part', false, chr(10) || substr(p_name, 1, 1000) FROM part) GROUP BY ALL""",
     "flag_detect": rf"""SELECT lang, count(CASE WHEN regexp_matches(text, {_quoted(T.SQL_START)}) THEN 1 END) AS sql, count(CASE WHEN regexp_matches(text, {_quoted(T.GENERIC_ERROR)}) OR regexp_matches(text, {_quoted(T.ERROR_OF['mysql'])}) THEN 1 END) AS error,
       count(CASE WHEN regexp_matches(text, {_quoted(T.VERSION_TALK)}) THEN 1 END) AS version, count(CASE WHEN (len(string_split(text, '```')) - 1) % 2 = 0 THEN 1 END) AS fenced FROM documents GROUP BY lang""",
-    "secret_scan": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS type, CAST(len(string_split(array_to_string(p[1:k], ''), chr(10))) AS BIGINT) AS line FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS k FROM (SELECT doc_id, regexp_split_to_array(text, {_quoted(p)}) AS p FROM documents))" for n, p in T.SECRETS),
+    "secret_scan": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS type, CAST(len(string_split(array_to_string(p[1:k], ''), chr(10))) AS BIGINT) AS line FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS k FROM (SELECT doc_id, regexp_split_to_array(text, {_quoted(p)}) AS p FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN text || chr(10) || 'key AKIA' || lpad(CAST(doc_id AS VARCHAR), 16, '0') ELSE text END AS text FROM documents)))" for n, p in T.SECRETS),
     "encoding_damage": f"SELECT source, count(*) AS documents, count(CASE WHEN contains(text, '�') OR regexp_matches(text, {_quoted(T.MOJIBAKE)}) THEN 1 END) AS damaged FROM documents GROUP BY source",
     "corpus_stats": f"WITH {_WORDS} SELECT {_STATS} FROM w",
     "lang_stats": f"WITH {_WORDS} SELECT lang, {_STATS} FROM w GROUP BY lang",
@@ -383,7 +386,7 @@ ORACLE = {
     "symmetric_difference": "SELECT doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id UNION ALL SELECT doc_id, 'b' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY doc_id",
     "order_digest": """WITH w AS (SELECT greatest(1, (max(doc_id) + 1 + 1023) // 1024) AS w FROM documents), p AS (SELECT doc_id // w AS g, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS d, count(*) AS n FROM documents, w GROUP BY 1)
       SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY g)) AS digest FROM p""",
-    "recompute_compare": "SELECT doc_id, CAST(n_chars AS DOUBLE) AS expected, CAST(length(text) AS DOUBLE) AS actual FROM documents WHERE n_chars <> length(text)",
+    "recompute_compare": "SELECT doc_id, CAST(n AS DOUBLE) AS expected, CAST(length(text) AS DOUBLE) AS actual FROM (SELECT *, n_chars + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS n FROM documents) WHERE n <> length(text)",
     "machine_relevance": None,
     "serialize_queries": """WITH f AS (SELECT conv_id AS query_id, arg_min(text, turn) AS p, CASE WHEN conv_id % 2 = 0 THEN 'mysql' END AS d FROM conversations WHERE role = 'user' GROUP BY conv_id),
       t AS (SELECT query_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(p) <> '' THEN 'Question:' || chr(10) || trim(p) END, 'SQL dialect:' || chr(10) || d) AS s FROM f)
