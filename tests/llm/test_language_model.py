@@ -18,6 +18,13 @@ def test_elias_fano_finds_what_is_there():
         others = rng.integers(0, 2 * top + 2, 500).astype(np.uint64)
         want = [int(np.searchsorted(values, x)) if x in values else -1 for x in others]
         assert ef.find(others).tolist() == want
+    for gap in (1, 2, 1 << 40):  # runs of one upper part that are longer than a word, at either end and alone
+        values = np.unique(np.concatenate([np.arange(300, dtype=np.uint64), gap * 1000 + np.arange(500, dtype=np.uint64) * gap, 2**61 + np.arange(130, dtype=np.uint64)]))
+        arrays, meta = EliasFano.build(values)
+        ef = EliasFano(meta["n"], meta["bits"], arrays["low"], arrays["upper"], arrays["zeros"])
+        keys = rng.permutation(np.concatenate([values, values + np.uint64(1)]))
+        place = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+        assert np.array_equal(ef.find(keys), np.where(values[place] == keys, place, -1))
     arrays, meta = EliasFano.build(np.empty(0, np.uint64))
     assert EliasFano(0, meta["bits"], arrays["low"], arrays["upper"], arrays["zeros"]).find(np.array([0, 5], np.uint64)).tolist() == [-1, -1]
 

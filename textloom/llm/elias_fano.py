@@ -15,6 +15,7 @@ class EliasFano:
     def __init__(self, n: int, bits: int, low: np.ndarray, upper: np.ndarray, zeros: np.ndarray):
         self.n, self.bits, self.low, self.upper, self.zeros = n, bits, low, upper.reshape(-1, BLOCK), zeros
         self.words = np.ndarray((max(0, low.nbytes - 7),), "<u8", low, strides=(1,)) if n else None
+        self.flags = np.ndarray((max(0, upper.nbytes - 7),), "<u8", upper, strides=(1,)) if n else None
         self.mask = np.uint64((1 << bits) - 1)
         self.parts = int(self.upper.shape[0]) * BLOCK * 8 - n  # zeros stored
 
@@ -53,18 +54,37 @@ class EliasFano:
         rest = rest - np.where(byte > 0, free[here, np.maximum(byte - 1, 0)], 0)
         return block * (BLOCK * 8) + byte * 8 + _NTH_ZERO[rows[here, byte], rest] - k
 
+    def _run(self, part: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Where the runs end that start with these values: how many ones follow the zero before them."""
+        bit = start + part  # of the run's first one, or of the zero that ends it
+        byte = bit >> 3
+        near = byte <= self.upper.size - 8
+        end = start.copy()
+        word = ~(self.flags[byte[near]] >> (bit[near] & 7).astype(np.uint64))
+        ones = np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        end[near] += ones
+        far = ~near
+        far[near] = ones >= 56  # the run may go on beyond the word
+        if far.any():
+            end[far] = self._before_zero(part[far])
+        return end
+
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 where it isn't there: the successor search starts in the keys' own run."""
+        """The place of each key, -1 where it isn't there: the successor search starts in the keys' own run. Keys are looked
+        up in their order, so that what lies close is read together."""
         out = np.full(len(keys), -1, dtype=np.int64)
         if not self.n or not len(keys):
             return out
-        part = (keys >> np.uint64(self.bits)).astype(np.int64)
-        todo = np.flatnonzero(part < self.parts)
-        part, want = part[todo], keys[todo] & self.mask
-        end = self._before_zero(part)
+        todo = np.argsort(keys)
+        part = (keys[todo] >> np.uint64(self.bits)).astype(np.int64)
+        inside = part < self.parts
+        todo, part = todo[inside], part[inside]
+        want = keys[todo] & self.mask
         start = np.zeros(len(part), dtype=np.int64)
         later = part > 0
         start[later] = self._before_zero(part[later] - 1)
+        with np.errstate(over="ignore"):
+            end = self._run(part, start)
         some = start < end
         todo, want, lo, hi = todo[some], want[some], start[some], end[some]
         last = hi.copy()
