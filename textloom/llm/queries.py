@@ -13,6 +13,8 @@ from textloom.llm.decontamination import contaminated
 from textloom.llm.html_text import extract
 from textloom.llm.near_duplicates import link
 from textloom.llm.packing import pack_texts
+from textloom.llm.phrases import collocations
+from textloom.llm.prefix_trie import trie
 from textloom.llm.quality import fit, score
 from textloom.llm.records import build_index, write_records
 from textloom.llm.sharding import shard
@@ -87,6 +89,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), max_n=5, least=100, percent=100, top=2000)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = lambda c: (F.crc32(c.cast("string").cast("binary")) % 4).cast("int")
+    return trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 20, shared=shared, most=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_top_k": op2_top_k,
@@ -98,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 # Words and windows as in the contract. Items with fewer than 13 words give one window of their own length.
@@ -158,4 +171,65 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, c
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON a = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_top_k": _OP2_SQL, "op4_near_duplicates": _OP4_SQL, "op3_decontamination": _OP3_SQL}
+_OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 100
+), cut AS (
+  SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS tail FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r, n.n, j, CAST(1000 * CAST(cut.a AS HUGEINT) * n.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail JOIN n ON n.lang = cut.lang
+), low AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), covered AS (
+  SELECT DISTINCT c.lang, c.phrase FROM c JOIN (
+    SELECT lang, a, array_to_string(w[s:s + m - 1], ' ') AS part FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS s FROM c, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k)
+  ) x ON x.lang = c.lang AND x.part = c.phrase WHERE 100 * x.a >= 100 * c.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, low.a DESC, low.phrase) AS rank FROM low LEFT JOIN covered USING (lang, phrase) WHERE covered.phrase IS NULL
+) WHERE rank <= 2000
+"""
+
+# CRC-32 of an id's digits, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)), lambda crc, o:
+  list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, o)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+_OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, CRC % 4 AS h FROM t
+), b AS (
+  SELECT h.conv_id, 0 AS part, p, said FROM h JOIN t ON t.conv_id = base WHERE p < h UNION ALL SELECT t.conv_id, 1, p, said FROM t JOIN h ON h.conv_id = t.conv_id WHERE p >= h
+), whole AS (
+  SELECT h.conv_id, coalesce(list(said ORDER BY part, p) FILTER (said IS NOT NULL), []) AS w FROM h LEFT JOIN b USING (conv_id) GROUP BY h.conv_id
+), pre AS (
+  SELECT conv_id, d, w[1:d] AS path, len(w) = d AS ends FROM (SELECT conv_id, w, unnest(generate_series(0, len(w))) AS d FROM whole)
+), node AS (
+  SELECT d AS depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM pre GROUP BY d, path
+), kids AS (
+  SELECT node.depth, node.path, count(k.depth) AS n FROM node LEFT JOIN node k ON k.depth = node.depth + 1 AND k.path[1:node.depth] = node.path GROUP BY ALL
+), up AS (
+  SELECT a AS depth, path[1:a] AS path, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT node.path, node.saved, kids.n, unnest(generate_series(0, node.depth)) AS a FROM node JOIN kids ON kids.depth = node.depth AND kids.path = node.path) GROUP BY ALL
+)
+SELECT node.conv_id, node.depth, pa.conv_id AS parent_conv_id, node.n_convs, kids.n AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, sha256(node.ids) AS ends_sha256
+FROM node JOIN kids ON kids.depth = node.depth AND kids.path = node.path JOIN up ON up.depth = node.depth AND up.path = node.path
+LEFT JOIN node pa ON pa.depth = node.depth - 1 AND pa.path = node.path[1:node.depth - 1] AND node.depth > 0
+""".replace("CRC", _CRC)
+
+ORACLE_SQL: dict[str, str] = {"op2_top_k": _OP2_SQL, "op4_near_duplicates": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op11_collocations": _OP11_SQL, "op12_prefix_trie": _OP12_SQL}
