@@ -17,6 +17,7 @@ from textloom.llm.phrases import collocations
 from textloom.llm.prefix_trie import trie
 from textloom.llm.quality import fit, score
 from textloom.llm.records import build_index, write_records
+from textloom.llm.repeats import without_repeats
 from textloom.llm.sharding import shard
 from textloom.llm.token_counts import count_tokens, fresh_cache
 from textloom.llm.tokenization import vocabulary_path
@@ -98,6 +99,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 20, shared=shared, most=3)
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents"), length=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_top_k": op2_top_k,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_repeats": op13_repeats,
 }
 
 # Words and windows as in the contract. Items with fewer than 13 words give one window of their own length.
@@ -232,4 +239,26 @@ FROM node JOIN kids ON kids.depth = node.depth AND kids.path = node.path JOIN up
 LEFT JOIN node pa ON pa.depth = node.depth - 1 AND pa.path = node.path[1:node.depth - 1] AND node.depth > 0
 """.replace("CRC", _CRC)
 
-ORACLE_SQL: dict[str, str] = {"op2_top_k": _OP2_SQL, "op4_near_duplicates": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op11_collocations": _OP11_SQL, "op12_prefix_trie": _OP12_SQL}
+_OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5(b[i:i + 99]) AS m FROM (SELECT doc_id, b, unnest(generate_series(1, n - 99)) AS i FROM d WHERE n >= 100)
+), again AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1
+), starts AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts) GROUP BY doc_id, run
+), holes AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS before FROM spans
+), pieces AS (
+  SELECT doc_id, sum(hi - lo) AS removed, count(*) AS n_spans, max(hi) AS last FROM holes GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(hex(b[before:lo - 1]), '' ORDER BY lo) AS x FROM holes JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN removed IS NULL THEN b ELSE from_hex(x || hex(b[last:n])) END) AS kept_sha256
+FROM d LEFT JOIN pieces USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_top_k": _OP2_SQL, "op4_near_duplicates": _OP4_SQL, "op3_decontamination": _OP3_SQL, "op11_collocations": _OP11_SQL, "op12_prefix_trie": _OP12_SQL, "op13_repeats": _OP13_SQL}
