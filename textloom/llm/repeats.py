@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_chunks, give_back, materialize, small_batches
 from textloom.llm.shingles import mix, stream
-from textloom.llm.suffix_sort import equal_prefixes
+from textloom.llm.suffix_sort import equal_prefixes, groups, several
 
 ANCHOR = 40
 CHUNK_BYTES = 1 << 20
@@ -196,29 +196,46 @@ def _block(rows: pa.Table, length: int) -> pa.RecordBatch:
     """What of these stretches, some whole buckets in order, repeats an earlier suffix."""
     h, doc, tag, lo, left = (rows.column(c).to_numpy() for c in ("h", "doc", "tag", "lo", "left"))
     contents = rows.column("text").to_pylist()
-    text = np.frombuffer(b"".join(contents), np.uint8)
-    sizes = np.array([len(c) for c in contents])
+    hi = lo + np.array([len(c) for c in contents])
+    # equal stretches of several tasks: the first stays
+    order = np.lexsort((lo, tag, doc))
+    seen: set[bytes] = set()
+    first = np.zeros(len(h), dtype=bool)
+    for i in order.tolist():
+        if contents[i] not in seen:
+            seen.add(contents[i])
+            first[i] = True
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    again = np.flatnonzero(~first)
+    # a stretch that is alone in its bucket has nothing to be compared with: no two of its own suffixes are equal
+    stay = np.flatnonzero(first)
+    stay = stay[several(groups(h[stay]))]
+    known = [doc[again], tag[again], lo[again], hi[again]]
+    if not len(stay):
+        return _marks(*known)
+    text = np.frombuffer(b"".join([contents[i] for i in stay.tolist()]), np.uint8)
+    h, doc, tag, lo, left, rank, sizes = (x[stay] for x in (h, doc, tag, lo, left, rank, hi - lo))
     begin = np.cumsum(sizes) - sizes
     number = sizes - length + 1
     owner = np.repeat(np.arange(len(sizes)), number)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
     # suffixes of one bucket whose anchor lies as far on: no others can be equal
-    bucket = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))[owner] * length + (left[owner] - inside + length) % length
+    bucket = groups(h)[owner] * length + left[owner] - inside
     order = np.argsort(bucket, kind="stable")
     at, kind = equal_prefixes(text, begin[owner[order]] + inside[order], bucket[order], length)
-    if not len(at):
-        return _marks([], [], [], [])
-    own = np.searchsorted(begin, at, side="right") - 1
-    rank = np.empty(len(sizes), np.int64)
-    rank[np.lexsort((lo, tag, doc))] = np.arange(len(sizes))
-    by = np.lexsort((at - begin[own], rank[own], kind))
-    later = np.zeros(len(at), dtype=bool)
-    later[1:] = kind[by][1:] == kind[by][:-1]
-    p = np.sort(at[by[later]])
-    own = np.searchsorted(begin, p, side="right") - 1
-    a, b = _runs(own, p)
-    k = own[a]
-    return _marks(doc[k], tag[k], lo[k] + p[a] - begin[k], lo[k] + p[b] - begin[k] + length)
+    if len(at):
+        own = np.searchsorted(begin, at, side="right") - 1
+        by = np.lexsort((at - begin[own], rank[own], kind))
+        later = np.zeros(len(at), dtype=bool)
+        later[1:] = kind[by][1:] == kind[by][:-1]
+        p = np.sort(at[by[later]])
+        own = np.searchsorted(begin, p, side="right") - 1
+        a, b = _runs(own, p)
+        k = own[a]
+        more = (doc[k], tag[k], lo[k] + p[a] - begin[k], lo[k] + p[b] - begin[k] + length)
+        known = [np.concatenate([x, y]) for x, y in zip(known, more)]
+    return _marks(*known)
 
 
 def _marks(doc, tag, lo, hi) -> pa.RecordBatch:

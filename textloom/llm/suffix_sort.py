@@ -45,7 +45,7 @@ def words(text: np.ndarray, more: int) -> np.ndarray:
     return out[:n]
 
 
-def _groups(keys: np.ndarray) -> np.ndarray:
+def groups(keys: np.ndarray) -> np.ndarray:
     """Numbers from 0 for runs of equal values."""
     new = np.empty(len(keys), np.int64)
     if len(keys):
@@ -54,7 +54,7 @@ def _groups(keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _several(group: np.ndarray) -> np.ndarray:
+def several(group: np.ndarray) -> np.ndarray:
     """Which members of runs are not alone in theirs."""
     same = group[1:] == group[:-1]
     out = np.zeros(len(group), dtype=bool)
@@ -67,14 +67,14 @@ def _refined(at: np.ndarray, group: np.ndarray, word: np.ndarray, depth: int, ke
     """Positions, in order of their groups, sorted within those by the next depth bytes; groups are parted where these
     differ. keep: single ones stay, else they are left out. Up to 2^24 groups."""
     for d in range(0, depth, STEP):
-        many = _several(group)
+        many = several(group)
         if not keep:
             at, group, many = at[many], group[many], slice(None)
-            group = _groups(group)
+            group = groups(group)
         some, own = at[many], group[many]
         if not len(some):
             break
-        key = (_groups(own).astype(np.uint64) << np.uint64(8 * STEP)) | (word[some + d] >> np.uint64(64 - 8 * STEP))
+        key = (groups(own).astype(np.uint64) << np.uint64(8 * STEP)) | (word[some + d] >> np.uint64(64 - 8 * STEP))
         order = np.argsort(key)
         key = key[order]
         if keep:
@@ -84,10 +84,10 @@ def _refined(at: np.ndarray, group: np.ndarray, word: np.ndarray, depth: int, ke
             new = np.concatenate([[0], group[1:] != group[:-1]]) | part
             group = np.cumsum(new)
         else:
-            at, group = some[order], _groups(key)
+            at, group = some[order], groups(key)
     if not keep:
-        many = _several(group)
-        at, group = at[many], _groups(group[many])
+        many = several(group)
+        at, group = at[many], groups(group[many])
     return at, group
 
 
@@ -108,7 +108,7 @@ class Sample:
             second = np.where(further < len(flat), flat[np.minimum(further, len(flat) - 1)], 0)
             key = flat[where] * (len(at) + 2) + second
             order = np.argsort(key)
-            flat[where[order]] = _groups(key[order]) + 1
+            flat[where[order]] = groups(key[order]) + 1
             covered *= 2
         self.flat = flat
 
@@ -123,7 +123,7 @@ def _told_apart(at: np.ndarray, group: np.ndarray, sample: Sample) -> np.ndarray
     open_ = np.arange(len(at))
     while len(open_):
         own = level[open_]
-        run = _groups(own)
+        run = groups(own)
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         size = np.diff(np.append(first, len(run)))
         pivot = at[order[open_[first + size // 2]]][run]
@@ -135,7 +135,7 @@ def _told_apart(at: np.ndarray, group: np.ndarray, sample: Sample) -> np.ndarray
         order[open_] = order[open_][by]
         key = key[by]
         level[open_] = key  # numbers of groups need only differ between neighbours that are open
-        rest = (key % 3 != 1) & _several(_groups(key))
+        rest = (key % 3 != 1) & several(groups(key))
         open_, level = open_[rest], level
     return order
 
@@ -144,7 +144,7 @@ def equal_prefixes(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, len
     """The starts whose first length bytes occur at another start of the same bucket, and numbers of the classes that are
     equal in them. bucket: ascending, suffixes of other buckets are not compared; length: 36 at least (V and what the last step of STEP bytes takes beyond it)."""
     word = words(text, 2 * length + 2 * V)
-    at, group = _refined(starts, _groups(bucket), word, -(-V // STEP) * STEP, keep=False)
+    at, group = _refined(starts, groups(bucket), word, -(-V // STEP) * STEP, keep=False)
     if not len(at):
         return at, group
     sample = Sample(word, len(text) + length + V, length)
@@ -157,5 +157,5 @@ def equal_prefixes(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, len
     joined = np.zeros(len(at), dtype=bool)
     joined[pair + 1] = True
     kind = np.cumsum(~joined)
-    many = _several(kind)
+    many = several(kind)
     return at[many], kind[many]
