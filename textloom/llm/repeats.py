@@ -36,6 +36,8 @@ BLOCK_BYTES = 3 << 20
 HOT = 4096
 #: Bits of the maps of anchors (8 MB each as they are broadcast).
 BITS = 1 << 26
+#: Bits of the map of texts that have a mark (4 MB as it is broadcast).
+TEXT_BITS = 1 << 24
 
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
@@ -298,10 +300,18 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = marks(named, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    found = materialize(marks(named, length), "marks")
+    spans = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    # Texts without a mark need not meet any: a bitmap of hashes of those that have some, of TEXT_BITS bits whatever their
+    # number, keeps most of the others out of the shuffle; the join decides.
+    slot = F.pmod(F.xxhash64("doc", "tag"), F.lit(TEXT_BITS))
+    bitmap = found.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     rows = named.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("_text").alias("tag"), F.col("_text").cast("binary").alias("text"))
-    joined = rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", F.col("marks.lo").alias("lo"), F.col("marks.hi").alias("hi"))
+    told = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(bitmap), "word", "left")
+    told = told.withColumn("may", F.coalesce(F.expr("shiftrightunsigned(bits, cast(slot & 63 as int)) & 1 = 1"), F.lit(False)))
+    joined = told.filter("may").select("doc_id", "doc", "tag", "text").join(spans, ["doc", "tag"], "left").select("doc_id", "text", F.col("marks.lo").alias("lo"), F.col("marks.hi").alias("hi"))
+    joined = joined.unionAll(told.filter("not may").select("doc_id", "text", F.lit(None).cast("array<int>"), F.lit(None).cast("array<int>")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_chunks(batches, "text", 8 * CHUNK_BYTES):
