@@ -1,11 +1,13 @@
 import hashlib
 import itertools
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import chunking, dedup, dense, evaluation, leakage, lexical, ranking
+from textloom.operators import chunking, dedup, dense, evaluation, leakage, lexical, merkle, percentiles, ranking
 from textloom.operators.numbering import numbered
 from textloom.operators.storage import kept
 
@@ -77,19 +79,70 @@ def test_kept_tables_follow_their_files(spark, tmp_path):
 
     def build():
         made.append(1)
-        return spark.read.parquet(path)
-
-    spark.range(3).write.parquet(path)
-    assert kept(spark, "three", [path], build).count() == kept(spark, "three", [path], build).count() == 3 and len(made) == 1
-    spark.range(5).write.mode("append").parquet(path)
-    assert kept(spark, "three", [path], build).count() == 8 and len(made) == 2
+        return spark.read.option("recursiveFileLookup", "true").parquet(path)
+
+    spark.range(3).write.parquet(path + "/deep/down")
+    assert kept(spark, "three", [path], [1], build).count() == kept(spark, "three", [path], [1], build).count() == 3 and len(made) == 1
+    spark.range(5).write.parquet(path + "/deep/more")
+    assert kept(spark, "three", [path], [1], build).count() == 8 and len(made) == 2
+    inner = sorted(p for p in os.listdir(tmp_path / "in/deep/down") if p.endswith(".parquet"))[0]
+    file = tmp_path / "in/deep/down" / inner
+    os.utime(file, (1_000_000, 1_000_000))  # rewritten in place, as many bytes, its folders unchanged
+    assert kept(spark, "three", [path], [1], build).count() == 8 and len(made) == 3
+
+
+def test_kept_tables_follow_what_they_are_made_by(spark, tmp_path):
+    path, made = f"file://{tmp_path}/in", []
+    spark.createDataFrame([(1, "a-b c"), (2, "d")], "id long, text string").write.parquet(path)
+    texts = spark.read.parquet(path)
+    words = lambda pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x: F.lower(x))
+    held = lambda pattern: lexical.kept_index(spark, "made-by", [path], texts, "id", words(pattern))
+    assert held("[a-z]+").postings.count() == held("[a-z]+").postings.count() == 4
+    assert held("[a-z-]+").postings.count() == 3  # another tokenizer under the same name
+    assert held("[a-z]+").postings.inputFiles() == held("[a-z]+").postings.inputFiles() != held("[a-z-]+").postings.inputFiles()
+    build = lambda: made.append(1) or texts
+    for by in ([lexical.Bm25(), lexical], [lexical.Bm25(), lexical], [lexical.Bm25(k1=1.2), lexical], [lexical.Bm25(), dense]):
+        kept(spark, "by", [path], by, build)
+    assert len(made) == 3
 
 
 def test_binding_tells_another_corpus(spark):
-    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "id long, tokens array<string>")
-    assert lexical.binding(index_of(docs), docs, "id").first().asDict() == {"documents": 2, "postings": 2, "tokens": 3, "terms": 2, "bound": True}
-    assert not lexical.binding(index_of(docs), docs.filter("id = 1"), "id").first()["bound"]
-    assert not lexical.binding(lexical.Index(lexical.postings(docs).filter("term = 'a'"), index_of(docs).lengths), docs, "id").first()["bound"]
+    texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string")
+    docs = lexical.tokenized(texts, "id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))
+    held, content = index_of(docs), merkle.tree(texts, "id", ["text"])
+    bound = lambda held, texts: lexical.binding(held, content, texts, "id", ["text"]).first()
+    assert bound(held, texts).asDict() == {"documents": 3, "postings": 2, "tokens": 3, "terms": 2, "bound": True}
+    assert not bound(held, texts.filter("id != 3"))["bound"]
+    assert not bound(held, texts.replace("a b a", "a c a"))["bound"]  # as many letters and words
+    assert not bound(held, texts.na.fill("", ["text"]))["bound"]
+    assert not bound(lexical.Index(held.postings.filter("term = 'a'"), held.lengths), texts)["bound"]
+
+
+def test_changes_are_located(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "LEAF_ROWS", 2)
+    rows = [(i, f"text {i}" if i % 7 else None) for i in range(600)]
+    later = [(i, "text x" if i in (5, 100) else "" if i == 7 else t) for i, t in rows if i != 33] + [(1000, "text")]
+    a, b = (spark.createDataFrame(r, "id long, text string") for r in (rows, later))
+    assert {tuple(r) for r in merkle.changes(a, b, "id", ["text"]).collect()} == {(5, "changed"), (100, "changed"), (7, "changed"), (33, "gone"), (1000, "new")}
+    x, y = (merkle.tree(t, "id", ["text"], 3) for t in (a, b))
+    found = {r["path"] for r in merkle.differing(x, y).collect()}
+    assert found == {hashlib.sha256(str(i).encode()).hexdigest()[:3] for i in (5, 7, 33, 100, 1000)}
+    assert merkle.differing(x, merkle.tree(a.repartition(7), "id", ["text"], 3)).count() == 0
+    assert merkle.changes(a.limit(0), b.limit(0), "id", ["text"]).count() == 0
+
+
+def test_percentiles_against_sorted_values(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "BINS", 4)
+    rng = random.Random(2)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(400)], "b": [10.0**-i for i in range(60)] + [10.0**i for i in range(60)], "c": [7.0] * 90 + [8.0], "d": [1.5], None: [float(rng.randrange(5)) for _ in range(77)], "e": [None, None]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r[0]: r for r in percentiles.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares).collect()}
+    for g, vs in groups.items():
+        for name, q in shares.items():
+            want = None if vs[0] is None else float(np.percentile(vs, 100 * q))
+            assert got[g][name] == (want if want is None else pytest.approx(want, rel=1e-12)), (g, name)
+    assert percentiles.percentiles(spark.createDataFrame(rows, "g string, v double"), [], "v", {"p": 0.5}).count() == 1
 
 
 def test_dense_ties(spark):

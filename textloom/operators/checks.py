@@ -36,10 +36,15 @@ def close(expected: DataFrame, actual: DataFrame, keys: list[str], column: str,
     return both.filter(F.coalesce(F.abs(F.col("expected") - F.col("actual")) > tolerance, ~F.col("expected").eqNullSafe(F.col("actual"))))
 
 
-def order_digest(rows: DataFrame, key: str, groups: int = 1024) -> DataFrame:
-    """One row: a digest of all values of key in ascending order. Values are digested in ranges first, so that no task
-    holds them all: the digest is that of the ranges' digests. key is a non-negative number."""
-    top = rows.agg(F.max(key)).first()[0] or 0
-    width = max(1, -(-(int(top) + 1) // groups))
-    part = rows.select(F.col(key).alias("k"), F.floor(F.col(key) / width).alias("g")).groupBy("g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return part.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+def order_digest(rows: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """One row: how many values key has, and a digest of them in ascending order. Values are digested in ranges of width
+    numbers, ranges' digests in groups of width ranges, and so on to the root, so that no task holds more than width of
+    them. key: unique, non-negative, whole."""
+    joined = lambda c: F.sha2(F.array_join(c, "\n"), 256)
+    level = rows.select(F.col(key).alias("k")).groupBy(F.floor(F.col("k") / width).alias("g")).agg(F.count("k").alias("n"), joined(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string"))).alias("d"))
+    groups = -(-(int(rows.agg(F.max(key)).first()[0] or 0) + 1) // width)
+    while True:
+        groups = -(-groups // width)
+        level = level.groupBy(F.floor(F.col("g") / width).alias("g")).agg(F.sum("n").alias("n"), joined(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"])).alias("d"))
+        if groups <= 1:
+            return level.select("n", F.col("d").alias("digest"))

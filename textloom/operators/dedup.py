@@ -1,30 +1,40 @@
 """Exact and near duplicates within a scope, and set-similarity joins by prefix filter.
 
-A set-similarity join is exact: a set's rarest tokens form its prefix, and two sets that reach the threshold share one
-token of their prefixes. Equal sets are one node first, so copies, however many, never meet each other.
+A set-similarity join is exact: some of a set's tokens, in an order that is the same for all sets, form its prefix, and
+two sets that reach the threshold share one token of their prefixes. Equal sets are one node first, so copies, however
+many, never meet each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
 from textloom.functions import text as T
+from textloom.operators.graphs import dropped_in_order
 from textloom.operators.storage import written
 
+#: Hashes that a task sums up at a time, sets from which a token counts as frequent, bits of the map of such tokens.
+SUMMED, OFTEN, BITS = 1 << 21, 32, 1 << 24
+#: Rounds of the greedy pass at most, and pairs a bucket's member, on average, up to which all pairs are compared.
+ROUNDS, PAIRS = 16, 12
+
 
 def exact(rows: DataFrame, scope: list[str], key: Column, order: str) -> DataFrame:
     """rows with a column keeps: the first of each (scope, key) in order. The first is found by an aggregate, so a key
-    with many copies is summed up before it is shuffled. Nulls are equal."""
+    with many copies is summed up before it is shuffled; it is written, so that the join back can be split at such a key.
+    Nulls are equal."""
     keyed = rows.withColumn("_key", F.sha2(key, 256))
     names = [*scope, "_key"]
-    first = keyed.groupBy(*names).agg(F.min(order).alias("_first")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_first")
+    first = written(keyed.groupBy(*names).agg(F.min(order).alias("_first")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_first"), "first")
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)])  # nulls are one scope, and one key
     return keyed.join(first, same, "left").drop(*[f"_k{i}" for i in range(len(names))]).withColumn("keeps", F.col(order).eqNullSafe(F.col("_first"))).drop("_key", "_first")
 
@@ -34,27 +44,79 @@ def _scoped(rows: DataFrame, scope: list[str]) -> DataFrame:
     return rows.withColumns({c: F.struct(c) for c in scope}) if scope else rows
 
 
+def _frequent(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of hashes that are in many sets. hashes: one column, arrays of 64-bit hashes. Each task sums up some
+    million hashes at a time and passes on those it has more than one of; BITS bits reach the driver. What the bitmap
+    has or has not makes no difference to a result, as it only orders the tokens of a prefix."""
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> pa.RecordBatch:
+            one, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(one[n > 1]), pa.array(n[n > 1], pa.int64())], names=["h", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size > SUMMED:
+                yield summed()
+                held, size = [], 0
+        if held:
+            yield summed()
+
+    often = hashes.mapInArrow(repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    slot = often.select(F.col("h").bitwiseAND(BITS - 1).alias("slot"))
+    found = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _prefix_of(spark: SparkSession, hashes: DataFrame, percent: int) -> Callable[[Column], Column]:
+    """The prefix of an array of distinct hashes: the first so many that sets of the wanted similarity share one of them
+    at least. Tokens are in order of their hashes, those of many sets last: any order would do that is the same for all
+    sets, and this one needs no count of every token."""
+    often = spark.sparkContext.broadcast(_frequent(hashes))
+
+    def prefix(sets: pd.Series) -> pd.Series:
+        out = []
+        for one in sets:
+            h = np.asarray(one, np.int64)
+            slot = h.view(np.uint64) & np.uint64(BITS - 1)
+            late = (often.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+            out.append(h[np.lexsort((h, late))[: len(h) - -(-len(h) * percent // 100) + 1]])
+        return pd.Series(out, dtype=object)
+
+    made = F.pandas_udf(prefix, "array<long>", PandasUDFType.SCALAR)
+    return lambda items: made(F.coalesce(items, F.array().cast("array<long>")))
+
+
+def _able(sizes: tuple[str, str], percent: int) -> Column:
+    """Whether sets of these sizes can be as similar as that."""
+    return F.least(*sizes) * 100 >= F.greatest(*sizes) * percent
+
+
 def similar_pairs(sets: DataFrame, percent: int, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """sets: id, items (array of strings) and the scope's columns. Returns pairs (a, b, common, size_a, size_b) of
     representatives, a < b, with 100 * common >= percent * union, and members (id, node). Empty sets pair with nothing
-    and are their own node."""
+    and are their own node. Hashes find the candidates, the strings themselves decide."""
     scope = scope or []
     sets = _scoped(sets, scope)
     keyed = sets.withColumn("_d", F.sha2(F.array_join(F.array_sort("items"), "\x01"), 256))
     nodes = written(keyed.groupBy(*scope, "_d").agg(F.min("id").alias("node"), F.any_value("items").alias("items")), "nodes")
     members = keyed.filter(F.size("items") > 0).join(nodes.select(*scope, "_d", "node"), [*scope, "_d"]).select("id", "node")
     members = members.unionByName(keyed.filter(F.size("items") == 0).select("id", F.col("id").alias("node")))
-    tokens = nodes.filter(F.size("items") > 0).select(*scope, "node", F.size("items").alias("n"), F.explode("items").alias("t"))
-    often = tokens.groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("df"))
-    # tokens that only one set has can join nothing, but take their places in the prefix
-    ranked = tokens.join(often, [*scope, "t"]).groupBy(*scope, "node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    prefix = ranked.select(*scope, "node", "n", F.posexplode(F.slice("o", 1, length.cast("int"))).alias("pos", "x")).filter("x.df > 1").select(*scope, "node", "n", F.col("x.t").alias("t"), "pos")
-    a = prefix.select(*scope, "t", F.col("node").alias("a"), F.col("n").alias("size_a"), F.col("pos").alias("pa"))
-    b = prefix.select(*scope, "t", F.col("node").alias("b"), F.col("n").alias("size_b"), F.col("pos").alias("pb"))
+    hashed = nodes.filter(F.size("items") > 0).select(*scope, "node", F.size("items").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
+    prefix = _prefix_of(sets.sparkSession, hashed.select("h"), percent)
+    tokens = hashed.select(*scope, "node", "n", F.posexplode(prefix(F.col("h"))).alias("pos", "t"))
+    busy = tokens.groupBy(*scope, "t").agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l != _h").drop("_l", "_h")
+    tokens = written(tokens.join(busy, [*scope, "t"]), "prefixes")
+    a = tokens.select(*scope, "t", F.col("node").alias("a"), F.col("n").alias("size_a"), F.col("pos").alias("pa"))
+    b = tokens.select(*scope, "t", F.col("node").alias("b"), F.col("n").alias("size_b"), F.col("pos").alias("pb"))
     need = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100.0 + percent) - 1e-9)
     left = F.least(F.col("size_a") - F.col("pa"), F.col("size_b") - F.col("pb"))
-    met = a.join(b, [*scope, "t"]).filter((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (left >= need))
+    met = a.join(b, [*scope, "t"]).filter((F.col("a") < F.col("b")) & _able(("size_a", "size_b"), percent) & (left >= need))
     candidates = met.select("a", "b", "size_a", "size_b").distinct()
     items = nodes.select("node", "items")
     both = candidates.join(items.toDF("a", "items_a"), "a").join(items.toDF("b", "items_b"), "b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
@@ -63,58 +125,97 @@ def similar_pairs(sets: DataFrame, percent: int, scope: list[str] | None = None)
 
 
 def keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Which nodes a pass in ascending order keeps, if each is dropped that has an edge to a kept smaller one.
+    """nodes with a column kept: which of them a pass in ascending order keeps, if each is dropped that has an edge to a
+    kept smaller one. nodes: (node), longs. edges: (a, b), a < b."""
+    gone = dropped_in_order(edges).withColumn("_gone", F.lit(True))
+    return nodes.join(gone, "node", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+
+
+class _Speakers:
+    """Who is compared in a greedy pass, and how. table: first (long), the scope's columns, chars, errors, enough, n,
+    prefix. sets: first, items."""
+
+    def __init__(self, table: DataFrame, sets: DataFrame, scope: list[str], percent: int, length_ratio: float):
+        self.table, self.sets, self.scope, self.percent, self.ratio = table, sets, scope, percent, length_ratio
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), a before b, in which a, if it is kept, drops b."""
+        side = lambda c, p: self.table.select(F.col("first").alias(c), *[F.col(x).alias(f"{x}_{p}") for x in ("chars", "errors", "enough", "n")])
+        clash = (F.size("errors_x") > 0) & (F.size("errors_y") > 0) & (F.col("errors_x") != F.col("errors_y"))
+        close = F.least("chars_x", "chars_y") >= self.ratio * F.greatest("chars_x", "chars_y")
+        may = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(close & ~clash & F.col("enough_y") & _able(("n_x", "n_y"), self.percent)).select("a", "b")
+        both = may.join(self.sets.toDF("a", "items_a"), "a").join(self.sets.toDF("b", "items_b"), "b")
+        common = F.size(F.array_intersect("items_a", "items_b"))
+        return both.filter(common * 100 >= (F.size("items_a") + F.size("items_b") - common) * self.percent).select("a", "b")
+
+
+def _dropped_near(speakers: _Speakers) -> DataFrame:
+    """(first) of the speakers that the pass drops.
 
-    nodes: (node). edges: (a, b), a < b. A node is kept once all its smaller neighbours are dropped, and dropped once one
-    of them is kept; each round decides what it can, and the smallest undecided node is always among it.
+    Speakers that share a token of their prefixes are in a bucket. As long as buckets are large, rounds are made: who is
+    the first in all its buckets is kept, and compared with all that it meets there, which drops its copies at once, so
+    that a group of near copies is never turned into its pairs. Then the rest is compared by pairs, and decided by
+    components. Rounds only choose an order of work: the result is that of the pass over all.
     """
-    open_edges = written(edges.select("a", "b").distinct(), "edges")
+    scope = speakers.scope
+    live = speakers.table.select("first", *scope, "n", "prefix")
     dropped: DataFrame | None = None
-    while not open_edges.isEmpty():
-        blocked = open_edges.select(F.col("b").alias("a")).distinct()
-        now = open_edges.join(blocked, "a", "left_anti").select(F.col("b").alias("node")).distinct()  # a is kept: nothing smaller is open
-        now = written(now, "dropped")
-        dropped = now if dropped is None else dropped.unionAll(now)
-        gone = open_edges.join(now.withColumnRenamed("node", "b"), "b", "left_anti")
-        open_edges = written(gone.join(now.withColumnRenamed("node", "a"), "a", "left_anti"), "edges")
-    if dropped is None:
-        return nodes.withColumn("kept", F.lit(True))
-    return nodes.join(dropped.withColumn("_gone", F.lit(True)), "node", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+    for turn in range(ROUNDS + 1):
+        tokens = live.select("first", *scope, "n", F.posexplode("prefix").alias("pos", "t"))
+        buckets = written(tokens.groupBy(*scope, "t").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
+        sums = buckets.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
+        met = written(tokens.join(buckets.select(*scope, "t", "lead"), [*scope, "t"]), "met")
+        if turn == ROUNDS or not sums[0] or sums[1] <= PAIRS * sums[0]:
+            break
+        behind = written(met.filter("lead < first").select(F.col("lead").alias("a"), F.col("first").alias("b")).distinct(), "behind")
+        leaders = written(behind.select(F.col("a")).distinct().join(behind.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "leaders")
+        gone = written(speakers.near(behind.join(leaders, "a")).select(F.col("b").alias("first")).distinct(), "gone")
+        dropped = gone if dropped is None else written(dropped.unionAll(gone), "dropped")
+        open_ = met.select("first").distinct().join(gone, "first", "left_anti").join(leaders.withColumnRenamed("a", "first"), "first", "left_anti")
+        live = written(live.join(open_, "first", "left_semi"), "live")
+    a, b = (met.select(*scope, "t", F.col("first").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"p_{c}")) for c in "ab")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * speakers.percent / (100.0 + speakers.percent) - 1e-9)
+    left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    pairs = a.join(b, [*scope, "t"]).filter((F.col("a") < F.col("b")) & _able(("n_a", "n_b"), speakers.percent) & (left >= need)).select("a", "b").distinct()
+    rest = dropped_in_order(speakers.near(pairs)).withColumnRenamed("node", "first")
+    return rest if dropped is None else rest.unionAll(dropped)
 
 
 def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_words: int = 20, length_ratio: float = 0.8) -> DataFrame:
-    """rows: ord, text and the scope's columns; adds kept and kind (exact, near or null).
+    """rows: ord (unique, whole numbers), text and the scope's columns; adds kept and kind (exact, near or null).
 
     In ascending ord a row is dropped if a kept earlier one of its scope has the same normalized text, or, where it has
     least_words words, five-word shingles of so much similarity, normalized lengths within the ratio and no
-    contradicting error identifiers. A null text is an empty one. ord must be unique.
+    contradicting error identifiers. A null text is an empty one. Shingles are compared as 64-bit hashes.
     """
-    base = _scoped(rows, scope).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_words", F.transform(T.word_tokens(F.col("text")), F.lower))
-    words = F.col("_words")  # a column of its own: higher-order functions would tokenize again for every shingle
+    base = _scoped(rows, scope).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("id", F.col("ord").cast("long"))
     norm = T.normalize_for_hash(F.col("text"))
-    facts = written(base.select(*scope, F.col("ord").alias("id"), F.sha2(norm, 256).alias("key"), F.length(norm).alias("chars"), F.size(words).alias("words"), T.error_tokens(F.col("text")).alias("errors"), T.shingles(words).alias("items")), "facts")
-    first = facts.groupBy(*scope, "key").agg(F.min("id").alias("node"))
-    same = facts.join(first, [*scope, "key"]).select("id", "node")
-    # copies of a row have its edges, so only the first of each key is compared
-    firsts = facts.join(first.select("node"), facts["id"] == F.col("node"), "left_semi")
-    pairs, members = similar_pairs(firsts.select(*scope, "id", "items"), percent, scope)
-    # Rows of one shingle set, length, error identifiers and sufficiency of words have the same neighbours. The first of
-    # them speaks for all: what drops it drops the others, and if it is kept it drops them, unless they are too short to be dropped.
-    alike = ["node", "chars", "errors", "enough"]
-    who = members.join(facts.select("id", "chars", F.array_sort("errors").alias("errors"), (F.col("words") >= least_words).alias("enough")), "id")
-    speakers = written(who.groupBy(*alike).agg(F.min("id").alias("first")), "speakers")
-    side = lambda n, p: speakers.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{p}") for c in ("first", "chars", "errors", "enough")])
-    within = speakers.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    met = pairs.select("a", "b").unionAll(within).join(side("a", "x"), "a").join(side("b", "y"), "b")
-    clash = (F.size("errors_x") > 0) & (F.size("errors_y") > 0) & (F.col("errors_x") != F.col("errors_y"))
-    close = F.least("chars_x", "chars_y") >= length_ratio * F.greatest("chars_x", "chars_y")
-    later = F.when(F.col("first_x") > F.col("first_y"), F.col("enough_x")).otherwise(F.col("enough_y"))
-    near = met.filter((F.col("first_x") != F.col("first_y")) & close & ~clash & later).select(F.least("first_x", "first_y").alias("a"), F.greatest("first_x", "first_y").alias("b"))
-    passed = keep_first(firsts.select(F.col("id").alias("node")), near)
-    spoken = who.filter("enough").select(F.col("id").alias("node")).join(speakers.select(F.col("first").alias("node")), "node", "left_anti").withColumn("_spoken", F.lit(True))
-    decided = passed.join(spoken, "node", "left").withColumn("kept", F.col("kept") & F.col("_spoken").isNull()).drop("_spoken")
-    kind = F.when(~F.col("kept_node"), "near").when(F.col("ord") != F.col("node"), "exact")
-    return rows.join(same.join(decided.withColumnRenamed("kept", "kept_node"), "node").withColumnRenamed("id", "ord"), "ord", "left").withColumn("kind", kind).withColumn("kept", F.col("kind").isNull()).drop("node", "kept_node")
+    words = base.withColumn("_words", F.transform(T.word_tokens(F.col("text")), F.lower))  # a column of its own: else it is made anew for every shingle
+    sets = lambda df: df.withColumn("items", F.array_sort(T.shingle_hashes(F.col("_words"), 5)))
+    prefix = _prefix_of(rows.sparkSession, sets(words).select("items"), percent)
+    digest = F.struct(F.xxhash64("items").alias("u"), F.xxhash64(F.lit(1), "items").alias("v"))
+    facts = sets(words).select(*scope, "id", F.sha2(norm, 256).alias("key"), F.length(norm).alias("chars"), (F.size("_words") >= least_words).alias("enough"), F.array_sort(T.error_tokens(F.col("text"))).alias("errors"), digest.alias("set"), F.size("items").alias("n"), prefix(F.col("items")).alias("prefix"))
+    facts = written(facts, "facts")
+    first = written(facts.groupBy(*scope, "key").agg(F.min("id").alias("node")), "first")
+    same = facts.select(*scope, "key", "id").join(first, [*scope, "key"]).select("id", "node")
+    # Copies of a row have its edges, so only the first of each key is compared. Rows of one shingle set, length, error
+    # identifiers and sufficiency of words have the same neighbours. The first of them speaks for all: what drops it drops
+    # the others, and if it is kept it drops them, unless they are too short to be dropped.
+    firsts = facts.join(first.select(F.col("node").alias("id")), "id", "left_semi")
+    alike = [*scope, "set", "chars", "errors", "enough"]
+    table = written(firsts.groupBy(*alike).agg(F.min("id").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "speakers")
+    shared = table.select(*scope, "first", F.explode("prefix").alias("t"))
+    busy = written(shared.groupBy(*scope, "t").agg(F.min("first").alias("l"), F.max("first").alias("h")).filter("l != h").select(*scope, "t"), "busy")
+    needed = written(shared.join(busy, [*scope, "t"]).select("first").distinct(), "needed")
+    texts = base.join(needed.withColumnRenamed("first", "id"), "id", "left_semi").select("id", F.transform(T.word_tokens(F.col("text")), F.lower).alias("_words"))
+    found = written(sets(texts).select(F.col("id").alias("first"), "items"), "sets")
+    speakers = _Speakers(table, found, scope, percent, length_ratio)
+    gone = _dropped_near(speakers).select("first").withColumn("_gone", F.lit(True))
+    # a row and its speaker: what drops the speaker drops it; a kept speaker drops it too, if it may be dropped
+    decided = written(table.select(*alike, "first").join(gone, "first", "left"), "decided")
+    spoken = firsts.join(decided, alike).select(F.col("id").alias("node"), (F.col("_gone").isNotNull() | (F.col("enough") & (F.col("id") != F.col("first")))).alias("_near"))
+    kind = F.when(F.col("_near"), "near").when(F.col("ord") != F.col("node"), "exact")
+    return rows.join(same.join(spoken, "node").withColumnRenamed("id", "ord"), "ord", "left").withColumn("kind", kind).withColumn("kept", F.col("kind").isNull()).drop("node", "_near")
 
 
 def simhash(items: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyspark
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,27 +34,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it is read in fewer parts than there are, as one small file is; anything larger is
+    left alone, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def state(spark: SparkSession, paths: list[str]) -> str:
-    """Names the files behind the paths as they are now: where they lie, how many, their bytes, the last change of the path."""
-    said = []
-    for path in paths:
-        store, p = _path(spark, path)
-        sizes = store.getContentSummary(p)
-        said.append(f"{store.makeQualified(p).toString()} {sizes.getFileCount()} {sizes.getLength()} {store.getFileStatus(p).getModificationTime()}")
-    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:32]
+    """Names the files at the paths and below them as they are now: where they lie, their bytes, when each was changed.
+    The listing is a table of Spark's, so that many files are looked at by many tasks; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("changed"))
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), "path", "length", "changed").cast("decimal(38,0)")), F.lit(0)) for seed in (1, 2)]
+    return _digest(*files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), *sums).first())
 
 
-def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+def _digest(*parts: object) -> str:
+    return hashlib.sha256("\n".join(map(str, parts)).encode()).hexdigest()[:32]
+
+
+def described(part: object) -> str:
+    """What a kept table is made by, as text: a module by its source, an expression by what it says (lambda variables
+    under one name), anything else as it prints."""
+    if inspect.ismodule(part):
+        return inspect.getsource(part)
+    return re.sub(r"\b([a-z]+)_\d+\b", r"\1", str(part)) if isinstance(part, Column) else repr(part)
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], made_by: list[object], build: Callable[[], DataFrame]) -> DataFrame:
     """The table that build makes of the files at sources, from the shared folder if it has been made of them as they are
-    now; a table of other files, or of the same before a change, is not taken for it. One that was left unfinished is
-    made anew."""
-    path = f"{shared_dir(spark)}/kept/{name}-{state(spark, sources)}"
-    store, done = _path(spark, f"{path}/_SUCCESS")
-    if not store.exists(done):
+    now, and in this way. made_by is all that its content depends on besides: modules whose code makes it, expressions,
+    parameters. A table of other files, of the same before a change, by other code or parameters is not taken for it. One
+    that was left unfinished is made anew."""
+    path = f"{shared_dir(spark)}/kept/{name}-{_digest(state(spark, sources), pyspark.__version__, *map(described, made_by))}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import cases, version
 from textloom.functions import text as T
-from textloom.operators import analysis, evaluation, leakage
+from textloom.operators import analysis, evaluation, leakage, percentiles
 from textloom.plans.retrieval import _ALL, _H, _M, METRICS, _dialect, _metrics, _quoted, dense_run, fused, lexical_run, qrels, table, universe
 
 FLAGS, SCORES = ["task_success", "root_cause", "repair"], ["relevance", "faithfulness"]
@@ -69,9 +69,10 @@ def graded_metrics(spark, sf):
 
 def latency_totals(spark, sf):
     """Event types play the components of an answer."""
-    v = F.col("value")
-    parts = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"))
-    return analysis.totals(parts, ["mean", "p95"])
+    rows = table(spark, sf, "events")
+    means = rows.groupBy(F.col("event_type").alias("kind")).agg(F.round(F.avg("value"), 6).alias("mean"))
+    found = percentiles.percentiles(rows, ["event_type"], "value", {"p95": 0.95})
+    return analysis.totals(found.join(means, found["event_type"].eqNullSafe(means["kind"])).withColumn("p95", F.round("p95", 6)), ["mean", "p95"])
 
 
 def evidence_resolution(spark, sf):

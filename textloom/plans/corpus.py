@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import version as V
-from textloom.operators import answers, checks, chunking, dedup, evaluation, leakage, lexical
+from textloom.operators import answers, checks, chunking, dedup, evaluation, leakage, lexical, merkle, percentiles
 from textloom.plans.retrieval import _quoted, _tokens_sql, table
 
 SCOPE = ["lang", "source"]
@@ -195,8 +195,11 @@ def confusion_matrix(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"), F.max(v).alias("most"), F.round(F.count(F.lit(1)) / (F.sum(v) / 1000), 6).alias("per_second"))
+    v, rows = F.col("value"), table(spark, sf, "events")
+    sums = rows.groupBy(F.col("event_type").alias("kind")).agg(F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"), F.round(F.count(F.lit(1)) / (F.sum(v) / 1000), 6).alias("per_second"))
+    found = percentiles.percentiles(rows, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    both = found.join(sums, found["event_type"].eqNullSafe(sums["kind"]))
+    return both.select("event_type", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "most", "per_second")
 
 
 def leakage_5gram(spark, sf):
@@ -258,6 +261,21 @@ def order_digest(spark, sf):
     return checks.order_digest(documents(spark, sf), "doc_id")
 
 
+def content_tree(spark, sf):
+    """The digest tree of all documents, one level of leaves."""
+    nodes = merkle.tree(documents(spark, sf), "doc_id", ["lang", "source", "text"], depth=1)
+    return nodes.select(F.col("level").cast("long").alias("level"), "path", "n", "digest")
+
+
+def content_changes(spark, sf):
+    """Documents against a later state of them: every 97th text has one letter changed in place, every 89th document is
+    gone, and for every 83rd there is a new one."""
+    now, n = documents(spark, sf), F.col("doc_id")
+    later = now.filter(n % 89 != 0).withColumn("text", F.when(n % 97 == 0, F.concat(F.lit("~"), F.substring("text", 2, 1 << 30))).otherwise(F.col("text")))
+    later = later.unionByName(now.filter(n % 83 == 0).withColumn("doc_id", -1 - n))
+    return merkle.changes(now, later, "doc_id", ["lang", "source", "text"])
+
+
 def recompute_compare(spark, sf):
     """Documents whose recorded length is not the length of their text; every fiftieth record is moved by one."""
     docs = documents(spark, sf)
@@ -301,7 +319,7 @@ QUERIES = {f.__name__: f for f in (
     exact_dedup, near_dup_keep_first, dedup_report, token_set_near_pairs, token_set_members, residual_dup_rate, simhash_bands, url_canonical, title_extract, prose_clean, boilerplate_filter,
     fixed_chunks, structure_chunks, version_scope_counts, topic_classify, flag_detect, secret_scan, encoding_damage, corpus_stats, lang_stats,
     source_coverage, vocab_size, balanced_sample, stratified_sample, constraint_checks, reference_checks, label_agreement, weighted_kappa, confusion_matrix, latency_percentiles,
-    leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, recompute_compare, page_parse_blocks,
+    leakage_5gram, leakage_13gram_run, machine_relevance, conversation_contract, citation_validity, task_success_paired, symmetric_difference, order_digest, content_tree, content_changes, recompute_compare, page_parse_blocks,
     serialize_queries, answer_contract, boilerplate_sections,
 )}
 
@@ -384,8 +402,13 @@ ORACLE = {
       SELECT conv_id, coalesce(cited, 0) AS cited, round(coalesce(valid / cited, 1.0), 6) AS validity FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN c USING (conv_id)""",
     "task_success_paired": "SELECT count(CASE WHEN quality <> 1 AND toxic = 0 THEN 1 END) AS improved, count(CASE WHEN quality = 1 AND toxic <> 0 THEN 1 END) AS regressed, count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS both, count(CASE WHEN quality <> 1 AND toxic <> 0 THEN 1 END) AS neither, round(avg(CAST(toxic = 0 AS INT)) - avg(CAST(quality = 1 AS INT)), 6) AS delta FROM labels",
     "symmetric_difference": "SELECT doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id UNION ALL SELECT doc_id, 'b' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY doc_id",
-    "order_digest": """WITH w AS (SELECT greatest(1, (max(doc_id) + 1 + 1023) // 1024) AS w FROM documents), p AS (SELECT doc_id // w AS g, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS d, count(*) AS n FROM documents, w GROUP BY 1)
+    "order_digest": """WITH p AS (SELECT doc_id // 1024 AS g, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS d, count(*) AS n FROM documents GROUP BY 1)
       SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY g)) AS digest FROM p""",
+    "content_tree": f"""WITH r AS (SELECT sha256(CAST(doc_id AS VARCHAR))[1:1] AS path, sha256(concat_ws(',', {', '.join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "lang", "source", "text"))})) AS d FROM documents),
+      l AS (SELECT path, count(*) AS n, sha256(concat_ws(',', count(*), {', '.join(f"CAST(sum(CAST('0x' || d[{1 + 16 * i}:{15 + 16 * i}] AS BIGINT)) AS VARCHAR)" for i in range(4))})) AS digest FROM r GROUP BY path)
+      SELECT CAST(1 AS BIGINT) AS level, path, n, digest FROM l UNION ALL SELECT 0, '', CAST(sum(n) AS BIGINT), sha256(string_agg(path || '=' || digest, ',' ORDER BY path)) FROM l""",
+    "content_changes": """SELECT doc_id, CASE WHEN doc_id % 89 = 0 THEN 'gone' ELSE 'changed' END AS change FROM documents WHERE doc_id % 89 = 0 OR doc_id % 97 = 0 AND text[1:1] <> '~'
+      UNION ALL SELECT -1 - doc_id, 'new' FROM documents WHERE doc_id % 83 = 0""",
     "recompute_compare": "SELECT doc_id, CAST(n AS DOUBLE) AS expected, CAST(length(text) AS DOUBLE) AS actual FROM (SELECT *, n_chars + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS n FROM documents) WHERE n <> length(text)",
     "machine_relevance": None,
     "serialize_queries": """WITH f AS (SELECT conv_id AS query_id, arg_min(text, turn) AS p, CASE WHEN conv_id % 2 = 0 THEN 'mysql' END AS d FROM conversations WHERE role = 'user' GROUP BY conv_id),

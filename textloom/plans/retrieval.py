@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions import version as V
 from textloom.operators import dense, evaluation, lexical, ranking
-from textloom.operators.storage import kept, written
+from textloom.operators.storage import kept, spread, written
 
 METRICS = ["ndcg_10", "mrr_10", "recall_5", "recall_10", "recall_20", "p_5", "hit_5", "hit_10", "recall_any_10", "judged_5", "judged_10", "judged_20", "judged_30"]
 
 
+#: Tables of texts: what is done to a row of them takes longer than reading it.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    found = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def words(text) -> F.Column:
@@ -39,13 +44,14 @@ TOKENS = {"words": words, "sql": T.sql_tokens, "pool": T.pool_tokens, "field": T
 
 def index(spark, sf, kind: str = "words") -> lexical.Index:
     """The lexical index of all documents under a tokenizer, made once for the files that are there."""
-    return lexical.kept_index(spark, kind, [f"{sf}/documents.parquet"], corpus(spark, sf, TOKENS[kind]))
+    return lexical.kept_index(spark, kind, [f"{sf}/documents.parquet"], table(spark, sf, "documents"), "doc_id", TOKENS[kind](F.col("text")))
 
 
 def lexical_run(spark, sf, k: int = 30) -> DataFrame:
     """The k best of 30, from the run that is kept."""
-    made = lambda: lexical.top_k(lexical.scores(index(spark, sf), items(spark, sf), lexical.Bm25()), 30)
-    return kept(spark, "lexical-run", [f"{sf}/documents.parquet", f"{sf}/benchmark.parquet"], made).filter(F.col("rank") <= k)
+    model, by = lexical.Bm25(), [lexical, T, words(F.col("text")), 30]
+    made = lambda: lexical.top_k(lexical.scores(index(spark, sf), items(spark, sf), model), 30)
+    return kept(spark, "lexical-run", [f"{sf}/documents.parquet", f"{sf}/benchmark.parquet"], [*by, model], made).filter(F.col("rank") <= k)
 
 
 def dense_run(spark, sf, k: int = 30) -> DataFrame:
@@ -55,7 +61,7 @@ def dense_run(spark, sf, k: int = 30) -> DataFrame:
         rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
         return dense.top_k(rows.filter("id % 100 = 0"), rows, 30).withColumn("query_id", (F.col("query_id") / 100).cast("long"))
 
-    return kept(spark, "dense-run", [f"{sf}/embeddings.parquet"], made).filter(F.col("rank") <= k)
+    return kept(spark, "dense-run", [f"{sf}/embeddings.parquet"], [dense, 30, 100], made).filter(F.col("rank") <= k)
 
 
 #: Into so many parts the judgments of a label are dealt: ten labels would be ten tasks.
@@ -95,7 +101,8 @@ def doc_lengths(spark, sf):
 
 
 def index_binding(spark, sf):
-    return lexical.binding(index(spark, sf), table(spark, sf, "documents"), "doc_id")
+    sources, docs = [f"{sf}/documents.parquet"], table(spark, sf, "documents")
+    return lexical.binding(index(spark, sf), lexical.kept_content(spark, "words", sources, docs, "doc_id", ["text"]), docs, "doc_id", ["text"])
 
 
 def bm25_topk(spark, sf):
