@@ -31,7 +31,7 @@ def test_same_as_sql(spark, sf, name):
     for file in os.listdir(sf):
         con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM read_parquet('{sf}/{file}')")
     got, want = QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
-    rows = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).values.tolist()), key=repr)
+    rows = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).values.tolist()), key=repr)
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 

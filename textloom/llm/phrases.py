@@ -73,8 +73,9 @@ class _Seen:
         self.maps = maps
 
     def has(self, n: int, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes % np.uint64(BITS)
-        return (self.maps[n - 1][(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        bitmap = self.maps[n - 1]
+        slot = hashes % np.uint64(64 * len(bitmap))
+        return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _counted(texts: list[bytes], langs: list[str], n: int, seen: _Seen) -> pa.RecordBatch:

@@ -71,14 +71,14 @@ class _Hashes:
             return mix((sums[end] - sums[start]) * self.inverse[: len(sums)][start])
 
 
-def _stretches(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, _Hashes, np.ndarray]]:
-    """For parts of the joined texts: anchor hash, anchor place, first and last suffix of each stretch, the text that it
+def _stretches(texts: list[bytes], length: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, _Hashes, np.ndarray]]:
+    """For parts of the joined texts (of part suffixes): anchor hash, anchor place, first and last suffix of each stretch, the text that it
     lies in, that text's start in the part, the part's hashes and bytes. Suffixes of a stretch share their anchor."""
     whole = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     span = length - ANCHOR + 1  # so many anchors to choose from
-    for base in range(0, len(whole) - length + 1, CHUNK_BYTES):
-        data = whole[base : base + CHUNK_BYTES + length - 1]
+    for base in range(0, len(whole) - length + 1, part):
+        data = whole[base : base + part + length - 1]
         n = len(data) - length + 1
         hashes = _Hashes(data)
         own = hashes.of(slice(0, len(data) - ANCHOR + 1), slice(ANCHOR, len(data) + 1))
@@ -100,7 +100,7 @@ def _stretches(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np
 
 
 def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(BITS - 1)
+    slot = h & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -131,9 +131,16 @@ def _found(docs: DataFrame, repeated, hot, length: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_chunks(batches, "text", CHUNK_BYTES):
             docs_, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+            order = np.lexsort((tags, docs_))
+            again = np.zeros(len(order), dtype=bool)
+            again[1:] = (docs_[order][1:] == docs_[order][:-1]) & (tags[order][1:] == tags[order][:-1])
+            if again.any():  # a row that is there twice is one document
+                batch = batch.take(pa.array(np.sort(order[~again])))
+                docs_, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+                order = np.lexsort((tags, docs_))
             place = np.empty(len(docs_), np.int64)  # of the batch's texts in their order
-            place[np.lexsort((tags, docs_))] = np.arange(len(docs_))
-            for h, anchor, first, last, text, start, hashes, data in _stretches(batch.column("text").to_pylist(), length):
+            place[order] = np.arange(len(docs_))
+            for h, anchor, first, last, text, start, hashes, data in _stretches(batch.column("text").to_pylist(), length, CHUNK_BYTES):
                 some = _has(repeated.value, h)
                 h, anchor, first, last, text, start = (x[some] for x in (h, anchor, first, last, text, start))
                 warm = ~_has(hot.value, h)
@@ -199,17 +206,18 @@ def _block(rows: pa.Table, length: int) -> pa.RecordBatch:
     h, doc, tag, lo, left = (rows.column(c).to_numpy() for c in ("h", "doc", "tag", "lo", "left"))
     contents = rows.column("text").to_pylist()
     hi = lo + np.array([len(c) for c in contents])
-    # equal stretches of several tasks: the first stays
+    # equal stretches of several tasks: the first stays, and a row that is there twice is one document
     order = np.lexsort((lo, tag, doc))
-    seen: set[bytes] = set()
-    first = np.zeros(len(h), dtype=bool)
+    before: dict[bytes, int] = {}
+    first, again = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
     for i in order.tolist():
-        if contents[i] not in seen:
-            seen.add(contents[i])
+        j = before.setdefault(contents[i], i)
+        if j == i:
             first[i] = True
-    rank = np.empty(len(h), np.int64)
-    rank[order] = np.arange(len(h))
-    again = np.flatnonzero(~first)
+        else:
+            again[i] = (doc[i], tag[i], lo[i]) != (doc[j], tag[j], lo[j])
+    whose = np.empty(len(h), np.int64)  # numbers documents in their order
+    whose[order] = np.cumsum(np.concatenate([[0], (doc[order][1:] != doc[order][:-1]) | (tag[order][1:] != tag[order][:-1])]))
     # a stretch that is alone in its bucket has nothing to be compared with: no two of its own suffixes are equal
     stay = np.flatnonzero(first)
     stay = stay[several(groups(h[stay]))]
@@ -217,7 +225,7 @@ def _block(rows: pa.Table, length: int) -> pa.RecordBatch:
     if not len(stay):
         return _marks(*known)
     text = np.frombuffer(b"".join([contents[i] for i in stay.tolist()]), np.uint8)
-    h, doc, tag, lo, left, rank, sizes = (x[stay] for x in (h, doc, tag, lo, left, rank, hi - lo))
+    h, doc, tag, lo, left, whose, sizes = (x[stay] for x in (h, doc, tag, lo, left, whose, hi - lo))
     begin = np.cumsum(sizes) - sizes
     number = sizes - length + 1
     owner = np.repeat(np.arange(len(sizes)), number)
@@ -228,10 +236,11 @@ def _block(rows: pa.Table, length: int) -> pa.RecordBatch:
     at, kind = equal_prefixes(text, begin[owner[order]] + inside[order], bucket[order], length)
     if len(at):
         own = np.searchsorted(begin, at, side="right") - 1
-        by = np.lexsort((at - begin[own], rank[own], kind))
-        later = np.zeros(len(at), dtype=bool)
-        later[1:] = kind[by][1:] == kind[by][:-1]
-        p = np.sort(at[by[later]])
+        place, who = lo[own] + at - begin[own], whose[own]
+        by = np.lexsort((place, who, kind))
+        kind, place, who = kind[by], place[by], who[by]
+        head = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))[groups(kind)]
+        p = np.sort(at[by[(who != who[head]) | (place != place[head])]])
         own = np.searchsorted(begin, p, side="right") - 1
         a, b = _runs(own, p)
         k = own[a]
@@ -250,7 +259,7 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_chunks(batches, "text", CHUNK_BYTES):
-            for h, *_ in _stretches(batch.column("text").to_pylist(), length):
+            for h, *_ in _stretches(batch.column("text").to_pylist(), length, CHUNK_BYTES):
                 one, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
