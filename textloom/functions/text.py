@@ -109,8 +109,8 @@ def all_of(text: Column, pattern: str) -> Column:
 def normalize_for_hash(text: Column) -> Column:
     """Line ends to LF, blanks run together, three or more line feeds to two, trimmed, lower case."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")  # single blanks, which are most, stay as they are
+    return F.lower(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
 
 
 def word_tokens(text: Column) -> Column:
@@ -176,16 +176,6 @@ def ngram_hashes(tokens: Column, size: int) -> Column:
     return F.element_at(F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), runs), 1)
 
 
-def shingle_hashes(tokens: Column, size: int) -> Column:
-    """shingles as distinct 64-bit hashes of the tokens' hashes."""
-
-    def runs(hashes: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(hashes) - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))
-        return F.array_distinct(F.when(F.size(hashes) < size, hashes).otherwise(made))
-
-    return F.element_at(F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(t))), runs), 1)
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets: 1 if both are empty, 0 if one is."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

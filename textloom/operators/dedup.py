@@ -7,6 +7,7 @@ many, never meet each other.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
@@ -14,16 +15,18 @@ from operator import and_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.types import StructType
 
 from textloom.functions import text as T
 from textloom.operators.graphs import dropped_in_order
-from textloom.operators.storage import written
+from textloom.operators.storage import matching, written
 
 #: Hashes that a task sums up at a time, sets from which a token counts as frequent, bits of the map of such tokens.
-SUMMED, OFTEN, BITS = 1 << 21, 32, 1 << 24
+SUMMED, OFTEN, BITS = 1 << 21, 8, 1 << 24
 #: Rounds of the greedy pass at most, and pairs a bucket's member, on average, up to which all pairs are compared.
 ROUNDS, PAIRS = 16, 12
 
@@ -73,23 +76,67 @@ def _frequent(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefix_of(spark: SparkSession, hashes: DataFrame, percent: int) -> Callable[[Column], Column]:
-    """The prefix of an array of distinct hashes: the first so many that sets of the wanted similarity share one of them
-    at least. Tokens are in order of their hashes, those of many sets last: any order would do that is the same for all
-    sets, and this one needs no count of every token."""
+def _is_in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _prefix_size(n: int, percent: int) -> int:
+    """So many tokens of a set are its prefix: sets of that similarity share one of them."""
+    return n - -(-n * percent // 100) + 1
+
+
+def _prefix_of(spark: SparkSession, hashes: DataFrame, percent: int) -> Callable[[Column, Column], Column]:
+    """The prefix of a set of n hashes, of which the low smallest are given in order: tokens are in order of their hashes,
+    those of many sets last. Any order would do that is the same for all sets, and this one needs no count of every token.
+    Null where the given ones are too few to tell. hashes: one column, what is given of all sets."""
     often = spark.sparkContext.broadcast(_frequent(hashes))
 
-    def prefix(sets: pd.Series) -> pd.Series:
+    def prefix(sets: pd.Series, sizes: pd.Series) -> pd.Series:
         out = []
-        for one in sets:
-            h = np.asarray(one, np.int64)
-            slot = h.view(np.uint64) & np.uint64(BITS - 1)
-            late = (often.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-            out.append(h[np.lexsort((h, late))[: len(h) - -(-len(h) * percent // 100) + 1]])
+        for low, n in zip(sets, sizes):
+            h = np.asarray(low, np.int64)
+            late = _is_in(often.value, h)
+            need, here = _prefix_size(n, percent), h[~late]
+            if len(here) < need:
+                here = np.concatenate([here, h[late]]) if len(h) == n else None
+            out.append(None if here is None else here[:need])
         return pd.Series(out, dtype=object)
 
-    made = F.pandas_udf(prefix, "array<long>", PandasUDFType.SCALAR)
-    return lambda items: made(F.coalesce(items, F.array().cast("array<long>")))
+    return F.pandas_udf(prefix, "array<long>", PandasUDFType.SCALAR)
+
+
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def _shingle_sets(hashes: pa.Array) -> list[np.ndarray]:
+    """For each list of word hashes the ascending distinct hashes of its runs of five words; of fewer, those of its words."""
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)))
+    flat = hashes.flatten().to_numpy().view(np.uint64)
+    with np.errstate(over="ignore"):
+        runs = sum((flat[k : len(flat) - len(_PLACES) + 1 + k] * m for k, m in enumerate(_PLACES)), start=np.uint64(0)) if len(flat) >= len(_PLACES) else np.empty(0, np.uint64)
+        runs ^= runs >> np.uint64(29)
+        runs *= _PLACES[0]
+        runs ^= runs >> np.uint64(32)
+    return [np.unique((runs[a : b - len(_PLACES) + 1] if b - a >= len(_PLACES) else flat[a:b]).view(np.int64)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _word_hashes(text: Column) -> Column:
+    return F.transform(T.word_tokens(text), lambda w: F.xxhash64(F.lower(w)))
+
+
+def _as_lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in arrays])), pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """rows (id, text) as (id, items): the shingle sets in whole."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _as_lists(_shingle_sets(batch.column("h")))], names=["id", "items"])
+
+    return rows.select("id", _word_hashes(F.col("text")).alias("h")).mapInArrow(made, "id long, items array<long>")
 
 
 def _able(sizes: tuple[str, str], percent: int) -> Column:
@@ -107,9 +154,9 @@ def similar_pairs(sets: DataFrame, percent: int, scope: list[str] | None = None)
     nodes = written(keyed.groupBy(*scope, "_d").agg(F.min("id").alias("node"), F.any_value("items").alias("items")), "nodes")
     members = keyed.filter(F.size("items") > 0).join(nodes.select(*scope, "_d", "node"), [*scope, "_d"]).select("id", "node")
     members = members.unionByName(keyed.filter(F.size("items") == 0).select("id", F.col("id").alias("node")))
-    hashed = nodes.filter(F.size("items") > 0).select(*scope, "node", F.size("items").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
+    hashed = nodes.filter(F.size("items") > 0).select(*scope, "node", F.array_sort(F.array_distinct(F.transform("items", lambda x: F.xxhash64(x)))).alias("h")).withColumn("n", F.size("h"))
     prefix = _prefix_of(sets.sparkSession, hashed.select("h"), percent)
-    tokens = hashed.select(*scope, "node", "n", F.posexplode(prefix(F.col("h"))).alias("pos", "t"))
+    tokens = hashed.select(*scope, "node", "n", F.posexplode(prefix(F.col("h"), F.col("n"))).alias("pos", "t"))
     busy = tokens.groupBy(*scope, "t").agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l != _h").drop("_l", "_h")
     tokens = written(tokens.join(busy, [*scope, "t"]), "prefixes")
     a = tokens.select(*scope, "t", F.col("node").alias("a"), F.col("n").alias("size_a"), F.col("pos").alias("pa"))
@@ -133,18 +180,21 @@ def keep_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 class _Speakers:
     """Who is compared in a greedy pass, and how. table: first (long), the scope's columns, chars, errors, enough, n,
-    prefix. sets: first, items."""
+    prefix. texts: id, text."""
 
-    def __init__(self, table: DataFrame, sets: DataFrame, scope: list[str], percent: int, length_ratio: float):
-        self.table, self.sets, self.scope, self.percent, self.ratio = table, sets, scope, percent, length_ratio
+    def __init__(self, table: DataFrame, texts: DataFrame, scope: list[str], percent: int, length_ratio: float):
+        self.table, self.texts, self.scope, self.percent, self.ratio = table, texts, scope, percent, length_ratio
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), a before b, in which a, if it is kept, drops b."""
         side = lambda c, p: self.table.select(F.col("first").alias(c), *[F.col(x).alias(f"{x}_{p}") for x in ("chars", "errors", "enough", "n")])
         clash = (F.size("errors_x") > 0) & (F.size("errors_y") > 0) & (F.col("errors_x") != F.col("errors_y"))
         close = F.least("chars_x", "chars_y") >= self.ratio * F.greatest("chars_x", "chars_y")
-        may = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(close & ~clash & F.col("enough_y") & _able(("n_x", "n_y"), self.percent)).select("a", "b")
-        both = may.join(self.sets.toDF("a", "items_a"), "a").join(self.sets.toDF("b", "items_b"), "b")
+        may = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(close & ~clash & F.col("enough_y") & _able(("n_x", "n_y"), self.percent))
+        may = written(may.select("a", "b"), "candidates")
+        asked = written(may.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+        sets = written(_sets(matching(self.texts, "id", asked)), "sets")
+        both = may.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
         common = F.size(F.array_intersect("items_a", "items_b"))
         return both.filter(common * 100 >= (F.size("items_a") + F.size("items_b") - common) * self.percent).select("a", "b")
 
@@ -181,6 +231,25 @@ def _dropped_near(speakers: _Speakers) -> DataFrame:
     return rest if dropped is None else rest.unionAll(dropped)
 
 
+def _facts(texts: DataFrame, scope: list[str], percent: int, least_words: int) -> DataFrame:
+    """texts: the scope's columns, id, text. Of each: key (digest of the normalized text), chars, enough, errors, two
+    hashes u and v of the shingle set, its size n, and low: the smallest of its hashes, twice as many as its prefix has."""
+    norm = T.normalize_for_hash(F.col("text"))
+    rows = texts.select(*scope, "id", "text", norm.alias("norm"), _word_hashes(F.col("text")).alias("h"))
+    rows = rows.select(*scope, "id", F.sha2("norm", 256).alias("key"), F.length("norm").alias("chars"), (F.size("h") >= least_words).alias("enough"), F.array_sort(T.error_tokens(F.col("text"))).alias("errors"), "h")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _shingle_sets(batch.column("h"))
+            sums = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
+            low = [s[: 2 * _prefix_size(len(s), percent)] for s in sets]
+            more = {"u": pa.array(sums[:, 0]), "v": pa.array(sums[:, 1]), "n": pa.array([len(s) for s in sets], pa.int32()), "low": _as_lists(low)}
+            kept = [c for c in batch.schema.names if c != "h"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more.values()], names=[*kept, *more])
+
+    return rows.mapInArrow(made, StructType([*(f for f in rows.schema.fields if f.name != "h"), *StructType.fromDDL("u long, v long, n int, low array<long>").fields]))
+
+
 def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_words: int = 20, length_ratio: float = 0.8) -> DataFrame:
     """rows: ord (unique, whole numbers), text and the scope's columns; adds kept and kind (exact, near or null).
 
@@ -188,29 +257,24 @@ def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_
     least_words words, five-word shingles of so much similarity, normalized lengths within the ratio and no
     contradicting error identifiers. A null text is an empty one. Shingles are compared as 64-bit hashes.
     """
-    base = _scoped(rows, scope).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("id", F.col("ord").cast("long"))
-    norm = T.normalize_for_hash(F.col("text"))
-    words = base.withColumn("_words", F.transform(T.word_tokens(F.col("text")), F.lower))  # a column of its own: else it is made anew for every shingle
-    sets = lambda df: df.withColumn("items", F.array_sort(T.shingle_hashes(F.col("_words"), 5)))
-    prefix = _prefix_of(rows.sparkSession, sets(words).select("items"), percent)
-    digest = F.struct(F.xxhash64("items").alias("u"), F.xxhash64(F.lit(1), "items").alias("v"))
-    facts = sets(words).select(*scope, "id", F.sha2(norm, 256).alias("key"), F.length(norm).alias("chars"), (F.size("_words") >= least_words).alias("enough"), F.array_sort(T.error_tokens(F.col("text"))).alias("errors"), digest.alias("set"), F.size("items").alias("n"), prefix(F.col("items")).alias("prefix"))
-    facts = written(facts, "facts")
+    texts = _scoped(rows, scope).select(*scope, F.col("ord").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    facts = written(_facts(texts, scope, percent, least_words), "facts")
+    prefix = _prefix_of(rows.sparkSession, facts.select("low"), percent)
     first = written(facts.groupBy(*scope, "key").agg(F.min("id").alias("node")), "first")
     same = facts.select(*scope, "key", "id").join(first, [*scope, "key"]).select("id", "node")
     # Copies of a row have its edges, so only the first of each key is compared. Rows of one shingle set, length, error
     # identifiers and sufficiency of words have the same neighbours. The first of them speaks for all: what drops it drops
     # the others, and if it is kept it drops them, unless they are too short to be dropped.
     firsts = facts.join(first.select(F.col("node").alias("id")), "id", "left_semi")
-    alike = [*scope, "set", "chars", "errors", "enough"]
-    table = written(firsts.groupBy(*alike).agg(F.min("id").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "speakers")
-    shared = table.select(*scope, "first", F.explode("prefix").alias("t"))
-    busy = written(shared.groupBy(*scope, "t").agg(F.min("first").alias("l"), F.max("first").alias("h")).filter("l != h").select(*scope, "t"), "busy")
-    needed = written(shared.join(busy, [*scope, "t"]).select("first").distinct(), "needed")
-    texts = base.join(needed.withColumnRenamed("first", "id"), "id", "left_semi").select("id", F.transform(T.word_tokens(F.col("text")), F.lower).alias("_words"))
-    found = written(sets(texts).select(F.col("id").alias("first"), "items"), "sets")
-    speakers = _Speakers(table, found, scope, percent, length_ratio)
-    gone = _dropped_near(speakers).select("first").withColumn("_gone", F.lit(True))
+    alike = [*scope, "u", "v", "chars", "errors", "enough"]
+    table = firsts.groupBy(*alike).agg(F.min("id").alias("first"), F.any_value("n").alias("n"), F.any_value("low").alias("low"))
+    table = written(table.withColumn("prefix", prefix(F.col("low"), F.col("n"))).drop("low"), "speakers")
+    short = table.filter("prefix is null")
+    if not short.isEmpty():  # of these sets more has to be seen
+        whole = _sets(matching(texts.select("id", "text"), "id", short.select("first")))
+        more = whole.select(F.col("id").alias("first"), prefix(F.col("items"), F.size("items")).alias("prefix"))
+        table = written(table.filter("prefix is not null").unionByName(short.drop("prefix").join(more, "first").select(*table.columns)), "speakers")
+    gone = _dropped_near(_Speakers(table, texts.select("id", "text"), scope, percent, length_ratio)).select("first").withColumn("_gone", F.lit(True))
     # a row and its speaker: what drops the speaker drops it; a kept speaker drops it too, if it may be dropped
     decided = written(table.select(*alike, "first").join(gone, "first", "left"), "decided")
     spoken = firsts.join(decided, alike).select(F.col("id").alias("node"), (F.col("_gone").isNotNull() | (F.col("enough") & (F.col("id") != F.col("first")))).alias("_near"))
