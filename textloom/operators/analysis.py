@@ -117,4 +117,5 @@ def sentence_copied(query: Column, text: Column, least: int = 6) -> Column:
     """Whether a sentence of the query of so many words or more stands in the text, blanks run together and case folded."""
     flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     sentences = F.filter(F.transform(F.split(query, T.SENTENCE_END), flat), lambda s: F.size(F.split(s, " ")) >= least)
-    return F.exists(sentences, lambda s: F.contains(flat(text), s))
+    # the text is flattened once, not for every sentence
+    return F.element_at(F.transform(F.array(flat(text)), lambda whole: F.exists(sentences, lambda s: F.contains(whole, s))), 1)

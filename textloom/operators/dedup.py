@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from textloom.functions import text as T
 from textloom.operators.graphs import dropped_in_order
-from textloom.operators.storage import matching, written
+from textloom.operators.storage import give_back, matching, small_batches, written
 
 #: Hashes that a task sums up at a time, sets from which a token counts as frequent, bits of the map of such tokens.
 SUMMED, OFTEN, BITS = 1 << 21, 8, 1 << 24
@@ -67,6 +67,8 @@ def _frequent(hashes: DataFrame) -> np.ndarray:
                 held, size = [], 0
         if held:
             yield summed()
+        held.clear()
+        give_back()
 
     often = hashes.mapInArrow(repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     slot = often.select(F.col("h").bitwiseAND(BITS - 1).alias("slot"))
@@ -135,6 +137,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), _as_lists(_shingle_sets(batch.column("h")))], names=["id", "items"])
+        give_back()
 
     return rows.select("id", _word_hashes(F.col("text")).alias("h")).mapInArrow(made, "id long, items array<long>")
 
@@ -246,6 +249,7 @@ def _facts(texts: DataFrame, scope: list[str], percent: int, least_words: int) -
             more = {"u": pa.array(sums[:, 0]), "v": pa.array(sums[:, 1]), "n": pa.array([len(s) for s in sets], pa.int32()), "low": _as_lists(low)}
             kept = [c for c in batch.schema.names if c != "h"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more.values()], names=[*kept, *more])
+        give_back()
 
     return rows.mapInArrow(made, StructType([*(f for f in rows.schema.fields if f.name != "h"), *StructType.fromDDL("u long, v long, n int, low array<long>").fields]))
 
@@ -257,6 +261,7 @@ def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_
     least_words words, five-word shingles of so much similarity, normalized lengths within the ratio and no
     contradicting error identifiers. A null text is an empty one. Shingles are compared as 64-bit hashes.
     """
+    small_batches(rows.sparkSession)
     texts = _scoped(rows, scope).select(*scope, F.col("ord").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     facts = written(_facts(texts, scope, percent, least_words), "facts")
     prefix = _prefix_of(rows.sparkSession, facts.select("low"), percent)

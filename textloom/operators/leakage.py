@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from textloom.functions import text as T
 
@@ -26,19 +22,6 @@ def status(run: Column, copied: Column, containment: Column, ratio: Column) -> C
     return F.when(fail, "FAIL").when((containment > 0.45) | (ratio > 0.55), "WARN").otherwise("PASS")
 
 
-def closeness(a: Column, b: Column) -> Column:
-    """(run, ratio): the longest common run of tokens, and difflib's ratio, of two short token lists."""
-
-    def measured(pairs: pd.Series, others: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(pairs, others):
-            m = SequenceMatcher(None, list(x) if x is not None else [], list(y) if y is not None else [], autojunk=False)
-            rows.append((m.find_longest_match().size, m.ratio()))
-        return pd.DataFrame(rows, columns=["run", "ratio"])
-
-    return F.pandas_udf(measured, "run int, ratio double", PandasUDFType.SCALAR)(a, b)
-
-
 def relevance(same_dialect: Column, overlap: Column, query_terms: Column, in_both: Column, explicit: Column) -> Column:
     """The explicit grade where there is one; else 1 for enough shared terms, or for two with both retrievers; else 0."""
     share = overlap / F.greatest(F.lit(1), F.least(query_terms, F.lit(30)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import inspect
 import re
@@ -9,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand rows with texts to Python in batches of so many at most: what a task holds follows its batches. The
+    session keeps the setting, as tasks run after the caller has returned."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def give_back() -> None:
+    """Returns what this Python process has freed to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores where it is read in fewer parts than there are, as one small file is; anything larger is
     left alone, without a shuffle."""

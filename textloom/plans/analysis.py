@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import cases, version
 from textloom.functions import text as T
-from textloom.operators import analysis, evaluation, leakage, percentiles
+from textloom.operators import analysis, closeness, evaluation, leakage, percentiles
 from textloom.plans.retrieval import _ALL, _H, _M, METRICS, _dialect, _metrics, _quoted, dense_run, fused, lexical_run, qrels, table, universe
 
 FLAGS, SCORES = ["task_success", "root_cause", "repair"], ["relevance", "faithfulness"]
@@ -102,25 +102,27 @@ def case_rules(spark, sf):
     return _statements(spark, sf).select("o_orderkey", cases.canonical_oracle(alias).alias("oracle"), cases.matches(expected, low, high, price).alias("matches"), F.array_join(tokens, " ").alias("tokens"))
 
 
+def _close(spark, sf, k):
+    """The candidates of BM25 with the longest common run of tokens and the ratio of matching ones, whole texts."""
+    tokens = lambda t: F.transform(T.pool_tokens(t), F.lower)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("tokens"))
+    return closeness.closeness(lexical_run(spark, sf, k), items, docs)
+
+
 def leakage_status(spark, sf):
-    """For the candidates of BM25: containment of five-word runs, a copied sentence, and what that makes of the pair."""
-    pairs = lexical_run(spark, sf, 10).select("query_id", "chunk_id")
+    """For the candidates of BM25: containment of five-word runs, the longest common run, the ratio of matching tokens, a
+    copied sentence, and what that makes of the pair."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("qtext"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("dtext"))
-    rows = pairs.join(items, "query_id").join(docs, "chunk_id").withColumns({"qw": T.pool_tokens(F.col("qtext")), "dw": T.pool_tokens(F.col("dtext"))})
-    shared = rows.withColumns({"q5": T.ngrams(F.col("qw"), 5), "d5": T.ngrams(F.col("dw"), 5), "q13": T.ngrams(F.col("qw"), 13), "d13": T.ngrams(F.col("dw"), 13)})
-    marked = shared.select("query_id", "chunk_id", F.round(analysis.containment(F.col("q5"), F.col("d5")), 6).alias("containment"), F.arrays_overlap("q13", "d13").alias("run"), analysis.sentence_copied(F.col("qtext"), F.col("dtext")).alias("copied"))
-    state = leakage.status(F.when(F.coalesce("run", F.lit(False)), 13).otherwise(0), F.col("copied"), F.col("containment"), F.lit(0.0))
-    return marked.select("query_id", "chunk_id", "containment", F.coalesce("run", F.lit(False)).alias("run"), state.alias("status"))
+    rows = _close(spark, sf, 10).join(items, "query_id").join(docs, "chunk_id").withColumns({"q5": T.ngrams(T.pool_tokens(F.col("qtext")), 5), "d5": T.ngrams(T.pool_tokens(F.col("dtext")), 5)})
+    marked = rows.select("query_id", "chunk_id", F.round(analysis.containment(F.col("q5"), F.col("d5")), 6).alias("containment"), "run", F.round("ratio", 6).alias("ratio"), analysis.sentence_copied(F.col("qtext"), F.col("dtext")).alias("copied"))
+    return marked.select("query_id", "chunk_id", "containment", "run", "ratio", leakage.status(F.col("run"), F.col("copied"), F.col("containment"), F.col("ratio")).alias("status"))
 
 
 def token_closeness(spark, sf):
-    """Longest common run and difflib's ratio of an item's first tokens and those of the documents that BM25 finds first."""
-    first = lambda c: F.slice(T.pool_tokens(F.col(c)), 1, 120)
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), first("text").alias("q"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), first("text").alias("d"))
-    near = lexical_run(spark, sf, 3).select("query_id", "chunk_id").join(items, "query_id").join(docs, "chunk_id")
-    return near.select("query_id", "chunk_id", leakage.closeness(F.col("q"), F.col("d")).alias("c")).select("query_id", "chunk_id", F.col("c.run").cast("long").alias("run"), F.round("c.ratio", 6).alias("ratio"))
+    """Longest common run and ratio of an item's tokens and those of the documents that BM25 finds first."""
+    return _close(spark, sf, 3).withColumn("ratio", F.round("ratio", 6))
 
 
 def version_parse(spark, sf):
@@ -162,6 +164,17 @@ _GATE = {"at_least": "x + 1e-15 >= {0}", "at_most": "x - 1e-15 <= {0}", "falls_b
 _GATE_ROWS = " UNION ALL ".join(f"SELECT slice, '{m}' AS metric, round(avg(m.{m}), 6) AS c, round(avg(h.{m}), 6) AS x, '{k}' AS kind, {v}::DOUBLE AS lim FROM m JOIN h USING (query_id), LATERAL (SELECT unnest(['all', CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END]) AS slice) GROUP BY slice" for m, (k, v) in GATES.items())
 _TOKENS = lambda t: f"regexp_extract_all(coalesce({t}, ''), {_quoted(T.POOL_TOKEN)})"
 
+# Matching runs, as boxes that are cut at their longest common run: all maximal runs on diagonals first, then box by box.
+_CLOSE = lambda k: rf"""tk AS (SELECT query_id, chunk_id, list_transform({_TOKENS('b.text')}, lambda x: lower(x)) AS q, list_transform({_TOKENS('d.text')}, lambda x: lower(x)) AS w FROM lexical JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id WHERE rank <= {k}),
+      cell AS (SELECT x.query_id, x.chunk_id, x.i, y.j FROM (SELECT query_id, chunk_id, unnest(range(len(q))) AS i, unnest(q) AS t FROM tk) x JOIN (SELECT query_id, chunk_id, unnest(range(len(w))) AS j, unnest(w) AS t FROM tk) y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id AND x.t = y.t),
+      diag AS (SELECT query_id, chunk_id, min(i) AS i, min(j) AS j, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY query_id, chunk_id, i - j ORDER BY i) AS g FROM cell) GROUP BY query_id, chunk_id, i - j, g),
+      box AS (SELECT query_id, chunk_id, 0 AS a, len(q) AS b, 0 AS c, len(w) AS d, 0 AS size FROM tk UNION ALL
+        SELECT query_id, chunk_id, x.a, x.b, x.c, x.d, x.size FROM (SELECT query_id, chunk_id, unnest([{{'a': a, 'b': m.i, 'c': c, 'd': m.j, 'size': m.n}}, {{'a': m.i + m.n, 'b': b, 'c': m.j + m.n, 'd': d, 'size': 0}}]) AS x FROM (
+          SELECT query_id, chunk_id, a, b, c, d, arg_min({{'i': i, 'j': j, 'n': n}}, {{'x': -n, 'y': i, 'z': j}}) AS m FROM (
+            SELECT p.query_id, p.chunk_id, a, b, c, d, i + o AS i, j + o AS j, least(n, b - i, d - j) - o AS n FROM (SELECT p.*, r.i, r.j, r.n, greatest(0, a - r.i, c - r.j) AS o FROM box p JOIN diag r ON r.query_id = p.query_id AND r.chunk_id = p.chunk_id WHERE p.a < p.b AND p.c < p.d) p
+          ) WHERE n > 0 GROUP BY query_id, chunk_id, a, b, c, d))),
+      measured AS (SELECT tk.query_id, tk.chunk_id, q, w, CAST(run AS BIGINT) AS run, round(CASE WHEN len(q) + len(w) = 0 THEN 1.0 ELSE 2 * total / (len(q) + len(w)) END, 6) AS ratio FROM tk JOIN (SELECT query_id, chunk_id, max(size) AS run, sum(size) AS total FROM box GROUP BY 1, 2) t ON t.query_id = tk.query_id AND t.chunk_id = tk.chunk_id)"""
+
 ORACLE = {
     "judge_aggregate": f"""WITH r AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN 'grounded' ELSE 'closed' END AS system, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 3 - 1 ELSE 0 END AS retry FROM labels)
       SELECT system, count(*) AS results, count(CASE WHEN quality = 1 THEN 1 END) AS successes, count(CASE WHEN quality <> 1 THEN 1 END) AS failures, CAST(sum(retry) AS BIGINT) AS retries, count(CASE WHEN quality = 1 AND retry > 0 THEN 1 END) AS recovered,
@@ -198,12 +211,13 @@ ORACLE = {
       t AS (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 'database_state' WHEN 1 THEN 'scalar' ELSE CASE upper(trim(verb)) WHEN 'CREATE' THEN 'schema_state' WHEN 'INSERT' THEN 'database_state' WHEN 'MERGE' THEN 'database_state' ELSE CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 1 THEN 'scalar' ELSE 'ordered_rows' END END END AS oracle FROM s)
       SELECT o_orderkey, oracle, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice >= floor(o_totalprice / 1000) * 1000 AND o_totalprice < floor(o_totalprice / 1000) * 1000 + 500 ELSE o_orderkey % 5 = 0 END AS matches,
       concat_ws(' ', CASE WHEN o_orderkey % 3 = 0 THEN 'E' || o_custkey % 100 END, CASE o_orderkey % 4 WHEN 0 THEN '->> -> <> max' WHEN 1 THEN ':: >= count' END, 'order_' || o_orderkey % 13, 't_' || o_orderkey % 3) AS tokens FROM t""",
-    "leakage_status": rf"""WITH {_ALL}, p AS (SELECT query_id, chunk_id, b.text AS qt, d.text AS dt, list_transform({_TOKENS('b.text')}, lambda x: lower(x)) AS q, list_transform({_TOKENS('d.text')}, lambda x: lower(x)) AS w FROM lexical JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id WHERE rank <= 10),
-      g AS (SELECT *, {', '.join(f"list_distinct(list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n - 1}], ' '))) AS {x}{n}" for x in 'qw' for n in (5, 13))} FROM p),
+    "leakage_status": rf"""WITH RECURSIVE {_ALL}, {_CLOSE(10)},
+      g AS (SELECT m.*, {', '.join(f"list_distinct(list_transform(range(1, len({x}) - 3), lambda i: array_to_string({x}[i:i + 4], ' '))) AS {x}5" for x in 'qw')}, b.text AS qt, d.text AS dt FROM measured m JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
       f AS (SELECT *, lower(trim(regexp_replace(dt, '\s+', ' ', 'g'))) AS flat, regexp_split_to_array(regexp_replace(regexp_replace(qt, '([.!?。！？])\s+([A-Z0-9`\[])', '\1' || chr(1) || '\2', 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)) AS parts FROM g),
-      c AS (SELECT *, round(CASE WHEN len(q5) = 0 THEN 0.0 ELSE len(list_intersect(q5, w5)) / len(q5) END, 6) AS containment, len(list_intersect(q13, w13)) > 0 AS run,
+      c AS (SELECT *, round(CASE WHEN len(q5) = 0 THEN 0.0 ELSE len(list_intersect(q5, w5)) / len(q5) END, 6) AS containment,
         len(list_filter(list_transform(parts, lambda s: lower(trim(regexp_replace(s, '\s+', ' ', 'g')))), lambda s: len(string_split(s, ' ')) >= 6 AND contains(flat, s))) > 0 AS copied FROM f)
-      SELECT query_id, chunk_id, containment, run, CASE WHEN run OR copied THEN 'FAIL' WHEN containment > 0.45 THEN 'WARN' ELSE 'PASS' END AS status FROM c""",
+      SELECT query_id, chunk_id, containment, run, ratio, CASE WHEN run > 12 OR copied THEN 'FAIL' WHEN containment > 0.45 OR ratio > 0.55 THEN 'WARN' ELSE 'PASS' END AS status FROM c""",
+    "token_closeness": rf"WITH RECURSIVE {_ALL}, {_CLOSE(3)} SELECT query_id, chunk_id, run, ratio FROM measured",
     "version_parse": """WITH s AS (SELECT doc_id, doc_id % 10 AS k, CAST(doc_id % 20 AS VARCHAR) AS s FROM documents),
       l AS (SELECT *, CASE k WHEN 1 THEN 'Latest' WHEN 2 THEN 'v' || s || '.4' WHEN 3 THEN s || '.45.2' WHEN 4 THEN s || '.4.x' WHEN 5 THEN s WHEN 6 THEN s || '.0-30.4' WHEN 7 THEN 'V' || s || '.0 to 30.4' WHEN 8 THEN 'rolling snapshot' WHEN 9 THEN ' ' || s || '.7 ' END AS label,
         CASE k WHEN 1 THEN 'current' WHEN 2 THEN s || '.4' WHEN 3 THEN s || '.45.2' WHEN 4 THEN s || '.4.x' WHEN 5 THEN s WHEN 6 THEN s || '.0-30.4' WHEN 7 THEN 'V' || s || '.0 to 30.4' WHEN 8 THEN 'rolling snapshot' WHEN 9 THEN s || '.7' END AS version,
