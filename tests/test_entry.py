@@ -9,10 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans import analysis, building, corpus, retrieval
+from textloom.plans import analysis, building, corpus, retrieval, semantic
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-PLANS = (analysis, building, corpus, retrieval)
+PLANS = (analysis, building, corpus, retrieval, semantic)
 NAMES = sorted(name for plan in PLANS for name in plan.ORACLE)
 
 

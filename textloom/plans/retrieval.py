@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import version as V
-from textloom.operators import dense, evaluation, lexical, ranking
+from textloom.operators import dense, evaluation, lexical, ranking, vectors
 from textloom.operators.storage import kept, spread, written
 
 METRICS = ["ndcg_10", "mrr_10", "recall_5", "recall_10", "recall_20", "p_5", "hit_5", "hit_10", "recall_any_10", "judged_5", "judged_10", "judged_20", "judged_30"]
@@ -59,9 +59,11 @@ def dense_run(spark, sf, k: int = 30) -> DataFrame:
 
     def made() -> DataFrame:
         rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-        return dense.top_k(rows.filter("id % 100 = 0"), rows, 30).withColumn("query_id", (F.col("query_id") / 100).cast("long"))
+        store = vectors.kept_store(spark, "embeddings", sources, rows)
+        return vectors.top_k(store, rows.filter("id % 100 = 0"), 30).withColumn("query_id", (F.col("query_id") / 100).cast("long"))
 
-    return kept(spark, "dense-run", [f"{sf}/embeddings.parquet"], [dense, 30, 100], made).filter(F.col("rank") <= k)
+    sources = [f"{sf}/embeddings.parquet"]
+    return kept(spark, "dense-run", sources, [dense, vectors, 30, 100], made).filter(F.col("rank") <= k)
 
 
 #: Into so many parts the judgments of a label are dealt: ten labels would be ten tasks.
