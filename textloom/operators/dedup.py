@@ -28,7 +28,7 @@ from textloom.operators.storage import give_back, matching, small_batches, writt
 #: Hashes that a task sums up at a time, sets from which a token counts as frequent, bits of the map of such tokens.
 SUMMED, OFTEN, BITS = 1 << 21, 8, 1 << 24
 #: Rounds of the greedy pass at most, and pairs a bucket's member, on average, up to which all pairs are compared.
-ROUNDS, PAIRS = 16, 12
+ROUNDS, PAIRS = 8, 12
 
 
 def exact(rows: DataFrame, scope: list[str], key: Column, order: str) -> DataFrame:
@@ -142,6 +142,13 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("id", _word_hashes(F.col("text")).alias("h")).mapInArrow(made, "id long, items array<long>")
 
 
+def _busy(tokens: DataFrame, scope: list[str]) -> DataFrame:
+    """The rows of tokens (scope, t and more) whose token another row of the scope has too, written. Most have none: a
+    bitmap of those that do keeps the others out of the shuffle."""
+    busy = written(tokens.groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c"), "busy")
+    return written(matching(tokens, "t", busy.select("t"), 1 << 26).join(busy, [*scope, "t"], "left_semi"), "prefixes")
+
+
 def _able(sizes: tuple[str, str], percent: int) -> Column:
     """Whether sets of these sizes can be as similar as that."""
     return F.least(*sizes) * 100 >= F.greatest(*sizes) * percent
@@ -160,8 +167,7 @@ def similar_pairs(sets: DataFrame, percent: int, scope: list[str] | None = None)
     hashed = nodes.filter(F.size("items") > 0).select(*scope, "node", F.array_sort(F.array_distinct(F.transform("items", lambda x: F.xxhash64(x)))).alias("h")).withColumn("n", F.size("h"))
     prefix = _prefix_of(sets.sparkSession, hashed.select("h"), percent)
     tokens = hashed.select(*scope, "node", "n", F.posexplode(prefix(F.col("h"), F.col("n"))).alias("pos", "t"))
-    busy = tokens.groupBy(*scope, "t").agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l != _h").drop("_l", "_h")
-    tokens = written(tokens.join(busy, [*scope, "t"]), "prefixes")
+    tokens = _busy(tokens, scope)
     a = tokens.select(*scope, "t", F.col("node").alias("a"), F.col("n").alias("size_a"), F.col("pos").alias("pa"))
     b = tokens.select(*scope, "t", F.col("node").alias("b"), F.col("n").alias("size_b"), F.col("pos").alias("pb"))
     need = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100.0 + percent) - 1e-9)
@@ -195,7 +201,7 @@ class _Speakers:
         close = F.least("chars_x", "chars_y") >= self.ratio * F.greatest("chars_x", "chars_y")
         may = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(close & ~clash & F.col("enough_y") & _able(("n_x", "n_y"), self.percent))
         may = written(may.select("a", "b"), "candidates")
-        asked = written(may.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+        asked = may.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = written(_sets(matching(self.texts, "id", asked)), "sets")
         both = may.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
         common = F.size(F.array_intersect("items_a", "items_b"))
@@ -211,27 +217,30 @@ def _dropped_near(speakers: _Speakers) -> DataFrame:
     components. Rounds only choose an order of work: the result is that of the pass over all.
     """
     scope = speakers.scope
-    live = speakers.table.select("first", *scope, "n", "prefix")
-    dropped: DataFrame | None = None
+    tokens = _busy(speakers.table.select("first", *scope, "n", F.posexplode("prefix").alias("pos", "t")), scope)
+    dropped: list[DataFrame] = []
+    before = float("inf")
     for turn in range(ROUNDS + 1):
-        tokens = live.select("first", *scope, "n", F.posexplode("prefix").alias("pos", "t"))
         buckets = written(tokens.groupBy(*scope, "t").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
-        sums = buckets.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
+        rows, squares = buckets.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
         met = written(tokens.join(buckets.select(*scope, "t", "lead"), [*scope, "t"]), "met")
-        if turn == ROUNDS or not sums[0] or sums[1] <= PAIRS * sums[0]:
+        # rounds go on as long as there are many pairs, and fewer than before
+        if turn == ROUNDS or not rows or squares <= PAIRS * rows or squares > 0.8 * before:
             break
+        before = squares
         behind = written(met.filter("lead < first").select(F.col("lead").alias("a"), F.col("first").alias("b")).distinct(), "behind")
         leaders = written(behind.select(F.col("a")).distinct().join(behind.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "leaders")
         gone = written(speakers.near(behind.join(leaders, "a")).select(F.col("b").alias("first")).distinct(), "gone")
-        dropped = gone if dropped is None else written(dropped.unionAll(gone), "dropped")
-        open_ = met.select("first").distinct().join(gone, "first", "left_anti").join(leaders.withColumnRenamed("a", "first"), "first", "left_anti")
-        live = written(live.join(open_, "first", "left_semi"), "live")
+        dropped.append(gone)
+        tokens = met.drop("lead").join(gone.unionAll(leaders), "first", "left_anti")
     a, b = (met.select(*scope, "t", F.col("first").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"p_{c}")) for c in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * speakers.percent / (100.0 + speakers.percent) - 1e-9)
     left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     pairs = a.join(b, [*scope, "t"]).filter((F.col("a") < F.col("b")) & _able(("n_a", "n_b"), speakers.percent) & (left >= need)).select("a", "b").distinct()
     rest = dropped_in_order(speakers.near(pairs)).withColumnRenamed("node", "first")
-    return rest if dropped is None else rest.unionAll(dropped)
+    for gone in dropped:
+        rest = rest.unionAll(gone)
+    return rest
 
 
 def _facts(texts: DataFrame, scope: list[str], percent: int, least_words: int) -> DataFrame:
