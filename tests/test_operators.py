@@ -236,6 +236,35 @@ def test_chunks():
     assert chunking.units([("table", "Table:\n" + "\n".join("- a: " + "x " * 50 for _ in range(20)))], 260)[1].startswith("Table:")
 
 
+def test_units_bind_code_and_tables_to_what_precedes():
+    code, table, prose = ("code", "```sql\nSELECT 1\n```"), ("table", "Table:\n- a: 1"), ("prose", "Use this.")
+    join = "\n\n".join
+    assert chunking.units([prose, code, table, prose, table], 50) == [join([prose[1], code[1], table[1]]), join([prose[1], table[1]])]
+    assert chunking.units([code, code, ("prose", " "), table], 50) == [join([code[1], code[1], table[1]])]
+    long = ("code", "```\n" + "word " * 90 + "\n```")  # twice the most words, with what precedes, and no further
+    assert chunking.units([("prose", "word " * 10), long, code], 50) == [join([("word " * 10).strip(), long[1]]), code[1]]
+    rows = [f"- a: {'x ' * 30}{i}" for i in range(200)]
+    pieces = chunking.units([("prose", "Before."), ("table", "\n".join(["Table:", *rows])), code], 100)
+    assert pieces[0] == "Before." and all(p.startswith("Table:\n- a") for p in pieces[1:]) and pieces[-1].endswith(code[1])
+    assert [line for p in pieces[1:] for line in p.split("\n") if line.startswith("- a")] == [r.rstrip() for r in rows]
+    assert all(chunking.count(p) <= 100 for p in pieces[1:-1])
+    assert chunking.table_pieces("- a: 1\n\n- b: 2", 2) == ["Table:\n- a: 1", "Table:\n- b: 2"]
+
+
+def test_chunks_carry_whole_sentences():
+    shape = chunking.Shape(target=20, least=5, most=30, overlap=8)
+    first, second = "One two three four. Five six seven eight nine. Ten eleven twelve.", "A b c d e f g h i j k l m n."
+    got = chunking.section_chunks([("prose", first), ("prose", second)], shape)
+    assert got == [first, f"{chunking.CARRIED}Five six seven eight nine. Ten eleven twelve.\n\n{second}"]
+    assert chunking.carried("word " * 40 + "end.", 8) == chunking.CARRIED + "word " * 7 + "end."
+    assert chunking.carried("", 8) == "" and chunking.carried("A b. " + "C " * 11 + "d.", 8).endswith("C " * 11 + "d.")
+    # nothing is carried over from code, nor where it does not fit
+    assert len(chunking.section_chunks([("code", "```\n" + "x " * 18 + "\n```"), ("prose", second)], shape)) == 2
+    assert chunking.CARRIED not in "".join(chunking.section_chunks([("code", "```\n" + "x " * 18 + "\n```"), ("prose", second)], shape))
+    bare = chunking.Shape(target=20, least=5, most=30, overlap=0)
+    assert chunking.section_chunks([("prose", "x " * 28 + "."), ("prose", "tail.")], bare) == ["x " * 28 + ".\n\ntail."]
+
+
 def test_leakage(spark):
     q = spark.createDataFrame([(1, list("abcdef"))], "id long, tokens array<string>")
     t = spark.createDataFrame([(5, list("xabcdex")), (6, list("zzz"))], "id long, tokens array<string>")

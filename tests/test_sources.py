@@ -1,4 +1,5 @@
 import io
+import tarfile
 import zipfile
 
 import pytest
@@ -25,8 +26,17 @@ def test_markdown_and_plain():
     got = list(parsers.markdown("---\nx: y\n---\n# A\ntext\nmore\n\n## B\n```sql\nSELECT 1\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n- item\n", "T"))
     assert [(s, k) for s, k, _ in got] == [("T > A", "prose"), ("T > B", "code"), ("T > B", "table"), ("T > B", "prose")]
     assert "Table:\n- a: 1 | b: 2" in [t for _, _, t in got]
-    got = list(parsers.plain("Head\n====\nSome text\n\nSELECT 1;", "T"))
-    assert got == [("T > Head", "prose", "Some text"), ("T > Head", "code", "```sql\nSELECT 1;\n```")]
+    got = list(parsers.plain("Head\n====\nSome text\n\nSELECT 1;\n\nSELECT 1\n  FROM t;", "T"))
+    assert got == [("T > Head", "prose", "Some text"), ("T > Head", "prose", "SELECT 1;"), ("T > Head", "code", "```text\nSELECT 1\n  FROM t;\n```")]
+
+
+def test_plain_headings_stand_anywhere():
+    """A rule makes a heading of the line above it inside of a paragraph too; only = and - rule, three of them at least."""
+    got = list(parsers.plain("intro\nHeading\n===\nbody\r\nmore\nLast\n -=-=\n\nno\n~~~~\nno\n--\n---\n===\nx", "T"))
+    assert got == [("T", "prose", "intro"), ("T > Heading", "prose", "body more"), ("T > Last", "prose", "no ~~~~ no"), ("T > --", "prose", "=== x")]
+    assert list(parsers.plain("", "T")) == list(parsers.plain("\n \n", "T")) == list(parsers.plain("A\n----", "T")) == []
+    # several lines that name a statement or an error anywhere
+    assert [k for _, k, _ in parsers.plain("an ERROR came\nof it\n\na selection\nof rows\n\none ERROR line", "T")] == ["code", "prose", "prose"]
 
 
 def test_error_catalogue():
@@ -76,6 +86,25 @@ def test_archives(spark, tmp_path):
     assert [(r["member"], bytes(r["content"])) for r in got] == [("a.html", b"<p>x</p>")]
 
 
+def test_no_member_is_lost(spark, tmp_path):
+    """Large members come out whole; one over a limit, and an archive that can't be read, are rows with an error."""
+    large = bytes(range(256)) * 36_000  # over 8 MB
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("large.bin", large)
+        z.writestr("small.txt", "y")
+    with tarfile.open(tmp_path / "y.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("a/b.txt")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"tar"))
+    (tmp_path / "z.zip").write_bytes(b"no archive")
+    rows = lambda **more: {(r["archive"].rsplit("/", 1)[1], r["member"]): r for r in archives.read_archives(spark, str(tmp_path), **more).collect()}
+    got = rows()
+    assert bytes(got["x.zip", "large.bin"]["content"]) == large and bytes(got["y.tar.gz", "a/b.txt"]["content"]) == b"tar"
+    assert got["z.zip", None]["error"].startswith("BadZipFile") and len(got) == 4
+    got = rows(most_bytes=1000)
+    assert got["x.zip", "large.bin"]["content"] is None and "over 1000" in got["x.zip", "large.bin"]["error"] and got["x.zip", "small.txt"]["error"] is None
+
+
 def test_strict_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     schema = StructType.fromDDL("a int")

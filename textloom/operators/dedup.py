@@ -146,7 +146,7 @@ def _busy(tokens: DataFrame, scope: list[str]) -> DataFrame:
     """The rows of tokens (scope, t and more) whose token another row of the scope has too, written. Most have none: a
     bitmap of those that do keeps the others out of the shuffle."""
     busy = written(tokens.groupBy(*scope, "t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c"), "busy")
-    return written(matching(tokens, "t", busy.select("t"), 1 << 26).join(busy, [*scope, "t"], "left_semi"), "prefixes")
+    return written(matching(tokens, [*scope, "t"], busy, 1 << 25), "prefixes")
 
 
 def _able(sizes: tuple[str, str], percent: int) -> Column:
@@ -202,7 +202,7 @@ class _Speakers:
         may = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(close & ~clash & F.col("enough_y") & _able(("n_x", "n_y"), self.percent))
         may = written(may.select("a", "b"), "candidates")
         asked = may.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = written(_sets(matching(self.texts, "id", asked)), "sets")
+        sets = written(_sets(matching(self.texts, ["id"], asked)), "sets")
         both = may.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
         common = F.size(F.array_intersect("items_a", "items_b"))
         return both.filter(common * 100 >= (F.size("items_a") + F.size("items_b") - common) * self.percent).select("a", "b")
@@ -285,7 +285,7 @@ def near_keep_first(rows: DataFrame, scope: list[str], percent: int = 85, least_
     table = written(table.withColumn("prefix", prefix(F.col("low"), F.col("n"))).drop("low"), "speakers")
     short = table.filter("prefix is null")
     if not short.isEmpty():  # of these sets more has to be seen
-        whole = _sets(matching(texts.select("id", "text"), "id", short.select("first")))
+        whole = _sets(matching(texts.select("id", "text"), ["id"], short.select(F.col("first").alias("id"))))
         more = whole.select(F.col("id").alias("first"), prefix(F.col("items"), F.size("items")).alias("prefix"))
         table = written(table.filter("prefix is not null").unionByName(short.drop("prefix").join(more, "first").select(*table.columns)), "speakers")
     gone = _dropped_near(_Speakers(table, texts.select("id", "text"), scope, percent, length_ratio)).select("first").withColumn("_gone", F.lit(True))

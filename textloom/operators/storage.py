@@ -59,15 +59,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def matching(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """The rows whose key is in ids (one column, under any name). A bitmap of the ids' hashes, of so many bits however many
-    ids there are, spares most other rows the shuffle; the join decides."""
-    ids = ids.toDF("_id")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    bitmap = ids.select(slot("_id").alias("_s")).groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits"))
-    told = rows.withColumn("_s", slot(key)).withColumn("_w", F.shiftright("_s", 6)).join(F.broadcast(bitmap), "_w")
-    likely = told.filter("shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1 = 1").drop("_s", "_w", "_bits")
-    return likely.join(ids, F.col(key) == F.col("_id"), "left_semi")
+def matching(rows: DataFrame, keys: list[str], ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose keys are in ids (those columns, distinct). A bitmap of the ids' hashes, of so many bits however many
+    ids there are, spares most other rows the shuffle; the join decides. It is an inner one, as a semi-join would be moved
+    below the bitmap's."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    bitmap = ids.select(slot.alias("_s")).groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits"))
+    told = rows.withColumn("_s", slot).withColumn("_w", F.shiftright("_s", 6)).join(F.broadcast(bitmap), "_w")
+    likely = told.filter("shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1 = 1").select(*rows.columns)
+    return likely.join(ids.select(*keys), keys).select(*rows.columns)
 
 
 def state(spark: SparkSession, paths: list[str]) -> str:

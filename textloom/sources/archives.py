@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from fnmatch import fnmatch
 
@@ -21,27 +22,41 @@ def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 if not info.is_dir():
-                    yield info.filename, z.read(info)
+                    yield info.filename, info.file_size, lambda info=info: z.read(info)
     else:
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
             for info in t:
                 if info.isfile():
-                    yield info.name, t.extractfile(info).read()
+                    yield info.name, info.size, lambda info=info: t.extractfile(info).read()
 
 
-def read_archives(spark: SparkSession, path: str, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = (), strip: int = 0, most_bytes: int = 8 << 20) -> DataFrame:
-    """(archive, member, content) of every archive below path; member paths lose strip leading parts; larger members are
-    left out. One archive is one task's work."""
+def read_archives(spark: SparkSession, path: str, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = (), strip: int = 0, most_bytes: int = 1 << 30) -> DataFrame:
+    """(archive, member, content, error) of every archive below path; member paths lose strip leading parts. A member of
+    over most_bytes, an unreadable one or a broken archive is a row with an error and no content (nor member, if it is the
+    archive). One archive is one task's work."""
+
+    def row(archive: str, member: str | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([member], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["archive", "member", "content", "error"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                for member, data in _members(name, content.as_py()):
-                    inner = "/".join(member.split("/")[strip:])
-                    if inner and len(data) <= most_bytes and any(fnmatch(inner, g) for g in include) and not any(fnmatch(inner, g) for g in exclude):
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([inner]), pa.array([data], pa.binary())], names=["archive", "member", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "archive string, member string, content binary")
+                try:
+                    for member, size, take in _members(name, content.as_py()):
+                        inner = "/".join(member.split("/")[strip:])
+                        if not inner or not any(fnmatch(inner, g) for g in include) or any(fnmatch(inner, g) for g in exclude):
+                            continue
+                        if size > most_bytes:
+                            yield row(name, inner, None, f"{size} bytes, over {most_bytes}")
+                            continue
+                        try:
+                            yield row(name, inner, take(), None)
+                        except (OSError, EOFError, RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error) as e:
+                            yield row(name, inner, None, f"{type(e).__name__}: {e}")
+                except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, zlib.error) as e:
+                    yield row(name, None, None, f"{type(e).__name__}: {e}")
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "archive string, member string, content binary, error string")
 
 
 def decoded(content: Column) -> Column:
