@@ -149,10 +149,12 @@ def _add_gradient(m: Model, rows: np.ndarray, label: int, grads: dict) -> None:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on a bounded sample of labels (already without held-out rows): the per_label ids of either label that hash
-    lowest. Of a text over max_bytes a window is taken, at a place that its id's hash decides. Rows with a null id or a
+    lowest. An id counts once: of its labels the lower one is taken, of its rows one, so that 2 * per_label rows are
+    collected at most. Of a text over max_bytes a window is taken, at a place that its id's hash decides. Rows with a null id or a
     label other than 0 or 1 take no part; the prior follows the labels whose documents exist, as the sample shows them."""
     spark = docs.sparkSession
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    usable = usable.groupBy("id").agg(F.min("label").alias("label"))  # an id has one label, however often it is there
     found = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     # 2 * per_label ids at most: broadcast, so that no text is shuffled
     picked = [r for k in (0, 1) for r in usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample.per_label).collect()]
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), id_col: s
     width = sample.max_bytes // 4  # characters, of four bytes at most
     start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - width + 1)).cast("int") + 1
     window = F.when(F.octet_length("text") <= sample.max_bytes, F.col("text")).otherwise(F.col("text").substr(start, F.lit(width)))
-    rows = texts.join(F.broadcast(ids), "id").select("id", window.cast("binary").alias("text"), "label").collect()
+    rows = texts.join(F.broadcast(ids), "id").select("id", window.cast("binary").alias("text"), "label").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (str(r["id"]), bytes(r["text"]), r["label"]))
     there = {r["id"] for r in rows}
     share = {k: sum(r["id"] in there for r in picked if r["label"] == k) / max(1, sum(r["label"] == k for r in picked)) for k in (0, 1)}

@@ -12,7 +12,7 @@ from textloom.llm.common import scratch, table
 from textloom.llm.decontamination import contaminated
 from textloom.llm.html_text import extract
 from textloom.llm.near_duplicates import link
-from textloom.llm.packing import pack_texts
+from textloom.llm.packing import Limits, pack_texts
 from textloom.llm.phrases import collocations
 from textloom.llm.prefix_trie import trie
 from textloom.llm.quality import fit, score
@@ -81,7 +81,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_texts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
+    return pack_texts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0, limits=Limits(segments=1024))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
