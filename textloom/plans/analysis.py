@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import cases, version
 from textloom.functions import text as T
-from textloom.operators import analysis, closeness, evaluation, leakage, percentiles
+from textloom.operators import analysis, closeness, evaluation, leakage, percentiles, rules
 from textloom.plans.retrieval import _ALL, _H, _M, METRICS, _dialect, _metrics, _quoted, dense_run, fused, lexical_run, qrels, table, universe
 
 FLAGS, SCORES = ["task_success", "root_cause", "repair"], ["relevance", "faithfulness"]
@@ -115,7 +115,8 @@ def leakage_status(spark, sf):
     copied sentence, and what that makes of the pair."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("qtext"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("dtext"))
-    rows = _close(spark, sf, 10).join(items, "query_id").join(docs, "chunk_id").withColumns({"q5": T.ngrams(T.pool_tokens(F.col("qtext")), 5), "d5": T.ngrams(T.pool_tokens(F.col("dtext")), 5)})
+    rows = _close(spark, sf, 10).join(items, "query_id").join(docs, "chunk_id").withColumns({"qw": T.pool_tokens(F.col("qtext")), "dw": T.pool_tokens(F.col("dtext"))})
+    rows = rows.withColumns({"q5": T.ngrams(F.col("qw"), 5), "d5": T.ngrams(F.col("dw"), 5)})  # of columns: else a text is cut again for every run
     marked = rows.select("query_id", "chunk_id", F.round(analysis.containment(F.col("q5"), F.col("d5")), 6).alias("containment"), "run", F.round("ratio", 6).alias("ratio"), analysis.sentence_copied(F.col("qtext"), F.col("dtext")).alias("copied"))
     return marked.select("query_id", "chunk_id", "containment", "run", "ratio", leakage.status(F.col("run"), F.col("copied"), F.col("containment"), F.col("ratio")).alias("status"))
 
@@ -151,8 +152,24 @@ def version_compat(spark, sf):
     return table(spark, sf, "documents").select("doc_id", version.version_compatibility(q, p).alias("category"))
 
 
+def claim_support(spark, sf):
+    """Claims of items against their first five documents of BM25, as evidence. An item has the dialect of the document with
+    its id; it claims version knowledge if it has a figure, dialect knowledge if it has over twenty words, a comparison if it is
+    of either compared system, and to be of one system only if it is of that."""
+    lang = table(spark, sf, "documents").select("doc_id", _dialect(F.col("lang")).alias("dialect"), "text")
+    found = lexical_run(spark, sf, 5).join(lang.select(F.col("doc_id").alias("chunk_id"), F.col("dialect").alias("of")), "chunk_id")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("said")).join(lang.select(F.col("doc_id").alias("query_id"), "dialect"), "query_id")
+    same = F.col("of") == F.col("dialect")
+    one = F.struct("chunk_id", F.when(F.col("rank") <= 2, 2).otherwise(1).alias("relevance"), F.when(F.col("rank") == 1, "primary").when(~same, "comparison").otherwise("supporting").alias("role"), F.when(same, "compatible").otherwise("incompatible").alias("dialect_compatibility"), F.when(F.col("rank") % 2 == 1, "compatible").otherwise("unknown").alias("version_compatibility"))
+    flags = F.struct((T.word_count(F.col("said")) > 20).alias("requires_dialect_reasoning"), F.col("said").rlike("[0-9]").alias("requires_version_reasoning"), F.lit(False).alias("has_documented_error"), F.col("dialect").isin("mysql", "mariadb").alias("compares_mysql_mariadb"), (F.col("dialect") == "duckdb").alias("is_duckdb_specific"))
+    cases = found.join(items, "query_id").groupBy("query_id", "dialect", "said").agg(F.collect_list(one).alias("evidence"))
+    cases = cases.select("query_id", "dialect", F.lit("exact").alias("version_status"), flags.alias("case_flags"), F.lit(False).alias("states_error"), "evidence")
+    held = rules.supported(cases, lang.withColumnRenamed("doc_id", "chunk_id"), F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)))
+    return rules.failures(held, "query_id", rules.CLAIM_RULES)
+
+
 QUERIES = {f.__name__: f for f in (
-    judge_aggregate, score_differences, ranking_comparison, case_selection, failure_categories, relative_gates, label_sensitivity, graded_metrics, latency_totals, evidence_resolution, case_rules, leakage_status, token_closeness, version_parse, version_compat,
+    claim_support, judge_aggregate, score_differences, ranking_comparison, case_selection, failure_categories, relative_gates, label_sensitivity, graded_metrics, latency_totals, evidence_resolution, case_rules, leakage_status, token_closeness, version_parse, version_compat,
 )}
 
 
@@ -176,6 +193,12 @@ _CLOSE = lambda k: rf"""tk AS (SELECT query_id, chunk_id, list_transform({_TOKEN
       measured AS (SELECT tk.query_id, tk.chunk_id, q, w, CAST(run AS BIGINT) AS run, round(CASE WHEN len(q) + len(w) = 0 THEN 1.0 ELSE 2 * total / (len(q) + len(w)) END, 6) AS ratio FROM tk JOIN (SELECT query_id, chunk_id, max(size) AS run, sum(size) AS total FROM box GROUP BY 1, 2) t ON t.query_id = tk.query_id AND t.chunk_id = tk.chunk_id)"""
 
 ORACLE = {
+    "claim_support": f"""WITH {_ALL}, l AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'mysql' WHEN 'fr' THEN 'mariadb' WHEN 'de' THEN 'sqlite' ELSE 'duckdb' END AS dialect FROM documents),
+      c AS (SELECT item_id AS query_id, b.text AS said, l.dialect FROM benchmark b JOIN l ON doc_id = item_id),
+      e AS (SELECT query_id, c.dialect, said, rank, l.dialect AS d, lower(l.text) AS t, rank <= 2 AND l.dialect = c.dialect AS direct, rank <= 2 AND l.dialect = c.dialect AND rank % 2 = 1 AND regexp_matches(l.text, '[0-9]') AS change FROM lexical JOIN c USING (query_id) JOIN l ON l.doc_id = chunk_id WHERE rank <= 5),
+      g AS (SELECT query_id, dialect, bool_or(direct) AS direct, bool_or(coalesce(change, false)) AS change, bool_or(d = 'mysql') AND bool_or(d = 'mariadb') OR bool_or(coalesce(rank > 1 AND d <> dialect AND contains(t, 'mysql') AND contains(t, 'mariadb'), false)) AS two, bool_or(direct AND d = 'duckdb') AS duck,
+        len(regexp_extract_all(any_value(said), {_quoted(T.WORD)})) > 20 AS fd, regexp_matches(any_value(said), '[0-9]') AS fv FROM e GROUP BY query_id, dialect)
+      SELECT query_id, unnest(list_filter([CASE WHEN NOT direct THEN 'direct_evidence' END, CASE WHEN fd AND NOT direct THEN 'dialect_claim' END, CASE WHEN fv AND NOT change THEN 'version_claim' END, CASE WHEN dialect IN ('mysql', 'mariadb') AND NOT two THEN 'comparison_claim' END, CASE WHEN dialect = 'duckdb' AND NOT duck THEN 'duckdb_claim' END], lambda x: x IS NOT NULL)) AS rule FROM g""",
     "judge_aggregate": f"""WITH r AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN 'grounded' ELSE 'closed' END AS system, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 3 - 1 ELSE 0 END AS retry FROM labels)
       SELECT system, count(*) AS results, count(CASE WHEN quality = 1 THEN 1 END) AS successes, count(CASE WHEN quality <> 1 THEN 1 END) AS failures, CAST(sum(retry) AS BIGINT) AS retries, count(CASE WHEN quality = 1 AND retry > 0 THEN 1 END) AS recovered,
       {_RATE('quality = 1 AND toxic = 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0')} AS task_success, {_RATE('doc_id % 4 <> 0 AND quality = 1')} AS root_cause, {_RATE('toxic = 0')} AS repair,
