@@ -28,7 +28,7 @@ from textloom.operators.storage import give_back, matching, small_batches, writt
 #: Hashes that a task sums up at a time, sets from which a token counts as frequent, bits of the map of such tokens.
 SUMMED, OFTEN, BITS = 1 << 21, 8, 1 << 24
 #: Rounds of the greedy pass at most, and pairs a bucket's member, on average, up to which all pairs are compared.
-ROUNDS, PAIRS = 8, 12
+ROUNDS, PAIRS = 12, 4
 
 
 def exact(rows: DataFrame, scope: list[str], key: Column, order: str) -> DataFrame:
@@ -225,7 +225,7 @@ def _dropped_near(speakers: _Speakers) -> DataFrame:
         rows, squares = buckets.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
         met = written(tokens.join(buckets.select(*scope, "t", "lead"), [*scope, "t"]), "met")
         # rounds go on as long as there are many pairs, and fewer than before
-        if turn == ROUNDS or not rows or squares <= PAIRS * rows or squares > 0.8 * before:
+        if turn == ROUNDS or not rows or squares <= PAIRS * rows or squares > 0.9 * before:
             break
         before = squares
         behind = written(met.filter("lead < first").select(F.col("lead").alias("a"), F.col("first").alias("b")).distinct(), "behind")

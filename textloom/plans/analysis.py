@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import cases, version
 from textloom.functions import text as T
-from textloom.operators import analysis, closeness, evaluation, leakage, percentiles, rules
+from textloom.operators import analysis, closeness, evaluation, judgments, leakage, percentiles, rules
 from textloom.plans.retrieval import _ALL, _H, _M, METRICS, _dialect, _metrics, _quoted, dense_run, fused, lexical_run, qrels, table, universe
 
 FLAGS, SCORES = ["task_success", "root_cause", "repair"], ["relevance", "faithfulness"]
@@ -168,8 +168,20 @@ def claim_support(spark, sf):
     return rules.failures(held, "query_id", rules.CLAIM_RULES)
 
 
+def judgment_staleness(spark, sf):
+    """Judgments of conversations, saved at an earlier state of them: then every 11th had another first turn, every 13th was
+    not there, and for every 17th there was one more, under a number of its own. Every fifth was judged at the third attempt."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.count(F.lit(1)).alias("turns"))
+    n, at = F.col("conv_id"), lambda i, s: F.struct(F.lit(i).alias("attempt"), F.lit(s).alias("status"))
+    then = turns.filter(n % 13 != 0).withColumn("first", F.when(n % 11 == 0, F.concat(F.lit("~"), "first")).otherwise(F.col("first")))
+    then = then.unionByName(turns.filter(n % 17 == 0).withColumn("conv_id", n + 10**9))
+    attempts = F.when(n % 5 == 0, F.array(at(1, "failed"), at(2, "failed"), at(3, "success"))).otherwise(F.array(at(1, "success")))
+    saved = judgments.contexts(then, "conv_id", ["first", "turns"]).withColumnRenamed("query_id", "conv_id").select(n.alias("query_id"), "context", F.lit("success").alias("status"), attempts.alias("attempts"))
+    return judgments.compared(saved, judgments.contexts(turns, "conv_id", ["first", "turns"])).select("query_id", "state", F.size("faults").cast("long").alias("faults"))
+
+
 QUERIES = {f.__name__: f for f in (
-    claim_support, judge_aggregate, score_differences, ranking_comparison, case_selection, failure_categories, relative_gates, label_sensitivity, graded_metrics, latency_totals, evidence_resolution, case_rules, leakage_status, token_closeness, version_parse, version_compat,
+    claim_support, judgment_staleness, judge_aggregate, score_differences, ranking_comparison, case_selection, failure_categories, relative_gates, label_sensitivity, graded_metrics, latency_totals, evidence_resolution, case_rules, leakage_status, token_closeness, version_parse, version_compat,
 )}
 
 
@@ -193,6 +205,9 @@ _CLOSE = lambda k: rf"""tk AS (SELECT query_id, chunk_id, list_transform({_TOKEN
       measured AS (SELECT tk.query_id, tk.chunk_id, q, w, CAST(run AS BIGINT) AS run, round(CASE WHEN len(q) + len(w) = 0 THEN 1.0 ELSE 2 * total / (len(q) + len(w)) END, 6) AS ratio FROM tk JOIN (SELECT query_id, chunk_id, max(size) AS run, sum(size) AS total FROM box GROUP BY 1, 2) t ON t.query_id = tk.query_id AND t.chunk_id = tk.chunk_id)"""
 
 ORACLE = {
+    "judgment_staleness": """WITH c AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id)
+      SELECT conv_id AS query_id, CASE WHEN conv_id % 13 = 0 THEN 'new' WHEN conv_id % 11 = 0 AND t IS NOT NULL THEN 'changed' ELSE 'holds' END AS state, CAST(0 AS BIGINT) AS faults FROM c
+      UNION ALL SELECT conv_id + 1000000000, 'gone', 0 FROM c WHERE conv_id % 17 = 0""",
     "claim_support": f"""WITH {_ALL}, l AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'mysql' WHEN 'fr' THEN 'mariadb' WHEN 'de' THEN 'sqlite' ELSE 'duckdb' END AS dialect FROM documents),
       c AS (SELECT item_id AS query_id, b.text AS said, l.dialect FROM benchmark b JOIN l ON doc_id = item_id),
       e AS (SELECT query_id, c.dialect, said, rank, l.dialect AS d, lower(l.text) AS t, rank <= 2 AND l.dialect = c.dialect AS direct, rank <= 2 AND l.dialect = c.dialect AND rank % 2 = 1 AND regexp_matches(l.text, '[0-9]') AS change FROM lexical JOIN c USING (query_id) JOIN l ON l.doc_id = chunk_id WHERE rank <= 5),
