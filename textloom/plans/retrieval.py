@@ -200,10 +200,11 @@ FIELDS = {"problem": lambda t: t, "sql": lambda t: F.left(t, F.lit(60)), "error"
 
 def field_minmax_rerank(spark, sf):
     """The first word plays the error code and, in every second item, the SQLSTATE too; the last word plays the symbol."""
-    rows, held = _reranked(spark, sf, True, ranking.COMBINED_VERSION_BONUS), index(spark, sf, "field")
+    rows, held = written(_reranked(spark, sf, True, ranking.COMBINED_VERSION_BONUS), "reranked"), index(spark, sf, "field")
+    among = rows.select("query_id", "chunk_id").distinct()
     drop = {"problem": T.FIELD_STOPWORDS, "sql": T.FIELD_STOPWORDS + T.FIELD_SQL_KEYWORDS, "error": T.FIELD_STOPWORDS}
     for name, part in FIELDS.items():
-        scored = lexical.scores(held, items(spark, sf, lambda t, n=name, f=part: T.without(T.field_tokens(f(t)), drop[n])), lexical.Bm25())
+        scored = lexical.scores(held, items(spark, sf, lambda t, n=name, f=part: T.without(T.field_tokens(f(t)), drop[n])), lexical.Bm25(), among)
         rows = rows.join(scored.select("query_id", "chunk_id", F.col("score").alias(name)), ["query_id", "chunk_id"], "left").na.fill(0.0, [name])
     word = lambda pattern: F.regexp_extract("text", pattern, 1)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), word("([A-Za-z]+)").alias("code"), word("([A-Za-z]+)[^A-Za-z]*$").alias("symbol"))
