@@ -28,7 +28,7 @@ from textloom.operators.storage import give_back, matching, small_batches, writt
 #: Hashes that a task sums up at a time, sets from which a token counts as frequent, bits of the map of such tokens.
 SUMMED, OFTEN, BITS = 1 << 21, 8, 1 << 24
 #: Rounds of the greedy pass at most, and pairs a bucket's member, on average, up to which all pairs are compared.
-ROUNDS, PAIRS = 12, 4
+ROUNDS, PAIRS = 8, 12
 
 
 def exact(rows: DataFrame, scope: list[str], key: Column, order: str) -> DataFrame:
@@ -225,14 +225,20 @@ def _dropped_near(speakers: _Speakers) -> DataFrame:
         rows, squares = buckets.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
         met = written(tokens.join(buckets.select(*scope, "t", "lead"), [*scope, "t"]), "met")
         # rounds go on as long as there are many pairs, and fewer than before
-        if turn == ROUNDS or not rows or squares <= PAIRS * rows or squares > 0.9 * before:
+        if turn == ROUNDS or not rows or squares <= PAIRS * rows or squares > 0.8 * before:
             break
         before = squares
-        behind = written(met.filter("lead < first").select(F.col("lead").alias("a"), F.col("first").alias("b")).distinct(), "behind")
-        leaders = written(behind.select(F.col("a")).distinct().join(behind.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "leaders")
-        gone = written(speakers.near(behind.join(leaders, "a")).select(F.col("b").alias("first")).distinct(), "gone")
+        behind = written(met.filter("lead < first").groupBy(F.col("lead").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("c")), "behind")
+        leaders = written(behind.select("a").distinct().join(behind.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "leaders")
+        led = written(behind.join(leaders, "a"), "led")
+        # each is compared with the leader that it shares most with; who is left, with the others that it met
+        best = written(led.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")), "best")
+        first = written(speakers.near(best).select("b").distinct(), "gone")
+        rest = led.join(first, "b", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
+        gone = written(first.unionAll(speakers.near(rest).select("b")).distinct().withColumnRenamed("b", "first"), "gone")
         dropped.append(gone)
-        tokens = met.drop("lead").join(gone.unionAll(leaders), "first", "left_anti")
+        done = gone.unionAll(leaders.withColumnRenamed("a", "first"))
+        tokens = met.drop("lead").join(done, "first", "left_anti")
     a, b = (met.select(*scope, "t", F.col("first").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"p_{c}")) for c in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * speakers.percent / (100.0 + speakers.percent) - 1e-9)
     left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))

@@ -114,11 +114,18 @@ def wins(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 
 def kappa(pairs: DataFrame, a: str, b: str, quadratic: bool = False) -> DataFrame:
-    """One row: n, agreement and Cohen's kappa of two columns of grades; quadratic weighs by squared distance."""
+    """One row: n, agreement and Cohen's kappa of two columns of grades; quadratic weighs by squared distance. What chance
+    would give follows from sums over the grades, so no pair of grades is made that does not occur."""
     cells = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    total = cells.agg(F.sum("n").alias("t"))
-    # a row per pair of grades: as many as the scale has values, squared
-    grid = rows.crossJoin(F.broadcast(cols)).join(cells, ["a", "b"], "left").na.fill(0, ["n"]).crossJoin(F.broadcast(total))
-    w = (F.col("a") - F.col("b")) * (F.col("a") - F.col("b")) if quadratic else F.when(F.col("a") == F.col("b"), 0).otherwise(1)
-    return grid.agg(F.max("t").alias("n"), F.round(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.max("t"), 6).alias("agreement"), F.round(1 - F.sum(w * F.col("n") / F.col("t")) / F.sum(w * F.col("ra") * F.col("cb") / (F.col("t") * F.col("t"))), 6).alias("kappa"))
+    n, apart = F.col("n"), F.col("a") - F.col("b")
+    w = apart * apart if quadratic else F.when(F.col("a") == F.col("b"), 0).otherwise(1)
+    one = cells.agg(F.sum(n).alias("t"), F.sum(F.when(F.col("a") == F.col("b"), n).otherwise(0)).alias("same"), F.sum(w * n).alias("seen"), *[F.sum(x * n).cast("double").alias(name) for name, x in (("sa", F.col("a")), ("sb", F.col("b")), ("qa", F.col("a") * F.col("a")), ("qb", F.col("b") * F.col("b")))])
+    t = F.col("t")
+    if quadratic:
+        expected = ((F.col("qa") + F.col("qb")) * t - 2 * F.col("sa") * F.col("sb")) / (t * t)
+    else:
+        rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
+        met = rows.join(cols, rows["a"] == cols["b"]).agg(F.sum(F.col("ra") * F.col("cb")).alias("met"))
+        one = one.crossJoin(met)  # one row each
+        expected = 1 - F.coalesce("met", F.lit(0)) / (t * t)
+    return one.select(t.alias("n"), F.round(F.col("same") / t, 6).alias("agreement"), F.round(1 - F.col("seen") / t / expected, 6).alias("kappa"))
