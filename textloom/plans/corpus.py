@@ -54,7 +54,8 @@ def token_set_members(spark, sf):
 def residual_dup_rate(spark, sf):
     pairs, members = dedup.similar_pairs(_sets(spark, sf), 94)
     touched = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return members.join(touched.withColumn("t", F.lit(1)), "node", "left").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node"))).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.when(F.col("t").isNotNull() | (F.col("n") > 1), 1).otherwise(0)).alias("touched"))
+    groups = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(touched.withColumn("t", F.lit(1)), "node", "left")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.sum(F.when(F.col("t").isNotNull() | (F.col("n") > 1), F.col("n")).otherwise(0)).alias("touched"))
 
 
 def simhash_bands(spark, sf):
