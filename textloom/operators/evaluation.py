@@ -16,14 +16,24 @@ def _dcg(grade: Column, rank: Column, k: int) -> Column:
     return F.sum(F.when(rank <= k, (F.pow(F.lit(2.0), F.coalesce(grade, F.lit(0))) - 1) / F.log2(rank + 1.0)).otherwise(0.0))
 
 
+def grades(qrels: DataFrame) -> DataFrame:
+    """(query_id, relevance, n): how often a query has each grade."""
+    return qrels.groupBy("query_id", "relevance").agg(F.count(F.lit(1)).alias("n"))
+
+
 def per_query(run: DataFrame, qrels: DataFrame, universe: DataFrame) -> DataFrame:
     """One row per query of universe, zeros where the run has none of it: ndcg_10, mrr_10, recall_5/10/20, p_5,
     hit_5/10 (relevance 2), recall_any_10 (1 or 2), judged_5/10/20/30."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "chunk_id")
-    ideal = qrels.withColumn("i", F.row_number().over(w)).groupBy("query_id").agg(
-        _dcg(F.col("relevance"), F.col("i"), 10).alias("ideal"), F.count(F.when(F.col("relevance") == 2, 1)).alias("n2"), F.count(F.when(F.col("relevance") >= 1, 1)).alias("n1"),
-    )
-    joined = run.select(*KEYS, "rank").join(qrels, KEYS, "left")
+    return per_query_of(run.select(*KEYS, "rank").join(qrels, KEYS, "left"), grades(qrels), universe)
+
+
+def per_query_of(joined: DataFrame, grades: DataFrame, universe: DataFrame) -> DataFrame:
+    """per_query of a run whose rows have their relevance (null: not judged) and of what grades() gives: the judgments of
+    other pairs only count. The best possible list takes ten of a grade at most."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"))
+    tops = grades.select("query_id", "relevance", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(10)).cast("int")))).withColumn("i", F.row_number().over(w))
+    totals = grades.groupBy("query_id").agg(*[F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).alias(name) for name, which in (("n2", F.col("relevance") == 2), ("n1", F.col("relevance") >= 1))])
+    ideal = tops.groupBy("query_id").agg(_dcg(F.col("relevance"), F.col("i"), 10).alias("ideal")).join(totals, "query_id")
     rel, rank = F.col("relevance"), F.col("rank")
     count = lambda what, k: F.count(F.when(what & (rank <= k), 1))
     got = joined.groupBy("query_id").agg(
@@ -66,12 +76,22 @@ def sliced(metrics: DataFrame, slices: DataFrame, names: list[str], least: int =
 
 def unjudged(runs: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """Pairs of a top k that no one has judged, with each system's rank: runs has a column system."""
-    missing = runs.filter(F.col("rank") <= k).join(qrels, KEYS, "left_anti")
+    return unjudged_of(runs.join(qrels.select(*KEYS, "relevance"), KEYS, "left"), k)
+
+
+def unjudged_of(runs: DataFrame, k: int) -> DataFrame:
+    """unjudged of runs whose rows have their relevance, null where no one has judged."""
+    missing = runs.filter((F.col("rank") <= k) & F.col("relevance").isNull())
     return missing.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("systems"), F.min("rank").alias("best_rank"), F.array_join(F.array_sort(F.collect_list("system")), ",").alias("retrieved_by"))
 
 
 def judged_share(runs: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    marked = runs.filter(F.col("rank") <= k).join(qrels.withColumn("judged", F.lit(1)), KEYS, "left")
+    return judged_share_of(runs.join(qrels.select(*KEYS, "relevance"), KEYS, "left"), k)
+
+
+def judged_share_of(runs: DataFrame, k: int) -> DataFrame:
+    """judged_share of runs whose rows have their relevance, null where no one has judged."""
+    marked = runs.filter(F.col("rank") <= k).withColumn("judged", F.col("relevance").isNotNull().cast("int"))
     return marked.groupBy("system").agg(F.countDistinct("query_id").alias("queries"), F.sum(F.coalesce("judged", F.lit(0))).alias("judged")).withColumn("share", F.round(F.col("judged") / (F.col("queries") * k), 6))
 
 
