@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import cases, version
 from textloom.functions import text as T
 from textloom.operators import analysis, closeness, evaluation, judgments, leakage, percentiles, rules
+from textloom.operators.storage import matching
 from textloom.plans.retrieval import _ALL, _H, _M, METRICS, _dialect, _metrics, _quoted, dense_run, fused, lexical_run, qrels, table, universe
 
 FLAGS, SCORES = ["task_success", "root_cause", "repair"], ["relevance", "faithfulness"]
@@ -106,15 +107,21 @@ def _close(spark, sf, k):
     """The candidates of BM25 with the longest common run of tokens and the ratio of matching ones, whole texts."""
     tokens = lambda t: F.transform(T.pool_tokens(t), F.lower)
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), tokens(F.col("text")).alias("tokens"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("tokens"))
-    return closeness.closeness(lexical_run(spark, sf, k), items, docs)
+    run = lexical_run(spark, sf, k)
+    docs = _named(table(spark, sf, "documents").select("doc_id", "text"), run).select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("tokens"))
+    return closeness.closeness(run, items, docs)
+
+
+def _named(docs, run):
+    """The documents that a run names: no other text is shuffled."""
+    return matching(docs, ["doc_id"], run.select(F.col("chunk_id").alias("doc_id")).distinct())
 
 
 def leakage_status(spark, sf):
     """For the candidates of BM25: containment of five-word runs, the longest common run, the ratio of matching tokens, a
     copied sentence, and what that makes of the pair."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("qtext"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("dtext"))
+    docs = _named(table(spark, sf, "documents").select("doc_id", "text"), lexical_run(spark, sf, 10)).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("dtext"))
     rows = _close(spark, sf, 10).join(items, "query_id").join(docs, "chunk_id").withColumns({"qw": T.pool_tokens(F.col("qtext")), "dw": T.pool_tokens(F.col("dtext"))})
     rows = rows.withColumns({"q5": T.ngrams(F.col("qw"), 5), "d5": T.ngrams(F.col("dw"), 5)})  # of columns: else a text is cut again for every run
     marked = rows.select("query_id", "chunk_id", F.round(analysis.containment(F.col("q5"), F.col("d5")), 6).alias("containment"), "run", F.round("ratio", 6).alias("ratio"), analysis.sentence_copied(F.col("qtext"), F.col("dtext")).alias("copied"))
