@@ -12,15 +12,26 @@ from textloom.plans.retrieval import table
 LEAST, MOST, SIZE, DIMENSIONS = 2, 0.98, 30_000, 96
 
 
-def _terms(spark, sf, name, id_col):
-    return table(spark, sf, name).select(F.col(id_col).alias("id"), lsa.terms(F.col("text"), T.FIELD_STOPWORDS).alias("terms"))
+def _words(spark, sf, name, id_col):
+    return table(spark, sf, name).select(F.col(id_col).alias("id"), F.col("text"), lsa.words(F.col("text")).alias("words"))
+
+
+def _weighed(texts, vocab):
+    """Rows of texts over the vocabulary; where an id is there twice its rows are one text, and meet in a shuffle."""
+    if lsa.one_a_text(texts):
+        return lsa.weighed(texts, vocab, T.FIELD_STOPWORDS)
+    return lsa.rows_of(lsa.frequencies(texts.select("id", lsa.terms(F.col("text"), T.FIELD_STOPWORDS).alias("terms"))), vocab)
 
 
 def _fitted(spark, sf):
-    """Frequencies and vocabulary of all documents, written."""
-    docs = _terms(spark, sf, "documents", "doc_id")
-    tf = written(lsa.frequencies(docs), "tf")
-    return tf, written(lsa.vocabulary(tf, table(spark, sf, "documents").count(), LEAST, MOST, SIZE), "vocabulary")
+    """All documents' words, and the vocabulary, written."""
+    docs = _words(spark, sf, "documents", "doc_id")
+    n = table(spark, sf, "documents").count()
+    if lsa.one_a_text(docs):
+        found = lsa.chosen(lsa.totals(docs, T.FIELD_STOPWORDS), n, LEAST, MOST, SIZE)
+    else:
+        found = lsa.vocabulary(lsa.frequencies(docs.select("id", lsa.terms(F.col("text"), T.FIELD_STOPWORDS).alias("terms"))), n, LEAST, MOST, SIZE)
+    return docs, written(found, "vocabulary")
 
 
 def tfidf_vocabulary(spark, sf):
@@ -31,17 +42,17 @@ def tfidf_vocabulary(spark, sf):
 
 def lsa_spectrum(spark, sf):
     """The singular values of all documents' TF-IDF rows in 96 dimensions."""
-    tf, vocab = _fitted(spark, sf)
-    values, _ = lsa.decomposed(lsa.rows_of(tf, vocab), vocab.count(), DIMENSIONS)
+    docs, vocab = _fitted(spark, sf)
+    values, _ = lsa.decomposed(_weighed(docs, vocab), vocab.count(), DIMENSIONS)
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(values)], "dimension long, singular_value double")
 
 
 def lsa_topk(spark, sf):
     """For each item the ten documents nearest to it in 96 dimensions, by cosine."""
-    tf, vocab = _fitted(spark, sf)
-    rows = written(lsa.rows_of(tf, vocab), "rows")
+    docs, vocab = _fitted(spark, sf)
+    rows = written(_weighed(docs, vocab), "rows")
     _, basis = lsa.decomposed(rows, vocab.count(), DIMENSIONS)
-    asked = lsa.rows_of(lsa.frequencies(_terms(spark, sf, "benchmark", "item_id")), vocab)
+    asked = _weighed(_words(spark, sf, "benchmark", "item_id"), vocab)
     found = dense.top_k(lsa.projected(asked, basis), lsa.projected(rows, basis), 10)
     return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
