@@ -53,11 +53,16 @@ def per_query_of(joined: DataFrame, grades: DataFrame, universe: DataFrame) -> D
 
 def any_relevance(run: DataFrame, qrels: DataFrame, universe: DataFrame) -> DataFrame:
     """One row per query of universe, relevance 1 or 2 counting alike: mrr_10_any, recall_5/10/20_any, p_5_any, hit_5_any."""
-    good = qrels.filter("relevance >= 1")
-    hits = run.select(*KEYS, "rank").join(good, KEYS)
+    return any_relevance_of(run.select(*KEYS, "rank").join(qrels, KEYS, "left"), grades(qrels), universe)
+
+
+def any_relevance_of(joined: DataFrame, grades: DataFrame, universe: DataFrame) -> DataFrame:
+    """any_relevance of a run whose rows have their relevance (null: not judged) and of what grades() gives."""
+    good = grades.filter("relevance >= 1").groupBy("query_id").agg(F.sum("n").alias("n"))
+    hits = joined.filter("relevance >= 1")
     count = lambda k: F.count(F.when(F.col("rank") <= k, 1))
     got = hits.groupBy("query_id").agg(F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"), *[count(k).alias(f"r{k}") for k in (5, 10, 20)])
-    joined = universe.select("query_id").distinct().join(got, "query_id", "left").join(good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    joined = universe.select("query_id").distinct().join(got, "query_id", "left").join(good, "query_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     recall = lambda k: F.round(F.when(n("n") > 0, n(f"r{k}") / n("n")).otherwise(0.0), 6).alias(f"recall_{k}_any")
     return joined.select("query_id", F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr_10_any"), *map(recall, (5, 10, 20)), F.round(n("r5") / 5, 6).alias("p_5_any"), (n("r5") > 0).cast("double").alias("hit_5_any"))

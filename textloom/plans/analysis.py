@@ -8,7 +8,7 @@ from textloom.functions import cases, version
 from textloom.functions import text as T
 from textloom.operators import analysis, closeness, evaluation, judgments, leakage, percentiles, rules
 from textloom.operators.storage import matching
-from textloom.plans.retrieval import _ALL, _H, _M, METRICS, _dialect, _metrics, _quoted, dense_run, fused, lexical_run, qrels, table, universe
+from textloom.plans.retrieval import _ALL, _H, _M, METRICS, _dialect, _metrics, _quoted, dense_run, fused, grades, judged, judgments_of, lexical_run, table, universe
 
 FLAGS, SCORES = ["task_success", "root_cause", "repair"], ["relevance", "faithfulness"]
 
@@ -44,7 +44,8 @@ def case_selection(spark, sf):
 
 
 def failure_categories(spark, sf):
-    found = analysis.failures(universe(spark, sf), dense_run(spark, sf), _hybrid(spark, sf), qrels(spark, sf), 10, 5)
+    a, b = dense_run(spark, sf), _hybrid(spark, sf)
+    found = analysis.failures(universe(spark, sf), a, b, judgments_of(spark, sf, a, b), 10, 5)
     return found.select("category", F.col("place").cast("long").alias("place"), "query_id", F.col("ra").cast("long").alias("rank_a"), F.col("rb").cast("long").alias("rank_b"), "queries")
 
 
@@ -65,7 +66,7 @@ def label_sensitivity(spark, sf):
 
 
 def graded_metrics(spark, sf):
-    return evaluation.any_relevance(dense_run(spark, sf), qrels(spark, sf), universe(spark, sf))
+    return evaluation.any_relevance_of(judged(spark, sf, dense_run(spark, sf)), grades(spark, sf), universe(spark, sf))
 
 
 def latency_totals(spark, sf):
