@@ -80,3 +80,24 @@ def test_dialects(spark):
     for q, d, want in cases:
         assert value(spark, V.dialect_compatibility(F.col("q"), F.col("d")), q=q, d=d) == want
     assert value(spark, V.normalize_dialect(F.col("t")), t=" Maria  DB ") == "mariadb"
+
+
+def test_normalized_text_is_that_of_plain_replacements(spark):
+    """Texts without what is replaced are left alone, any others are searched: the same for every mixture, and for null."""
+    import itertools
+
+    texts = ["".join(x) for n in range(1, 6) for x in itertools.product("A \t\n\r", repeat=n)] + ["É  Ü\r\n\r\n\r\nß", "", None]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.normalize_for_hash(F.col("t"))).collect()
+    plain = lambda t: re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}|\t", " ", re.sub(r"\r\n?", "\n", t))).strip(" \t\n\x0b\f\r").lower()
+    assert all(b == (None if a is None else plain(a)) for a, b in got) and len(got) == len(texts)
+
+
+def test_error_tokens_are_those_of_the_plain_alternatives(spark):
+    import random
+
+    plain = r"(?i)\b(?:SQLSTATE\s*[=:]?\s*)?(?:[0-9A-Z]{5})\b|\b(?:ER_|SQLITE_)[A-Z0-9_]+\b|\bERROR\s+[0-9]{3,5}\b"
+    rng = random.Random(9)
+    parts = ["SQLSTATE", "sqlstate", "Error", "ER_", "sqlite_", "BUSY", "42P01", "1064", "12", " ", "  ", "=", ":", "_", "é", "K", "abcde", "-", ".", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(3000)] + [None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(T.all_of(F.col("t"), plain).alias("a"), T.all_of(F.col("t"), T.ERROR_TOKEN).alias("b")).collect()
+    assert all(a == b for a, b in rows) and sum(len(a) for a, _ in rows) > 500

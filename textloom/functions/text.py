@@ -5,6 +5,9 @@ Patterns are Java's, kept to what RE2 has too where a query is checked in SQL.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +46,8 @@ BOILERPLATE = (
 )
 BOILERPLATE_LINE = r"^(?:(?:home\s*[›»/]\s*)?(?:documentation|docs)\s*[›»/]\s*|(?:previous|next|up|home)(?:\s+(?:previous|next|up|home))*)$"
 LIST_MARK = r"^(?:[-*+]\s+|[0-9]+[.)]\s+)"
-ERROR_TOKEN = r"(?i)\b(?:SQLSTATE\s*[=:]?\s*)?(?:[0-9A-Z]{5})\b|\b(?:ER_|SQLITE_)[A-Z0-9_]+\b|\bERROR\s+[0-9]{3,5}\b"
+#: All begin at a word's start with a letter or digit, which is asked once, not by each of them.
+ERROR_TOKEN = r"(?i)\b(?=[0-9A-Z])(?:(?:SQLSTATE\s*[=:]?\s*)?[0-9A-Z]{5}\b|(?:ER_|SQLITE_)[A-Z0-9_]+\b|ERROR\s+[0-9]{3,5}\b)"
 SQL_START = (
     r"(?im)```\s*(?:sql|postgresql|mysql|sqlite|mariadb|duckdb)\b\s*\n\s*\S|^\s*(?:mysql>|sqlite>|postgres(?:ql)?[=#>]|"
     r"(?:SELECT|INSERT|UPDATE|DELETE|MERGE|CREATE|ALTER|DROP|WITH|PRAGMA|EXPLAIN|VACUUM)\b)|^\s*(?:Syntax|Synopsis)\s*:\s*$"
@@ -106,10 +110,16 @@ def all_of(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _replaced(text: Column, parts: list[str], pattern: str, by: str) -> Column:
+    """regexp_replace of a pattern whose matches hold one of the parts: texts without them, which are most, are not searched
+    for it sign by sign. The text is bound to a lambda's variable, so that it is made once."""
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(reduce(or_, [F.contains(t, F.lit(x)) for x in parts]), F.regexp_replace(t, pattern, by)).otherwise(t)), 1)
+
+
 def normalize_for_hash(text: Column) -> Column:
     """Line ends to LF, blanks run together, three or more line feeds to two, trimmed, lower case."""
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")  # single blanks, which are most, stay as they are
+    text = _replaced(text, ["\r"], r"\r\n?", "\n")
+    text = _replaced(_replaced(text, ["  ", "\t"], r"[ \t]{2,}|\t", " "), ["\n\n\n"], r"\n{3,}", "\n\n")  # single blanks, which are most, stay as they are
     return F.lower(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
 
 
@@ -182,7 +192,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def error_tokens(text: Column) -> Column:
-    return F.array_distinct(F.transform(all_of(text, ERROR_TOKEN), lambda t: F.replace(F.upper(t), F.lit(" "), F.lit(""))))
+    return F.array_distinct(F.transform(F.array_distinct(all_of(text, ERROR_TOKEN)), lambda t: F.replace(F.upper(t), F.lit(" "), F.lit(""))))
 
 
 def is_boilerplate(text: Column) -> Column:
