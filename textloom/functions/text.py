@@ -25,6 +25,18 @@ FIELD_TOKEN = (
 )
 POOL_TOKEN = r"[A-Za-z][A-Za-z0-9_]+|[0-9]+(?:\.[0-9]+)*"
 SET_TOKEN = r"[a-z0-9_]+"
+#: What Spark is given for these: the same matches. The first sign decides what is tried, and no round of a group is taken
+#: back, as Java remembers those on the stack, which a long text after a single quote, or a long run of 1.1.1, overflows. A
+#: quote that is never closed ends, as in the original, at the first sign of its last pair, if it has one.
+_NAME, _NUMBER = r"[A-Za-z_][A-Za-z0-9_$]*(?:\.[A-Za-z_][A-Za-z0-9_$]*+)*+", r"[0-9]++(?:\.[0-9]++)*+"
+_OPERATOR = r"->>|->|::|<=|>=|<>|!=|:=|=>|\|\||&&"
+_SINGLE = r"'(?:[^']++|'')*+'|'.*'(?='[^']*+\z)"
+_DOUBLE = _SINGLE.replace("'", '"')
+SAME = {
+    SQL_TOKEN: rf"(?s){_NAME}|{_NUMBER}|(?=[$@:'\"`+\-*/%<>=~!&|^(),.;\[\]{{}}])(?:--[^\r\n]*+|/\*.*?\*/|{_SINGLE}|{_DOUBLE}|`[^`]*+`|{_OPERATOR}|"
+    r"\$[A-Za-z_][A-Za-z0-9_$]*+|\$[0-9]++|[:@][A-Za-z_][A-Za-z0-9_$]*+|[+\-*/%<>=~!&|^(),.;\[\]{}])",
+    FIELD_TOKEN: rf"{_NAME}|[0-9]++(?:(?:\.[0-9]++)++|[A-Za-z][A-Za-z0-9_]*+|)|(?=[\-:<>!=|&])(?:{_OPERATOR})",
+}
 POOL_STOPWORDS = (
     "a an and are as at be because by can could do does for from has have how i if in into is it my of on or our should so that the "
     "their then this to using was we what when where which why will with would query sql database table postgresql postgres mysql sqlite "
@@ -107,7 +119,7 @@ SENTENCE_END = r"(?<=[.!?。！？])\s+(?=[A-Z0-9`\[])|\n{2,}"
 
 def all_of(text: Column, pattern: str) -> Column:
     """Every match of the whole pattern, in order; null text has none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(SAME.get(pattern, pattern)), F.lit(0)), F.array().cast("array<string>"))
 
 
 def _replaced(text: Column, parts: list[str], pattern: str, by: str) -> Column:
@@ -136,7 +148,7 @@ def lexical_tokens(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return _replaced(text, ["\r"], r"\r\n?", "\n")
 
 
 def sql_tokens(text: Column) -> Column:
