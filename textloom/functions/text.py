@@ -35,6 +35,7 @@ _DOUBLE = _SINGLE.replace("'", '"')
 SAME = {
     SQL_TOKEN: rf"(?s){_NAME}|{_NUMBER}|(?=[$@:'\"`+\-*/%<>=~!&|^(),.;\[\]{{}}])(?:--[^\r\n]*+|/\*.*?\*/|{_SINGLE}|{_DOUBLE}|`[^`]*+`|{_OPERATOR}|"
     r"\$[A-Za-z_][A-Za-z0-9_$]*+|\$[0-9]++|[:@][A-Za-z_][A-Za-z0-9_$]*+|[+\-*/%<>=~!&|^(),.;\[\]{}])",
+    POOL_TOKEN: rf"[A-Za-z][A-Za-z0-9_]+|{_NUMBER}",
     FIELD_TOKEN: rf"{_NAME}|[0-9]++(?:(?:\.[0-9]++)++|[A-Za-z][A-Za-z0-9_]*+|)|(?=[\-:<>!=|&])(?:{_OPERATOR})",
 }
 POOL_STOPWORDS = (
