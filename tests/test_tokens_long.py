@@ -30,6 +30,6 @@ def test_long_texts_after_a_quote(spark):
     assert spark.createDataFrame([("a" + ".a" * n + " 1" + ".1" * n,)], "t string").select(F.size(T.field_tokens(F.col("t")))).first()[0] == 2
 
 
-@pytest.mark.parametrize("tokens", [T.pool_tokens])
+@pytest.mark.parametrize("tokens", [T.pool_tokens, T.word_tokens, T.lexical_tokens])
 def test_long_dotted_numbers(spark, tokens):
     assert spark.createDataFrame([("1" + ".1" * 30000 + " ab",)], "t string").select(F.size(tokens(F.col("t")))).first()[0] == 2

@@ -33,6 +33,8 @@ _OPERATOR = r"->>|->|::|<=|>=|<>|!=|:=|=>|\|\||&&"
 _SINGLE = r"'(?:[^']++|'')*+'|'.*'(?='[^']*+\z)"
 _DOUBLE = _SINGLE.replace("'", '"')
 SAME = {
+    WORD: rf"[A-Za-z_][A-Za-z_0-9$]*|{_NUMBER}|[\p{{L}}\p{{N}}_]+",
+    LEXICAL: rf"[A-Za-z_][A-Za-z_0-9$]*|{_NUMBER}|[^\s]",
     SQL_TOKEN: rf"(?s){_NAME}|{_NUMBER}|(?=[$@:'\"`+\-*/%<>=~!&|^(),.;\[\]{{}}])(?:--[^\r\n]*+|/\*.*?\*/|{_SINGLE}|{_DOUBLE}|`[^`]*+`|{_OPERATOR}|"
     r"\$[A-Za-z_][A-Za-z0-9_$]*+|\$[0-9]++|[:@][A-Za-z_][A-Za-z0-9_$]*+|[+\-*/%<>=~!&|^(),.;\[\]{}])",
     POOL_TOKEN: rf"[A-Za-z][A-Za-z0-9_]+|{_NUMBER}",
